@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,13 +20,90 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def _crc(column: str, n: int) -> F.Column:
+    """crc32 of a number's decimal text, modulo n."""
+    return F.crc32(F.col(column).cast("string")) % n
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without doc_id are never learned from, and so count as held out."""
+    from condensa.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(_crc("doc_id", 5) != 0).select(F.col("doc_id").alias("key"), "text", F.col("lang").alias("tag")))
+    held_out = F.coalesce(_crc("doc_id", 5) == 0, F.lit(True)).alias("held_out")
+    return langid.predict(docs.select("doc_id", held_out, "text"), model)
+
+
+def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from condensa.llm import warc
+    from condensa.llm.scratch import Scratch
+
+    path = Scratch(spark, "warc").path("archive")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:x-page:(-?[0-9]+)>$', 1) AS BIGINT)")
+    revisit = F.col("record_type") == "revisit"
+    return warc.read_warc(spark, path).select(
+        page("record_id").alias("page_id"),
+        F.when(revisit, F.col("http_length")).otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"),
+        F.when(revisit, F.substring_index("payload_digest", ":", -1)).otherwise(F.sha1("payload")).alias("payload_digest"),
+        "record_type",
+        page("refers_to").alias("refers_to"),
+    )
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from condensa.llm import mixing
+
+    rows, _, sources = mixing.mix(table(spark, sf_dir, "documents"))
+    about = spark.createDataFrame([(s, size, target) for s, size, target, _ in sources], "name string, source_size long, target double")
+    told = rows.withColumn("name", F.element_at(F.from_json("pattern", "array<string>"), 1)).alias("r").join(F.broadcast(about.alias("a")), F.expr("r.name <=> a.name"), "left")
+    return told.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from condensa.llm.topk import top_k
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 QUERIES: dict[str, Query] = {
+    "op2_language_id": op2_language_id,
+    "op3_warc_round_trip": op3_warc_round_trip,
+    "op6_mix_sources": op6_mix_sources,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op10_exact_top_k": op10_exact_top_k,
 }
 
 _WORDS = "regexp_extract_all(lower(text), '[0-9a-z_\\x{80}-\\x{10FFFF}]+')"
 
 ORACLES: dict[str, str] = {
+    "op3_warc_round_trip": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to FROM q""",
+    "op6_mix_sources": """
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
+    md5(concat('mix:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS k FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+r AS (SELECT *, 3.0 * n / w AS cap, sum(3 * n) OVER x - 3 * n AS below, sum(w) OVER () - sum(w) OVER x + w AS open, sum(n) OVER () AS total, row_number() OVER x AS k
+  FROM s WINDOW x AS (ORDER BY 3.0 * n / w, source NULLS LAST)),
+u AS (SELECT arg_min((total - below) / open, k) FILTER ((total - below) / open <= cap) AS unit FROM r),
+t AS (SELECT source, n, least(CAST(3 * n AS DOUBLE), w * unit) AS target FROM s, u),
+c AS (SELECT d.*, n, target, CAST(floor(target + 0.5) AS BIGINT) AS take,
+  sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) AS run
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, n AS source_size, target,
+  CAST(CASE WHEN n = 0 THEN 0 ELSE take // n * size + greatest(0, least(size, take % n - (run - size))) END AS BIGINT) AS taken FROM c""",
+    "op10_exact_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(c.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     "op9_ngram_jaccard_join": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS t FROM documents),
 g AS (SELECT doc_id, list_distinct(CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 5 THEN [array_to_string(t, ' ')]
