@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a single longer text is its own slice.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 #: The same words as a regular expression over lower-cased text (Python, DuckDB).
 WORD_RE = "[0-9a-z_\u0080-\U0010ffff]+"
 

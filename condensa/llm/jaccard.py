@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from condensa.llm import blocks
+from condensa.llm import blocks, bloom
 from condensa.llm.graph import components
 from condensa.llm.scratch import Scratch
 
@@ -80,15 +80,16 @@ def _signatures(n: int, bands: int, rows: int):
     return run
 
 
-def _sets(n: int):
+def _sets(n: int, wanted):
+    """The n-gram sets of those texts that may be wanted."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in blocks.slices(whole, "text"):
+            for batch in blocks.slices(whole.filter(pa.array(bloom.hits(wanted, np.asarray(whole.column("key"), np.int64)))), "text"):
                 w = blocks.words(batch.column("text"))
                 grams, at, _ = blocks.shingles(w.hash, w.rows, n)
                 uniq, uat = blocks.unique_per_row(grams, at)
-                arrays = [batch.column(c) for c in ("root", "cid", "copies", "parts")] + [blocks.lists(uniq, uat)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["root", "cid", "copies", "parts", "grams"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("look"), blocks.lists(uniq, uat)], names=["doc_id", "look", "grams"])
 
     return run
 
@@ -171,19 +172,18 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     member = near.withColumnRenamed("node", "cid").join(classes.select("cid", "rep", "copies", "n"), "cid")
     parts = member.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_NGRAMS)).cast("int").alias("parts"))
     wanted = scratch.keep(member.join(parts, "root"), "wanted")
-    sets = (
-        texts.alias("t")
-        .join(wanted.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.rep.doc_id")) & (F.col("t.look") == F.col("w.rep.look")))
-        .select("t.text", "w.root", "w.cid", "w.copies", "w.parts")
-    )
-    schema = "root binary, cid binary, copies long, parts int, grams array<long>"
+    # only the representatives' n-gram sets are shuffled: a Bloom filter holds the other texts back
+    filtered = bloom.build(wanted.select(F.xxhash64("rep.doc_id", "rep.look").alias("key")), "key", wanted.count())
+    sets = texts.withColumn("key", bloom.hash_column(F.xxhash64("doc_id", "look"))).mapInArrow(_sets(n, filtered), "doc_id long, look long, grams array<long>")
     part = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
     spread = (
-        sets.mapInArrow(_sets(n), schema)
-        .withColumn("part", part)
+        sets.alias("t")
+        .join(wanted.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.rep.doc_id")) & (F.col("t.look") == F.col("w.rep.look")))
+        .select("root", "cid", "copies", "parts", "grams", part.alias("part"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumn("lo", F.least("part", "other"))
         .withColumn("hi", F.greatest("part", "other"))
+        .drop("other", "parts")
     )
     pairs = scratch.keep(spread.groupBy("root", "lo", "hi").applyInArrow(_verify(threshold), "cid binary, links long, to binary"), "pairs")
     scratch.drop("wanted")

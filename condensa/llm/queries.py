@@ -25,6 +25,12 @@ def _crc(column: str, n: int) -> F.Column:
     return F.crc32(F.col(column).cast("string")) % n
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from condensa.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows without doc_id are never learned from, and so count as held out."""
     from condensa.llm import langid
@@ -52,6 +58,12 @@ def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from condensa.llm.tokencount import section_tokens
+
+    return section_tokens(table(spark, sf_dir, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from condensa.llm import mixing
 
@@ -69,8 +81,10 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_language_id": op2_language_id,
     "op3_warc_round_trip": op3_warc_round_trip,
+    "op5_section_tokens": op5_section_tokens,
     "op6_mix_sources": op6_mix_sources,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_exact_top_k": op10_exact_top_k,
