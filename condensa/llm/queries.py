@@ -14,6 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without doc_id are never learned from, and so count as held out."""
+    from condensa.llm import toxicity
+    from condensa.llm.scratch import Scratch
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(_crc("doc_id", 3) != 1), Scratch(spark, "toxicity"))
+    held_out = F.coalesce(_crc("doc_id", 3) == 1, F.lit(True)).alias("held_out")
+    return toxicity.score(docs.select("doc_id", held_out, "text"), model).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from condensa.llm.jaccard import jaccard_join
 
@@ -86,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "op3_warc_round_trip": op3_warc_round_trip,
     "op5_section_tokens": op5_section_tokens,
     "op6_mix_sources": op6_mix_sources,
+    "op8_toxicity": op8_toxicity,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_exact_top_k": op10_exact_top_k,
 }
