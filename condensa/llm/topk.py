@@ -29,7 +29,7 @@ from condensa.llm.scratch import Scratch
 
 #: Queries broadcast at once, and candidates scored at once.
 QUERY_BLOCK, ROW_BLOCK = 1024, 1024
-_LOW = np.iinfo(np.int64).min
+_LOW = -np.iinfo(np.int64).max  # can be negated
 
 
 def scaled(column: pa.Array, scale: float) -> tuple[np.ndarray, np.ndarray]:
