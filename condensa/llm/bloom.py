@@ -13,13 +13,12 @@ from pyspark.sql import functions as F
 LEAST_BITS, MOST_BITS, BITS_A_KEY = 1 << 16, 1 << 27, 12
 
 
-def _places(key: Column, bits: int) -> list[Column]:
-    h = F.xxhash64(key, F.lit(17))
+def _places(h: Column, bits: int) -> list[Column]:
     return [h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1))]
 
 
 def build(df: DataFrame, key: str, count: int):
-    """A broadcast filter over about `count` values of a column; at most 16 MB, summed up on the executors."""
+    """A broadcast filter over about `count` values of a column of 64-bit hashes; at most 16 MB, summed up on the executors."""
     bits = LEAST_BITS
     while bits < min(MOST_BITS, BITS_A_KEY * count):
         bits *= 2
@@ -31,11 +30,6 @@ def build(df: DataFrame, key: str, count: int):
     return df.sparkSession.sparkContext.broadcast(out.view(np.uint64))
 
 
-def hash_column(key: Column) -> Column:
-    """What `hits` tests; computed by Spark, so that both sides agree."""
-    return F.xxhash64(key, F.lit(17))
-
-
 def hits(shared, hashes: np.ndarray) -> np.ndarray:
     words = shared.value
     h, bits = hashes.view(np.uint64), np.uint64(len(words) * 64 - 1)

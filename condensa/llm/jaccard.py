@@ -41,7 +41,7 @@ def choose_bands(threshold: float, recall: float, most: int = 128) -> tuple[int,
     return best
 
 
-def _set_keys(uniq: np.ndarray, at: np.ndarray) -> pa.Array:
+def set_keys(uniq: np.ndarray, at: np.ndarray) -> pa.Array:
     """128-bit keys of n-gram sets, from two independent sums over their members."""
     a, b = (blocks.row_sums(blocks.mix(uniq ^ U64(s)), at) for s in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
     return blocks.keys128(blocks.mix(a), blocks.mix(b ^ np.diff(at).astype(U64)))
@@ -61,7 +61,7 @@ def _signatures(n: int, bands: int, rows: int):
                 uniq, uat = blocks.unique_per_row(grams, at)
                 full = np.diff(uat) > 0
                 ids, look = (batch.column(c).filter(pa.array(full)) for c in ("doc_id", "look"))
-                count, key = np.diff(uat)[full], _set_keys(uniq, uat).filter(pa.array(full))
+                count, key = np.diff(uat)[full], set_keys(uniq, uat).filter(pa.array(full))
                 starts = uat[:-1][full]
                 out = np.empty((len(starts), bands), U64)
                 if len(starts):
@@ -174,7 +174,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     wanted = scratch.keep(member.join(parts, "root"), "wanted")
     # only the representatives' n-gram sets are shuffled: a Bloom filter holds the other texts back
     filtered = bloom.build(wanted.select(F.xxhash64("rep.doc_id", "rep.look").alias("key")), "key", wanted.count())
-    sets = texts.withColumn("key", bloom.hash_column(F.xxhash64("doc_id", "look"))).mapInArrow(_sets(n, filtered), "doc_id long, look long, grams array<long>")
+    sets = texts.withColumn("key", F.xxhash64("doc_id", "look")).mapInArrow(_sets(n, filtered), "doc_id long, look long, grams array<long>")
     part = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
     spread = (
         sets.alias("t")

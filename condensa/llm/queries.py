@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from condensa.functions.ship import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -69,6 +72,13 @@ def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from condensa.llm.linedup import dedup_lines
+
+    cut = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", F.col("_lines").alias("lines"), F.col("_removed").alias("removed"), "text")
+
+
 def op5_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from condensa.llm.tokencount import section_tokens
 
@@ -95,6 +105,7 @@ QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language_id": op2_language_id,
     "op3_warc_round_trip": op3_warc_round_trip,
+    "op4_line_dedup": op4_line_dedup,
     "op5_section_tokens": op5_section_tokens,
     "op6_mix_sources": op6_mix_sources,
     "op8_toxicity": op8_toxicity,
@@ -110,6 +121,20 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 q AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest, max(page_id) OVER (PARTITION BY h) AS top FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to FROM q""",
+    "op4_line_dedup": f"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS text, unnest(range(len(ls))) AS line FROM d),
+s AS (SELECT doc_id, line, list_sort(list_distinct({_WORDS})) AS t FROM l),
+c AS (SELECT t, len(t) AS n, min((doc_id, line)) AS first, row_number() OVER () AS id FROM s WHERE len(t) > 0 GROUP BY t),
+f AS (SELECT w, count(*) AS df FROM (SELECT unnest(t) AS w FROM c) GROUP BY w),
+e AS (SELECT c.id, c.n, u.w, f.df FROM c, unnest(c.t) AS u(w) JOIN f ON f.w = u.w),
+p AS (SELECT id, n, w FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY df, w) AS k FROM e) WHERE k <= n - CAST(ceil(0.8 * n - 1e-9) AS BIGINT) + 1),
+m AS (SELECT DISTINCT a.id AS i, b.id AS j FROM p a JOIN p b ON a.w = b.w AND a.id < b.id AND a.n >= 0.8 * b.n - 1e-9 AND b.n >= 0.8 * a.n - 1e-9),
+v AS (SELECT CASE WHEN a.first < b.first THEN j ELSE i END AS id FROM m JOIN c a ON a.id = m.i JOIN c b ON b.id = m.j
+      WHERE len(list_intersect(a.t, b.t)) >= 0.8 * (a.n + b.n - len(list_intersect(a.t, b.t))) - 1e-9),
+k AS (SELECT s.doc_id, s.line FROM s LEFT JOIN c ON c.t = s.t WHERE c.id IS NULL OR ((s.doc_id, s.line) = c.first AND c.id NOT IN (SELECT id FROM v))),
+r AS (SELECT l.doc_id, string_agg(l.text, chr(10) ORDER BY l.line) AS text, count(*) AS n FROM l JOIN k ON k.doc_id = l.doc_id AND k.line = l.line GROUP BY l.doc_id)
+SELECT d.doc_id, len(ls) AS lines, len(ls) - coalesce(r.n, 0) AS removed, coalesce(r.text, '') AS text FROM d LEFT JOIN r USING (doc_id)""",
     "op6_mix_sources": """
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
     md5(concat('mix:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS k FROM documents),

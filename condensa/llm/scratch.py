@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from condensa.functions.ship import ship
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL: list[str] = []
 _MADE: dict[str, object] = {}
@@ -37,6 +39,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/condensa/{name}-{uuid.uuid4().hex}"
         _MADE[self.root] = spark
 
