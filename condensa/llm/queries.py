@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from condensa.llm.substrings import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows without doc_id are never learned from, and so count as held out."""
     from condensa.llm import toxicity
@@ -108,6 +114,7 @@ QUERIES: dict[str, Query] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_section_tokens": op5_section_tokens,
     "op6_mix_sources": op6_mix_sources,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_exact_top_k": op10_exact_top_k,
