@@ -47,7 +47,7 @@ def set_keys(uniq: np.ndarray, at: np.ndarray) -> pa.Array:
     return blocks.keys128(blocks.mix(a), blocks.mix(b ^ np.diff(at).astype(U64)))
 
 
-def _signatures(n: int, bands: int, rows: int):
+def _signatures(n: int, bands: int, rows: int, more: list[str]):
     rng = np.random.default_rng(11)
     mult = rng.integers(0, 1 << 63, bands * rows, dtype=U64) * U64(2) + U64(1)
     flip = rng.integers(0, 1 << 64, bands * rows, dtype=U64)
@@ -60,7 +60,7 @@ def _signatures(n: int, bands: int, rows: int):
                 grams, at, _ = blocks.shingles(w.hash, w.rows, n)
                 uniq, uat = blocks.unique_per_row(grams, at)
                 full = np.diff(uat) > 0
-                ids, look = (batch.column(c).filter(pa.array(full)) for c in ("doc_id", "look"))
+                kept = [*more, "doc_id", "look"]
                 count, key = np.diff(uat)[full], set_keys(uniq, uat).filter(pa.array(full))
                 starts = uat[:-1][full]
                 out = np.empty((len(starts), bands), U64)
@@ -74,7 +74,7 @@ def _signatures(n: int, bands: int, rows: int):
                             acc = blocks.mix(acc * U64(31) + np.minimum.reduceat(buf, starts))
                         out[:, b] = acc
                 yield pa.RecordBatch.from_arrays(
-                    [ids, look, key, pa.array(count), blocks.lists(out.ravel(), np.arange(len(starts) + 1) * bands)], names=["doc_id", "look", "cid", "n", "bands"]
+                    [*(batch.column(c).filter(pa.array(full)) for c in kept), key, pa.array(count), blocks.lists(out.ravel(), np.arange(len(starts) + 1) * bands)], names=[*kept, "cid", "n", "bands"]
                 )
 
     return run
@@ -159,11 +159,16 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     null in the result, and is never a class_id unless its whole class has none.
     Other columns are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "jaccard")
+    scratch = scratch or Scratch(docs.sparkSession, "jaccard")
+    told = _groups(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), n, threshold, recall, scratch, [])
+    return told.select("doc_id", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "links")
+
+
+def _groups(docs: DataFrame, n: int, threshold: float, recall: float, scratch: Scratch, more: list[str]) -> DataFrame:
+    """(doc_id, *more, group, class_id, links) for each row; group is null for texts without a word."""
     bands, rows = choose_bands(threshold, recall)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("look", F.xxhash64("text"))
-    sig = scratch.keep(texts.mapInArrow(_signatures(n, bands, rows), "doc_id long, look long, cid binary, n long, bands array<long>"), "sig")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more).withColumn("look", F.xxhash64("text"))
+    sig = scratch.keep(texts.mapInArrow(_signatures(n, bands, rows, more), "".join(f"{c} long, " for c in more) + "doc_id long, look long, cid binary, n long, bands array<long>"), "sig")
     classes = scratch.keep(sig.groupBy("cid").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "look")).alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
     banded = classes.select("cid", F.explode("bands").alias("band"))
     least = banded.groupBy("band").agg(F.min("cid").alias("a"), F.count("*").alias("k")).where("k > 1").select("band", "a")
@@ -191,13 +196,34 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     names = final.withColumnRenamed("node", "cid").join(classes.select("cid", "rep"), "cid")
     least_id = names.groupBy("root").agg(F.min("rep.doc_id").alias("class_id"))
     links = pairs.groupBy("cid").agg(F.sum("links").alias("links"))
-    told = names.join(least_id, "root").join(links, "cid", "left").select("cid", "class_id", "links")
+    told = names.join(least_id, "root").join(links, "cid", "left").select("cid", "root", "class_id", "links")
     info = scratch.keep(
         classes.select("cid", "rep", "copies")
         .join(told, "cid", "left")
-        .select("cid", F.coalesce("class_id", "rep.doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")),
+        .select("cid", F.coalesce("root", "cid").alias("group"), F.coalesce("class_id", "rep.doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")),
         "info",
     )
-    found = sig.select("doc_id", "cid").join(info, "cid").select("doc_id", "class_id", "links")
-    empty = texts.where(F.col("text").isNull() | ~F.col("text").rlike("[0-9A-Za-z_\\x{80}-\\x{10FFFF}]")).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links"))
+    found = sig.select("doc_id", "cid", *more).join(info, "cid").select("doc_id", *more, "group", "class_id", "links")
+    empty = texts.where(F.col("text").isNull() | ~F.col("text").rlike("[0-9A-Za-z_\\x{80}-\\x{10FFFF}]")).select("doc_id", *more, F.lit(None).cast("binary").alias("group"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links"))
     return found.unionByName(empty)
+
+
+def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
+    """The rows of docs, all columns, with one left of each group of near duplicates: that with the least doc_id.
+
+    Of rows that share the least doc_id one stays, by a hash of all columns.  A
+    row without a word is in no group and stays.  A null doc_id comes last.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "near")
+    row = F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in docs.columns))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row.alias("row"))
+    told = scratch.keep(_groups(keyed, n, threshold, 0.999, scratch, ["row"]), "told").where("group IS NOT NULL")
+    order = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "row")
+    best = told.groupBy("group").agg(F.min(order).alias("best"))
+    gone = told.join(best, "group").where(order != F.col("best")).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct()
+    left = docs.withColumn("_k", row).join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_row")), "left_anti")
+    twice = scratch.keep(told.groupBy("group", "doc_id", "row").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct(), "twice")
+    if twice.isEmpty():
+        return left.drop("_k")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_row"))
+    return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates(["_k", "doc_id"])).drop("_k")

@@ -128,23 +128,26 @@ def log_likelihoods(model: Model, points: np.ndarray, at: np.ndarray) -> np.ndar
     return out
 
 
+def classify(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    """(language, posterior probability) of each text."""
+    if not len(texts):
+        return [], np.zeros(0)
+    points, at = codes(texts)
+    blank = np.add.reduceat(points != 32, at[:-1]) == 0
+    if not model.langs:
+        return ["und"] * len(texts), np.zeros(len(texts))
+    ll = log_likelihoods(model, points, at) + model.prior
+    score = 1 / np.exp(ll - ll.max(1, keepdims=True)).sum(1)
+    return ["und" if b else model.langs[i] for b, i in zip(blank, ll.argmax(1))], np.where(blank, 0.0, score)
+
+
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
         for whole in batches:
             for batch in blocks.slices(whole, "text"):
-                points, at = codes(batch.column("text"))
-                blank = np.add.reduceat(points != 32, at[:-1]) == 0 if batch.num_rows else np.zeros(0, bool)
-                if model.langs:
-                    ll = log_likelihoods(model, points, at) + model.prior
-                    best = ll.argmax(1)
-                    score = 1 / np.exp(ll - ll.max(1, keepdims=True)).sum(1)
-                else:
-                    blank, best, score = np.ones(batch.num_rows, bool), np.zeros(batch.num_rows, int), np.zeros(batch.num_rows)
-                names = [*model.langs, "und"]
-                tag = [names[-1 if b else i] for b, i in zip(blank, best)]
-                kept = [batch.column(i) for i, c in enumerate(batch.schema.names) if c != "text"]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(tag, pa.string()), pa.array(np.where(blank, 0.0, score))], names=[*(c for c in batch.schema.names if c != "text"), "lang_pred", "score"])
+                lang, score = classify(shared.value, batch.column("text"))
+                kept = [c for c in batch.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(lang, pa.string()), pa.array(score)], names=[*kept, "lang_pred", "score"])
 
     return run
 
@@ -159,3 +162,16 @@ def predict(texts: DataFrame, model: Model) -> DataFrame:
     kept = [f for f in texts.schema.fields if f.name != "text"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["lang_pred string", "score double"])
     return texts.mapInArrow(_predict(shared), schema)
+
+
+def keep_recognised(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of docs, all columns, whose text has a predicted language with at least that score."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in blocks.slices(whole, "text"):
+                lang, score = classify(shared.value, batch.column("text"))
+                yield batch.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
