@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull, Not, StringContains, StringEndsWith, StringStartsWith
 from pyspark.sql.types import StructType
 
+from condensa.llm.scratch import Scratch
+
 #: Payloads under this many bytes are stored again rather than referred to.
 LEAST_REVISIT = 1000
 PARTITION_BYTES, BATCH_BYTES = 64 << 20, 4 << 20
@@ -42,7 +44,10 @@ def write_warc(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z",
     first = (
         rows.where(F.col("bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.max("page_id").alias("first"), F.min(F.coalesce("page_id", F.lit(-(1 << 63)))).alias("least"))
         .where("least < first").select("digest", "first")
-    )  # digests of several pages only, so the join below can be a small one
+    )
+    # digests of several pages only, in a table whose size is known before the join: where it is small, no html is shuffled
+    scratch = Scratch(pages.sparkSession, "revisits")
+    first = scratch.keep(first, "first")
     rows = rows.join(first, "digest", "left").withColumn("revisit", F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("first"))))
     name = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))
@@ -58,6 +63,7 @@ def write_warc(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z",
     )
     out = rows.select(record.alias("value")).write.mode("overwrite").option("lineSep", "\r\n\r\n").option("compression", compression)
     out.text(path)
+    scratch.drop("first")
 
 
 def _open(uri: str):
