@@ -30,6 +30,8 @@ U64 = np.uint64
 COUNT_BITS, LOAD_BITS, TOKEN_BLOCK, PAIR_BLOCK = 20, 20, 4096, 1 << 19
 #: Lines and tokens that a block of a component holds, in expectation.
 BLOCK_LINES, BLOCK_TOKENS = 128, 1 << 20
+#: Lines up to which a component's pairs are counted token by token.
+SMALL_GROUP = 12
 
 
 def line_ends(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,19 +192,21 @@ def _entries(loads):
     return run
 
 
-def _join_group(ident: np.ndarray, n: np.ndarray, pos: np.ndarray, s1: np.ndarray, s2: np.ndarray, t: float) -> np.ndarray:
-    """The index that each entry of a token is tied to: the least of its component under pairs that pass the filters."""
-    m = len(ident)
+def _join_groups(key: np.ndarray, n: np.ndarray, pos: np.ndarray, s1: np.ndarray, s2: np.ndarray, t: float) -> np.ndarray:
+    """The entry that each entry is tied to, under pairs of a token's entries that pass the filters; entries sorted by (key, n)."""
+    m = len(key)
     root, s1, s2 = np.arange(m), s1.view(U64), s2.view(U64)
-    upto = np.searchsorted(n, np.floor(n / t + 1e-9), "right")  # n is ascending
+    group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+    upto = np.searchsorted((group << 32) | n, (group << 32) | np.floor(n / t + 1e-9).astype(np.int64), "right")
     count = upto - np.arange(m) - 1
+    ahead = np.concatenate([[0], np.cumsum(count)])
     a = 0
     while a < m:
-        b = max(a + 1, int(np.searchsorted(np.cumsum(count[a:]), PAIR_BLOCK, "right")) + a)
+        b = max(a + 1, int(np.searchsorted(ahead, ahead[a] + PAIR_BLOCK, "right")) - 1)
         i = np.repeat(np.arange(a, b), count[a:b])
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count[a:b]) - count[a:b], count[a:b])
+        j = i + 1 + np.arange(len(i)) - np.repeat(ahead[a:b] - ahead[a], count[a:b])
         least = need(n[i], n[j], t)
-        can = np.minimum(pos[i], pos[j]) + 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1 >= least
+        can = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least
         i, j, least = i[can], j[can], least[can]
         apart = np.bitwise_count(s1[i] ^ s1[j]).astype(np.int64) + np.bitwise_count(s2[i] ^ s2[j])
         can = apart <= n[i] + n[j] - 2 * least
@@ -226,21 +230,12 @@ def _candidates(t: float):
         held: list[np.ndarray] = []
 
         def flush(table: np.ndarray) -> pa.RecordBatch:
+            table = table[:, np.lexsort((table[2] >> 32, table[0]))]
             key, ident, npos, s1, s2 = table
-            out_a, out_b = [], []
-            cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if b - a < 2:
-                    continue
-                n, pos = npos[a:b] >> 32, npos[a:b] & 0xFFFFFFFF
-                order = np.argsort(n, kind="stable")
-                root = _join_group(ident[a:b][order], n[order], pos[order], s1[a:b][order], s2[a:b][order], t)
-                hit = np.flatnonzero(root != np.arange(b - a))
-                out_a.append(ident[a:b][order][hit])
-                out_b.append(ident[a:b][order][root[hit]])
-            x = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-            y = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
-            both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y], axis=0)
+            root = _join_groups(key, npos >> 32, npos & 0xFFFFFFFF, s1, s2, t)
+            x, y = ident, ident[root]
+            away = x != y
+            both = np.unique(np.stack([np.minimum(x, y)[away], np.maximum(x, y)[away]], 1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
         for batch in batches:
@@ -277,24 +272,75 @@ def _full_sets(wanted):
     return run
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by a number in the first column, cut only between its values."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.asarray(batch.column(0), np.int64)
+        if held and held[-1].column(0)[-1].as_py() != key[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        last = int(np.searchsorted(key, key[-1], "left"))
+        if last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _pairs_by_token(group: np.ndarray, owner: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, shared tokens) of the owners of a group that share any."""
+    order = np.lexsort((owner, tokens, group))
+    group, owner, tokens = group[order], owner[order], tokens[order]
+    ends = np.flatnonzero(np.concatenate([(group[1:] != group[:-1]) | (tokens[1:] != tokens[:-1]), [True]])) + 1
+    end_of = np.repeat(ends, np.diff(np.concatenate([[0], ends])))
+    count = end_of - np.arange(len(owner)) - 1
+    i = np.repeat(np.arange(len(owner)), count)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+    pair, n = np.unique((owner[i].astype(np.int64) << 32) | owner[j], return_counts=True)
+    return pair >> 32, pair & 0xFFFFFFFF, n
+
+
+def _links(group: np.ndarray, tokens: np.ndarray, rows: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of a group (contiguous) with a Jaccard of at least t: by shared tokens in small groups, by matrices in others."""
+    size = np.diff(rows)
+    cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+    many = np.repeat(np.diff(cuts) > SMALL_GROUP, np.diff(cuts))
+    owner = np.repeat(np.arange(len(size)), size)
+    few = ~many[owner]
+    i, j, share = _pairs_by_token(np.repeat(group, size)[few], owner[few], tokens[few])
+    out_i, out_j, out_n = [i], [j], [share]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if b - a > SMALL_GROUP:
+            m = shared_counts(tokens[rows[a] : rows[b]], rows[a : b + 1] - rows[a])
+            x, y = np.nonzero(np.triu(m, 1))
+            out_i, out_j, out_n = [*out_i, x + a], [*out_j, y + a], [*out_n, m[x, y]]
+    i, j, share = (np.concatenate(x) for x in (out_i, out_j, out_n))
+    ok = share >= t * (size[i] + size[j] - share) - 1e-6
+    return i[ok], j[ok]
+
+
 def _verify(t: float):
-    def group(key: tuple, found: pa.Table) -> pa.Table:
-        first = found.append_column("row", pa.array(np.arange(found.num_rows))).group_by("cid").aggregate([("row", "min")])
-        found = found.take(first.column("row_min"))  # repeated rows of a document
-        no_id = found.column("no_id").to_numpy()
-        doc, line = found.column("doc_id").fill_null(0).to_numpy(), found.column("line").to_numpy()
-        tokens = found.column("tokens").combine_chunks()
-        rows = np.asarray(tokens.offsets, np.int64)
-        share = shared_counts(np.asarray(tokens.values, np.int64)[rows[0] : rows[-1]], rows - rows[0])
-        size = np.diff(rows)
-        link = share >= t * (size[:, None] + size[None, :] - share) - 1e-6
-        early = np.zeros(link.shape, bool)
-        for x in (line, doc, no_id):  # the last is the most significant
-            early = (x[:, None] < x[None, :]) | ((x[:, None] == x[None, :]) & early)
-        gone = (link & early).any(0)
-        return pa.table({"cid": found.column("cid").filter(pa.array(gone))})
-
-    return group
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _whole_groups(batches):
+            first = found.select(["key", "cid"]).append_column("row", pa.array(np.arange(found.num_rows))).group_by(["key", "cid"]).aggregate([("row", "min")])
+            found = found.take(pa.array(np.sort(first.column("row_min").to_numpy())))  # repeated rows of a document
+            lists = found.column("tokens").combine_chunks()
+            rows = np.asarray(lists.offsets, np.int64)
+            i, j = _links(found.column("key").to_numpy(), np.asarray(lists.values, np.int64)[rows[0] : rows[-1]], rows - rows[0], t)
+            early = np.zeros(len(i), bool)  # whether i comes before j, and the other way round
+            late = np.zeros(len(i), bool)
+            for c in ("line", "doc_id", "no_id"):  # the last is the most significant
+                x = found.column(c).fill_null(0 if c != "no_id" else False).to_numpy()
+                same = x[i] == x[j]
+                early, late = (x[i] < x[j]) | same & early, (x[i] > x[j]) | same & late
+            gone = np.unique(np.concatenate([j[early], i[late]]))
+            yield pa.RecordBatch.from_arrays([found.column("cid").combine_chunks().take(pa.array(gone))], names=["cid"])
+
+    return run
 
 
 def later_matches(docs: DataFrame, threshold: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
@@ -328,9 +374,10 @@ def later_matches(docs: DataFrame, threshold: float = 0.8, scratch: Scratch | No
         .join(wanted, ["id", "occ"])
         .withColumn("part", part)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("root", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "cid", "no_id", "doc_id", "line", "tokens")
+        .select(F.xxhash64("root", F.least("part", "other"), F.greatest("part", "other")).alias("key"), "cid", "no_id", "doc_id", "line", "tokens")
     )
-    gone = scratch.keep(spread.groupBy("root", "lo", "hi").applyInArrow(_verify(threshold), "cid binary").distinct(), "gone")
+    spread = spread.repartition(F.col("key")).sortWithinPartitions("key")
+    gone = scratch.keep(spread.mapInArrow(_verify(threshold), "cid binary").distinct(), "gone")
     fate = classes.select("cid", "rep").join(gone.withColumn("gone", F.lit(True)), "cid", "left")
     later = F.struct(F.isnull("l.doc_id"), "l.doc_id", "l.line") > F.struct("f.rep.no_id", "f.rep.doc_id", "f.rep.line")
     out = lines.select("cid", "doc_id", "line").alias("l").join(fate.alias("f"), "cid").where(F.coalesce("gone", F.lit(False)) | later)
