@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 BLANK_ANSWERS = ["?", "[blank]", "n/a", "blank"]
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is evaluated once, also where f uses it inside lambdas."""
+    return F.transform(F.array(value), f)[0]
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased, split at white space."""
     return F.filter(F.split(F.lower(text), "\\s+"), lambda x: x != "")
@@ -38,9 +45,12 @@ def sentences(text: Column) -> Column:
 
 def ngrams(toks: Column, n: int, joiner: str = " ") -> Column:
     """All runs of n tokens, in order."""
-    size = F.size(toks)
-    runs = F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.array_join(F.slice(toks, i, n), joiner))
-    return F.when(size >= n, runs).otherwise(F.array().cast("array<string>"))
+
+    def runs(t: Column) -> Column:
+        places = F.sequence(F.lit(1), F.size(t) - (n - 1))
+        return F.when(F.size(t) >= n, F.transform(places, lambda i: F.array_join(F.slice(t, i, n), joiner))).otherwise(F.array().cast("array<string>"))
+
+    return toks if n == 1 and joiner == " " else let(toks, runs)
 
 
 def is_stop(word: Column, stop: list[str] = STOP_WORDS) -> Column:
@@ -138,17 +148,13 @@ def contains_ignoring_case(text: Column, part: Column) -> Column:
 
 def skip_bigrams(toks: Column, gap: int = 4) -> Column:
     """Ordered pairs with at most `gap` tokens between, joined by a space."""
-    size = F.size(toks)
-    pairs = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), size),
-            lambda i: F.when(
-                i < size,
-                F.transform(F.sequence(i + 1, F.least(size, i + gap + 1)), lambda j: F.concat_ws(" ", F.element_at(toks, i), F.element_at(toks, j))),
-            ).otherwise(F.array().cast("array<string>")),
-        )
-    )
-    return F.when(size > 1, pairs).otherwise(F.array().cast("array<string>"))
+
+    def pairs(t: Column) -> Column:
+        size, none = F.size(t), F.array().cast("array<string>")
+        after = lambda i: F.transform(F.sequence(i + 1, F.least(size, i + gap + 1)), lambda j: F.concat_ws(" ", F.element_at(t, i), F.element_at(t, j)))
+        return F.when(size > 1, F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.when(i < size, after(i)).otherwise(none)))).otherwise(none)
+
+    return let(toks, pairs)
 
 
 def paragraphs(html: Column) -> Column:

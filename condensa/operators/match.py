@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from condensa.functions import text as T
 from condensa.functions.stem import stem
@@ -22,7 +23,7 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def lcs_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Common subsequence over the second string's length; 0 for an empty one."""
     return pd.Series([lcs_length(x or "", y or "") / len(y) if y else 0.0 for x, y in zip(a, b)])
