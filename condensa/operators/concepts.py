@@ -99,7 +99,7 @@ def average_length(resp: DataFrame, n: int = 2) -> DataFrame:
     """(lecture, prompt, concept, ave): floor of the mean word count of the responses that hold the concept."""
     toks = T.tokens(F.col("text"))
     grams = F.array_distinct(T.drop_stop_ngrams(T.ngrams(toks, n)))
-    rows = resp.select(*GROUP, F.size(toks).alias("words"), F.explode(grams).alias("concept"))
+    rows = resp.select(*GROUP, F.size(toks).alias("words"), grams.alias("gs")).select(*GROUP, "words", F.explode("gs").alias("concept"))
     return rows.groupBy(*KEEP).agg(F.floor(F.sum("words") / F.count("*")).alias("ave"))
 
 
@@ -118,7 +118,7 @@ def length_rank_features(lengths: DataFrame, k: int = 10) -> DataFrame:
 def position_features(resp: DataFrame, n: int = 2, bins: int = 5) -> DataFrame:
     """Every bin in which a response's first occurrence of the concept falls, among all its n-grams."""
     grams = T.ngrams(T.tokens(F.col("text")), n)
-    rows = resp.select(*GROUP, "student", F.size(grams).alias("n"), F.posexplode(grams).alias("pos", "concept"))
+    rows = resp.select(*GROUP, "student", grams.alias("gs")).select(*GROUP, "student", F.size("gs").alias("n"), F.posexplode("gs").alias("pos", "concept"))
     rows = rows.groupBy(*GROUP, "student", "concept").agg(F.min("pos").alias("pos"), F.first("n").alias("n"))
     rows = rows.where(~F.forall(F.split("concept", " "), lambda w: w.isin(*T.STOP_WORDS)))
     at = bin_index(F.col("pos"), 0.0, F.col("n"), bins)
@@ -130,7 +130,7 @@ def prompt_similarity_features(resp: DataFrame, prompt_words: list[str], n: int
     toks = T.tokens(F.col("text"))
     shared = F.size(F.filter(toks, lambda w: w.isin(*prompt_words)))
     grams = F.array_distinct(T.drop_stop_ngrams(T.ngrams(toks, n)))
-    rows = resp.select(*GROUP, shared.alias("shared"), F.explode(grams).alias("concept"))
+    rows = resp.select(*GROUP, shared.alias("shared"), grams.alias("gs")).select(*GROUP, "shared", F.explode("gs").alias("concept"))
     v = F.col("ave")
     preds = [("prompt_sim=0", v == 0), *((f"prompt_sim<={x}", v <= x) for x in (1, 2, 3, 4, 10)), ("prompt_sim>10", v > 10), ("prompt_sim!=0", v != 0), *((f"prompt_sim>{x}", v > x) for x in (1, 2, 3, 4))]
     return rows_of_features(rows.groupBy(*KEEP).agg(F.floor(F.sum("shared") / F.count("*")).alias("ave")), preds, KEEP)
