@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -41,7 +41,11 @@ def lcs_matches(left: DataFrame, right: DataFrame, by: str, threshold: float = 0
 def all_matches(texts: DataFrame, phrases: DataFrame, longest: int = 5) -> DataFrame:
     """(doc_id, pos, n, phrase): every dictionary phrase of up to `longest` words at each place."""
     toks = T.tokens(F.col("text"))
-    spans = F.flatten(F.array(*(F.transform(T.ngrams(toks, n), lambda g, i, n=n: F.struct(i.alias("pos"), F.lit(n).alias("n"), g.alias("phrase"))) for n in range(1, longest + 1))))
+
+    def spans_of(n: int) -> Column:
+        return F.transform(T.ngrams(toks, n), lambda g, i: F.struct(i.alias("pos"), F.lit(n).alias("n"), g.alias("phrase")))
+
+    spans = F.flatten(F.array(*(spans_of(n) for n in range(1, longest + 1))))
     return texts.select("doc_id", F.explode(spans).alias("s")).select("doc_id", "s.*").join(phrases.select(F.lower("phrase").alias("phrase")).distinct(), "phrase", "left_semi")
 
 
