@@ -17,7 +17,7 @@ def arborescence(nodes: frozenset[int], edges: dict[tuple[int, int], float], roo
 
     def best(vertices: set, arcs: dict, root):
         into = {}
-        for (a, b), (w, _) in sorted(arcs.items()):
+        for (a, b), (w, _) in sorted(arcs.items(), key=str):
             if b != root and a != b and (b not in into or w > arcs[into[b]][0]):
                 into[b] = (a, b)
         if set(into) != vertices - {root}:
