@@ -219,7 +219,7 @@ def test_toxicity(spark):
     rng = np.random.default_rng(4)
     syl = ["ta", "ri", "mo", "ne", "ku", "sel", "vor"]
     docs, labels = [], []
-    for i in range(400):
+    for i in range(1200):
         w = ["".join(rng.choice(syl, 3)) for _ in range(int(rng.integers(5, 60)))]
         bad = i % 4 == 0
         if bad:
@@ -227,13 +227,13 @@ def test_toxicity(spark):
                 w[rng.integers(len(w))] = "zxidiot"
         docs.append((i, " ".join(w)))
         labels.append((i, int(bad)))
-    docs += [(900, None), (901, ""), (902, "ab")]
+    docs += [(9000, None), (9001, ""), (9002, "ab")]
     d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     model = toxicity.fit(d, lab.where("doc_id % 3 <> 1"), Scratch(spark, "t"))
     got = {r.doc_id: r.score for r in toxicity.score(d, model).collect()}
-    held = [i for i in range(400) if i % 3 == 1]
+    held = [i for i in range(1200) if i % 3 == 1]
     assert np.mean([(got[i] >= 0.7) == (i % 4 == 0) for i in held]) > 0.97
-    assert all(0 <= s <= 1 for s in got.values()) and len(got) == 403 and max(got[900], got[901], got[902]) < 0.7
+    assert all(0 <= s <= 1 for s in got.values()) and len(got) == 1203 and max(got[9000], got[9001], got[9002]) < 0.7
     none = toxicity.fit(d.limit(0), lab.limit(0), Scratch(spark, "t"))
     assert toxicity.score(d.limit(0), none).collect() == []
 
