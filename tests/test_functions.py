@@ -94,6 +94,12 @@ def test_solver_in_spark(spark):
     assert {r.phrase for r in got} == {"p1", "p3"} and got[0].value == 9.0
 
 
+def test_a_group_may_choose_nothing(spark):
+    rows = [("g", "p1", 2, "a", 1.0, -1.0), ("h", "p1", 2, "a", 1.0, 1.0)]
+    got = solver.summarize(spark.createDataFrame(rows, "g string, phrase string, cost int, concept string, value double, theta double"), ["g"], 5).collect()
+    assert [(r.g, r.phrase) for r in got] == [("h", "p1")]
+
+
 def test_graph():
     w, nodes, edges = graph.select_subgraph({1: 1.0, 2: -0.5, 3: 2.0, 4: -3.0}, {(1, 2): 0.2, (2, 3): 0.5, (3, 1): 1.0, (4, 3): 9.0}, {1})
     assert (nodes, edges) == ([1, 2, 3], [(1, 2), (2, 3)]) and w == pytest.approx(3.2)
