@@ -126,7 +126,7 @@ def _occurrence(half: np.ndarray, docs: pa.Array, line: np.ndarray) -> np.ndarra
 
 
 def _lines(counts, t: float):
-    """Each line with a word: doc_id, number, set key, size, sketch and prefix (32 bits of each token)."""
+    """Each line with a word: doc_id, number, set key, size, sketch, prefix (32 bits of each token) and its text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -147,7 +147,8 @@ def _lines(counts, t: float):
                 keys, docs = set_keys(uniq, rows), batch.column("doc_id").take(pa.array(text))
                 half = _half(keys)
                 columns = [docs, pa.array(number.astype(np.int32)), keys, pa.array(half.view(np.int64)), pa.array(_occurrence(half, docs, number)), pa.array(n.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))]
-                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(some)) for c in columns), prefix], names=[*_LINE.split(), "prefix"])
+                look = batch.column("look").take(pa.array(text[some]))
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(some)) for c in columns), prefix, look], names=[*_LINE.split(), "prefix", "look"])
 
     return run
 
@@ -333,7 +334,7 @@ def _verify(t: float):
             i, j = _links(found.column("key").to_numpy(), np.asarray(lists.values, np.int64)[rows[0] : rows[-1]], rows - rows[0], t)
             early = np.zeros(len(i), bool)  # whether i comes before j, and the other way round
             late = np.zeros(len(i), bool)
-            for c in ("line", "doc_id", "no_id"):  # the last is the most significant
+            for c in ("look", "line", "doc_id", "no_id"):  # the last is the most significant
                 x = found.column(c).fill_null(0 if c != "no_id" else False).to_numpy()
                 same = x[i] == x[j]
                 early, late = (x[i] < x[j]) | same & early, (x[i] > x[j]) | same & late
@@ -344,19 +345,20 @@ def _verify(t: float):
 
 
 def later_matches(docs: DataFrame, threshold: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, lines): for every document of docs(doc_id, text, ...) with lines to remove, their numbers from 0.
+    """(doc_id, look, lines): for every document of docs(doc_id, text, ...) with lines to remove, their numbers from 0.
 
     A line goes if the word set of an earlier line, by doc_id and line number,
     has a Jaccard with its own of at least the threshold; null ids come last.
-    Lines without a word never go.  Rows that share a doc_id count as one
-    document, of which neither row is earlier.
+    Lines without a word never go.  look is a hash of the text: rows that share
+    a doc_id, or have none, are documents of their own unless their texts are
+    equal; of their lines with one number that with the lesser hash is earlier.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "lines")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     counts = spark.sparkContext.broadcast(_dense(texts.mapInArrow(_word_counts, "bucket int, n long"), COUNT_BITS))
-    lines = scratch.keep(texts.mapInArrow(_lines(counts, threshold), "doc_id long, line int, cid binary, id long, occ long, n int, s1 long, s2 long, prefix array<int>"), "lines")
-    place = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "line", "occ")
+    lines = scratch.keep(texts.withColumn("look", F.xxhash64("text")).mapInArrow(_lines(counts, threshold), "doc_id long, line int, cid binary, id long, occ long, n int, s1 long, s2 long, prefix array<int>, look long"), "lines")
+    place = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "line", "look", "occ")
     rest = F.struct("id", "n", "s1", "s2", "prefix")
     classes = scratch.keep(lines.groupBy("cid").agg(F.min(place).alias("rep"), F.first(rest).alias("x")).select("cid", "rep", "x.*"), "classes")
     loads = spark.sparkContext.broadcast(_dense(classes.select("prefix").mapInArrow(_loads, "bucket int, n long"), LOAD_BITS))
@@ -374,14 +376,14 @@ def later_matches(docs: DataFrame, threshold: float = 0.8, scratch: Scratch | No
         .join(wanted, ["id", "occ"])
         .withColumn("part", part)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select(F.xxhash64("root", F.least("part", "other"), F.greatest("part", "other")).alias("key"), "cid", "no_id", "doc_id", "line", "tokens")
+        .select(F.xxhash64("root", F.least("part", "other"), F.greatest("part", "other")).alias("key"), "cid", "no_id", "doc_id", "line", "look", "tokens")
     )
     spread = spread.repartition(F.col("key")).sortWithinPartitions("key")
     gone = scratch.keep(spread.mapInArrow(_verify(threshold), "cid binary").distinct(), "gone")
     fate = classes.select("cid", "rep").join(gone.withColumn("gone", F.lit(True)), "cid", "left")
-    later = F.struct(F.isnull("l.doc_id"), "l.doc_id", "l.line") > F.struct("f.rep.no_id", "f.rep.doc_id", "f.rep.line")
-    out = lines.select("cid", "doc_id", "line").alias("l").join(fate.alias("f"), "cid").where(F.coalesce("gone", F.lit(False)) | later)
-    return scratch.keep(out.select("doc_id", "line").distinct(), "out").groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    later = F.struct(F.isnull("l.doc_id"), "l.doc_id", "l.line", "l.look") > F.struct("f.rep.no_id", "f.rep.doc_id", "f.rep.line", "f.rep.look")
+    out = lines.select("cid", "doc_id", "line", "look").alias("l").join(fate.alias("f"), "cid").where(F.coalesce("gone", F.lit(False)) | later)
+    return scratch.keep(out.select("doc_id", "look", "line").distinct(), "out").groupBy("doc_id", "look").agg(F.array_sort(F.collect_list("line")).alias("lines"))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
@@ -389,8 +391,8 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, scratch: Scratch | None
 
     Null texts stay null and have no lines; see later_matches.
     """
-    gone = later_matches(docs, threshold, scratch).select(F.col("doc_id").alias("_gone_id"), F.col("lines").alias("_gone"))
-    told = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")) & F.col("text").isNotNull(), "left")
+    gone = later_matches(docs, threshold, scratch).select(F.col("doc_id").alias("_gone_id"), F.col("look").alias("_gone_look"), F.col("lines").alias("_gone"))
+    told = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_gone_look")) & F.col("text").isNotNull(), "left")
     left = F.expr("array_join(filter(split(text, '\n', -1), (x, i) -> NOT array_contains(_gone, i)), '\n')")
     count = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("long")
     columns = [F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]

@@ -120,6 +120,15 @@ def test_line_dedup_against_brute_force(spark, monkeypatch):
     assert linedup.dedup_lines(docs.limit(0)).collect() == []
 
 
+def test_line_dedup_tells_rows_of_one_id_apart(spark):
+    a, b, c, d, e = (prose(900 + s, 12, 5000) for s in range(5))
+    rows = [(1, a), (None, f"{a}\n{b}"), (None, f"{c}\n{d}"), (None, f"{e}\n{d}"), (2, f"{a}\n{e} x"), (2, b)]
+    got = linedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text for r in got if r.doc_id is not None) == sorted([a, f"{e} x", b])
+    left = [r.text for r in got if r.doc_id is None]
+    assert sorted(left) in (sorted(["", f"{c}\n{d}", ""]), sorted(["", c, d]))
+
+
 def test_leaks(spark):
     item, other = prose(1, 40), prose(2, 30)
     edited = item.split()
