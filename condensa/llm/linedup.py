@@ -3,12 +3,19 @@
 A line's tokens are its distinct words, ordered by rarity: by how often the
 words of a hash bucket occur in all documents, then by hash.  The order is the
 same for all lines and its table is bounded, so it is broadcast.  Lines with
-equal token sets form a class.  A class sends the tokens of its prefix (the
-rarest, n - ceil(t n) + 1 of n) to the tasks of these tokens; there the
-length and positional filters and a 128-bit parity sketch, which bounds the
-symmetric difference from below, leave few pairs.  Their components, not the
-pairs, come back; each class is sent with all tokens to its component once, in
-blocks where that is large, and the Jaccard of its pairs is verified.
+equal token sets form a class, which stands where its first line does.  A class
+sends the tokens of its prefix (the rarest, n - ceil(t n) + 1 of n) to the
+tasks of these tokens; there the length and positional filters and a 128-bit
+parity sketch, which bounds the symmetric difference from below, leave few
+pairs.
+
+A class goes if any earlier one matches, so not all pairs are needed: in each
+round a class that is still open is verified on all tokens with the earliest
+few candidates of each of its tokens, and what was matched is settled.  Classes
+that found none, but have candidates left, go on with eight times as many, until
+none has.  A token that more than TOKEN_BLOCK classes share is split in parts
+by class; only open classes are sent to all of its parts, from the second round
+on, so rows stay nearly linear in a group of near copies.
 """
 
 from __future__ import annotations
@@ -21,17 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from condensa.llm import blocks, bloom
-from condensa.llm.graph import components
-from condensa.llm.jaccard import set_keys, shared_counts
+from condensa.llm.jaccard import set_keys
 from condensa.llm.scratch import Scratch
 
 U64 = np.uint64
 #: Buckets of the word counts and of the prefix tokens' loads; entries of a token in a task; pairs compared at once.
 COUNT_BITS, LOAD_BITS, TOKEN_BLOCK, PAIR_BLOCK = 20, 20, 4096, 1 << 19
-#: Lines and tokens that a block of a component holds, in expectation.
-BLOCK_LINES, BLOCK_TOKENS = 128, 1 << 20
-#: Lines up to which a component's pairs are counted token by token.
-SMALL_GROUP = 12
+#: By how much the candidates that a class asks for grow from round to round.
+MORE = 8
 
 
 def line_ends(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +79,7 @@ def prefix_length(n: np.ndarray, t: float) -> np.ndarray:
     return n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
 
 
-_LINE = "doc_id line cid id occ n s1 s2"
+_LINE = "doc_id line look cid occ n s1 s2"
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,14 +123,14 @@ def _half(keys: pa.Array) -> np.ndarray:
     return np.frombuffer(keys.buffers()[2], ">u8").reshape(-1, 2)[:, 0].astype(U64) if len(keys) else np.zeros(0, U64)
 
 
-def _occurrence(half: np.ndarray, docs: pa.Array, line: np.ndarray) -> np.ndarray:
-    """A hash of a line's set, document and number."""
-    ids = np.asarray(docs.fill_null(-1), np.int64).view(U64)
+def _occurrence(half: np.ndarray, docs: pa.Array, look: pa.Array, line: np.ndarray) -> np.ndarray:
+    """A hash of a line's set, document and number: rows of one id and text share it."""
+    ids = np.asarray(docs.fill_null(-1), np.int64).view(U64) + blocks.mix(np.asarray(look, np.int64).view(U64) ^ np.asarray(docs.is_null()).astype(U64))
     return blocks.mix(half ^ blocks.mix(ids * U64(0x9E3779B97F4A7C15) + line.astype(U64))).view(np.int64)
 
 
 def _lines(counts, t: float):
-    """Each line with a word: doc_id, number, set key, size, sketch, prefix (32 bits of each token) and its text's hash."""
+    """Each line with a word: where it is, set key, size, sketch and prefix (32 bits of each token)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -144,11 +148,10 @@ def _lines(counts, t: float):
                 text = np.repeat(np.arange(batch.num_rows), np.diff(at))
                 number = np.arange(len(n)) - at[:-1][text]
                 prefix = blocks.lists((ordered[first] & U64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), ends).take(pa.array(some))
-                keys, docs = set_keys(uniq, rows), batch.column("doc_id").take(pa.array(text))
-                half = _half(keys)
-                columns = [docs, pa.array(number.astype(np.int32)), keys, pa.array(half.view(np.int64)), pa.array(_occurrence(half, docs, number)), pa.array(n.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))]
-                look = batch.column("look").take(pa.array(text[some]))
-                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(some)) for c in columns), prefix, look], names=[*_LINE.split(), "prefix", "look"])
+                keys, docs, look = set_keys(uniq, rows), batch.column("doc_id").take(pa.array(text)), batch.column("look").take(pa.array(text))
+                occ = _occurrence(_half(keys), docs, look, number)
+                columns = [docs, pa.array(number.astype(np.int32)), look, keys, pa.array(occ), pa.array(n.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))]
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(some)) for c in columns), prefix], names=[*_LINE.split(), "prefix"])
 
     return run
 
@@ -162,186 +165,161 @@ def _loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(total[hit])], names=["bucket", "n"])
 
 
+def _crowded(loads):
+    """(token, n) of the tokens whose bucket holds more than a block: what a batch has of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = np.asarray(batch.column("prefix").flatten(), np.int32)
+            token, n = np.unique(tokens[loads.value[tokens & ((1 << LOAD_BITS) - 1)] > TOKEN_BLOCK], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(n)], names=["token", "n"])
+
+    return run
+
+
+_ENTRY = "token int, occ long, at long, npos long, s1 long, s2 long"
+
+
 def _entries(loads):
-    """An entry for each prefix token that other lines may hold; for a token with many, one for each pair of parts."""
+    """An entry for each prefix token that other classes may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("prefix")
-            tokens = np.asarray(lists.flatten(), np.int64)
+            tokens = np.asarray(lists.flatten(), np.int32)
             size = np.asarray(lists.value_lengths(), np.int64)
             owner = np.repeat(np.arange(len(size)), size)
             place = np.arange(len(tokens)) - np.repeat(np.cumsum(size) - size, size)
-            load = loads.value[tokens & ((1 << LOAD_BITS) - 1)]
-            keep = load > 1
-            tokens, owner, place, load = tokens[keep], owner[keep], place[keep], load[keep]
-            parts = -(-load // TOKEN_BLOCK).astype(np.int64)
-            at = np.repeat(np.arange(len(tokens)), parts)
-            other = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
-            ident = np.asarray(batch.column("id"), np.int64)
-            mine = (ident[owner[at]].view(np.uint64) % parts[at].astype(U64)).astype(np.int64)
-            pair = (np.minimum(mine, other) << 16) | np.maximum(mine, other)
-            for a in range(0, len(at), 1 << 18):
-                s = slice(a, a + (1 << 18))
-                who = pa.array(owner[at[s]])
-                n = np.asarray(batch.column("n"), np.int64)[owner[at[s]]]
+            keep = loads.value[tokens & ((1 << LOAD_BITS) - 1)] > 1
+            tokens, owner, place = tokens[keep], owner[keep], place[keep]
+            n = np.asarray(batch.column("n"), np.int64)
+            for a in range(0, len(tokens), 1 << 16):
+                who, s = owner[a : a + (1 << 16)], slice(a, a + (1 << 16))
+                at = pa.array(who)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((tokens[at[s]] << 32) ^ pair[s]), pa.array(ident[owner[at[s]]]), pa.array((n << 32) | place[at[s]]), batch.column("s1").take(who), batch.column("s2").take(who)],
-                    names=["key", "id", "npos", "s1", "s2"],
+                    [pa.array(tokens[s]), batch.column("occ").take(at), batch.column("at").take(at), pa.array((n[who] << 32) | place[s]), batch.column("s1").take(at), batch.column("s2").take(at)],
+                    names=[x.split()[0] for x in _ENTRY.split(", ")],
                 )
 
     return run
 
 
-def _join_groups(key: np.ndarray, n: np.ndarray, pos: np.ndarray, s1: np.ndarray, s2: np.ndarray, t: float) -> np.ndarray:
-    """The entry that each entry is tied to, under pairs of a token's entries that pass the filters; entries sorted by (key, n)."""
-    m = len(key)
-    root, s1, s2 = np.arange(m), s1.view(U64), s2.view(U64)
-    group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
-    upto = np.searchsorted((group << 32) | n, (group << 32) | np.floor(n / t + 1e-9).astype(np.int64), "right")
-    count = upto - np.arange(m) - 1
+def _pair_blocks(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) for each j in lo[i]:hi[i], a bounded number at once but for a single i."""
+    count = np.maximum(hi - lo, 0)
     ahead = np.concatenate([[0], np.cumsum(count)])
-    a = 0
+    a, m = 0, len(count)
     while a < m:
         b = max(a + 1, int(np.searchsorted(ahead, ahead[a] + PAIR_BLOCK, "right")) - 1)
         i = np.repeat(np.arange(a, b), count[a:b])
-        j = i + 1 + np.arange(len(i)) - np.repeat(ahead[a:b] - ahead[a], count[a:b])
+        yield i, np.arange(len(i)) + np.repeat(lo[a:b] - (ahead[a:b] - ahead[a]), count[a:b])
+        a = b
+
+
+def _earliest(x: np.ndarray, y: np.ndarray, at: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of each x with its first few y."""
+    order = np.lexsort((y, at[y], x))
+    x, y = x[order], y[order]
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    rank = np.arange(len(x)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(x) else np.zeros(0, np.int64)
+    return x[rank < most], y[rank < most]
+
+
+def _partners(table: np.ndarray, t: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, whether x has more): candidates y that are no later than x, the first few of each x; table is sorted by (key, n).
+
+    The rows are key, class, place, size and position, sketch, and whether the
+    row asks (1), answers (0) or does both (2).
+    """
+    key, occ, at, npos, s1, s2, role = table
+    n, pos, s1, s2 = npos >> 32, npos & 0xFFFFFFFF, s1.view(U64), s2.view(U64)
+    group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) << 32
+    upto = np.searchsorted(group | n, group | np.floor(n / t + 1e-9).astype(np.int64), "right")
+    if both := bool((role == 2).all()):
+        lo = np.arange(len(key)) + 1
+    else:
+        lo = np.where(role == 1, np.searchsorted(group | n, group | np.ceil(t * n - 1e-9).astype(np.int64)), upto)
+    total, x, y = np.zeros(len(key), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for i, j in _pair_blocks(lo, upto):
+        if not both:
+            ok = (role[j] == 0) & (at[j] <= at[i]) & (occ[j] != occ[i])
+            i, j = i[ok], j[ok]
         least = need(n[i], n[j], t)
         can = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least
         i, j, least = i[can], j[can], least[can]
         apart = np.bitwise_count(s1[i] ^ s1[j]).astype(np.int64) + np.bitwise_count(s2[i] ^ s2[j])
-        can = apart <= n[i] + n[j] - 2 * least
+        can = (apart <= n[i] + n[j] - 2 * least) & (occ[i] != occ[j])
         i, j = i[can], j[can]
-        while len(i):  # contraction of what is left of this block's pairs
-            u, v = root[i], root[j]
-            lo, hi = np.minimum(u, v), np.maximum(u, v)
-            if (lo == hi).all():
-                break
-            np.minimum.at(root, hi, lo)
-            while (root != root[root]).any():
-                root = root[root]
-        a = b
-    return root
+        if both:  # of two classes at one place either may be the later one
+            i, j = np.concatenate([i[at[i] >= at[j]], j[at[j] >= at[i]]]), np.concatenate([j[at[i] >= at[j]], i[at[j] >= at[i]]])
+        total += np.bincount(i, minlength=len(key))
+        x, y = _earliest(np.concatenate([x, i]), np.concatenate([y, j]), at, most)
+    return x, y, total[x] > most
 
 
-def _candidates(t: float):
-    """Entries sorted by key: (id, id) ties of the lines of each token."""
+def _candidates(t: float, most: int):
+    """Entries sorted by key: pairs (x, y) of classes, and whether the token has more for x."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        for table in whole_keys(batches):
+            table = table[:, np.lexsort((table[3] >> 32, table[0]))]
+            x, y, more = _partners(table, t, most)
+            yield pa.RecordBatch.from_arrays([pa.array(table[1][x]), pa.array(table[1][y]), pa.array(more)], names=["x", "y", "more"])
 
-        def flush(table: np.ndarray) -> pa.RecordBatch:
-            table = table[:, np.lexsort((table[2] >> 32, table[0]))]
-            key, ident, npos, s1, s2 = table
-            root = _join_groups(key, npos >> 32, npos & 0xFFFFFFFF, s1, s2, t)
-            x, y = ident, ident[root]
-            away = x != y
-            both = np.unique(np.stack([np.minimum(x, y)[away], np.maximum(x, y)[away]], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+    return run
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = np.stack([np.asarray(c, np.int64) for c in batch.columns])
-            last = int(np.searchsorted(table[0], table[0, -1], "left")) if table[0, 0] != table[0, -1] else 0
-            if last:
-                yield flush(np.concatenate([*held, table[:, :last]], 1))
-                held = []
-            elif held and held[-1][0, -1] != table[0, 0]:
-                yield flush(np.concatenate(held, 1))
-                held = []
-            held.append(table[:, last:])
-        if held:
-            yield flush(np.concatenate(held, 1))
 
-    return run
+def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Integer columns as rows of a table, sorted by the first, cut only between its values."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = np.stack([np.asarray(c, np.int64) for c in batch.columns])
+        if held and held[-1][0, -1] != table[0, 0]:
+            yield np.concatenate(held, 1)
+            held = []
+        last = int(np.searchsorted(table[0], table[0, -1], "left"))
+        if last:
+            yield np.concatenate([*held, table[:, :last]], 1)
+            held = []
+        held.append(table[:, last:])
+    if held:
+        yield np.concatenate(held, 1)
 
 
 def _full_sets(wanted):
-    """Token sets of the lines that may be wanted."""
+    """Token sets and places of the lines that may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in blocks.slices(whole, "text"):
                 uniq, rows, at = token_sets(batch.column("text"))
                 text = np.repeat(np.arange(batch.num_rows), np.diff(at))
-                half = _half(set_keys(uniq, rows))
-                occ = _occurrence(half, batch.column("doc_id").take(pa.array(text)), np.arange(len(text)) - at[:-1][text])
-                at = pa.array(np.flatnonzero(bloom.hits(wanted, occ) & (np.diff(rows) > 0)))
-                yield pa.RecordBatch.from_arrays([pa.array(half.view(np.int64)).take(at), pa.array(occ).take(at), blocks.lists(uniq, rows).take(at)], names=["id", "occ", "tokens"])
+                docs, look = (batch.column(c).take(pa.array(text)) for c in ("doc_id", "look"))
+                line = np.arange(len(text)) - at[:-1][text]
+                occ = _occurrence(_half(set_keys(uniq, rows)), docs, look, line)
+                some = pa.array(np.flatnonzero(bloom.hits(wanted, occ) & (np.diff(rows) > 0)))
+                columns = [pa.array(occ), docs, pa.array(line.astype(np.int32)), look]
+                yield pa.RecordBatch.from_arrays([*(c.take(some) for c in columns), blocks.lists(uniq, rows).take(some)], names=["occ", "doc_id", "line", "look", "tokens"])
 
     return run
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows sorted by a number in the first column, cut only between its values."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = np.asarray(batch.column(0), np.int64)
-        if held and held[-1].column(0)[-1].as_py() != key[0]:
-            yield pa.Table.from_batches(held)
-            held = []
-        last = int(np.searchsorted(key, key[-1], "left"))
-        if last:
-            yield pa.Table.from_batches([*held, batch.slice(0, last)])
-            held = []
-        held.append(batch.slice(last))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _pairs_by_token(group: np.ndarray, owner: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, shared tokens) of the owners of a group that share any."""
-    order = np.lexsort((owner, tokens, group))
-    group, owner, tokens = group[order], owner[order], tokens[order]
-    ends = np.flatnonzero(np.concatenate([(group[1:] != group[:-1]) | (tokens[1:] != tokens[:-1]), [True]])) + 1
-    end_of = np.repeat(ends, np.diff(np.concatenate([[0], ends])))
-    count = end_of - np.arange(len(owner)) - 1
-    i = np.repeat(np.arange(len(owner)), count)
-    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
-    pair, n = np.unique((owner[i].astype(np.int64) << 32) | owner[j], return_counts=True)
-    return pair >> 32, pair & 0xFFFFFFFF, n
-
-
-def _links(group: np.ndarray, tokens: np.ndarray, rows: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of a group (contiguous) with a Jaccard of at least t: by shared tokens in small groups, by matrices in others."""
-    size = np.diff(rows)
-    cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
-    many = np.repeat(np.diff(cuts) > SMALL_GROUP, np.diff(cuts))
-    owner = np.repeat(np.arange(len(size)), size)
-    few = ~many[owner]
-    i, j, share = _pairs_by_token(np.repeat(group, size)[few], owner[few], tokens[few])
-    out_i, out_j, out_n = [i], [j], [share]
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        if b - a > SMALL_GROUP:
-            m = shared_counts(tokens[rows[a] : rows[b]], rows[a : b + 1] - rows[a])
-            x, y = np.nonzero(np.triu(m, 1))
-            out_i, out_j, out_n = [*out_i, x + a], [*out_j, y + a], [*out_n, m[x, y]]
-    i, j, share = (np.concatenate(x) for x in (out_i, out_j, out_n))
-    ok = share >= t * (size[i] + size[j] - share) - 1e-6
-    return i[ok], j[ok]
-
-
-def _verify(t: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _whole_groups(batches):
-            first = found.select(["key", "cid"]).append_column("row", pa.array(np.arange(found.num_rows))).group_by(["key", "cid"]).aggregate([("row", "min")])
-            found = found.take(pa.array(np.sort(first.column("row_min").to_numpy())))  # repeated rows of a document
-            lists = found.column("tokens").combine_chunks()
-            rows = np.asarray(lists.offsets, np.int64)
-            i, j = _links(found.column("key").to_numpy(), np.asarray(lists.values, np.int64)[rows[0] : rows[-1]], rows - rows[0], t)
-            early = np.zeros(len(i), bool)  # whether i comes before j, and the other way round
-            late = np.zeros(len(i), bool)
-            for c in ("look", "line", "doc_id", "no_id"):  # the last is the most significant
-                x = found.column(c).fill_null(0 if c != "no_id" else False).to_numpy()
-                same = x[i] == x[j]
-                early, late = (x[i] < x[j]) | same & early, (x[i] > x[j]) | same & late
-            gone = np.unique(np.concatenate([j[early], i[late]]))
-            yield pa.RecordBatch.from_arrays([found.column("cid").combine_chunks().take(pa.array(gone))], names=["cid"])
-
-    return run
+def _matched(texts: DataFrame, pairs: DataFrame, classes: DataFrame, t: float, scratch: Scratch, name: str) -> DataFrame:
+    """(occ): of each pair whose token sets match, the later class."""
+    asked = scratch.keep(pairs.select(F.explode(F.array("x", "y")).alias("occ")).distinct(), f"asked{name}")
+    if name != "0":  # few are left: only the documents that hold them are read
+        held = classes.join(asked, "occ", "left_semi").select("doc_id", "look").distinct()
+        texts = texts.alias("t").join(held.alias("h"), F.expr("t.doc_id <=> h.doc_id AND t.look = h.look"), "left_semi")
+    sets = texts.mapInArrow(_full_sets(bloom.build(asked, "occ", asked.count())), "occ long, doc_id long, line int, look long, tokens array<long>")
+    sets = scratch.keep(sets.join(asked, "occ", "left_semi").dropDuplicates(["occ"]), f"sets{name}")
+    one, two = (sets.select(F.col("occ").alias(c), F.struct("doc_id", "line", "look").alias(f"p{c}"), F.col("tokens").alias(f"t{c}")) for c in "xy")
+    both = pairs.select("x", "y").join(one, "x").join(two, "y").withColumn("same", F.size(F.array_intersect("tx", "ty")))
+    later = F.struct(F.isnull("px.doc_id"), "px.doc_id", "px.line", "px.look", "x") > F.struct(F.isnull("py.doc_id"), "py.doc_id", "py.line", "py.look", "y")
+    found = both.where(F.col("same") >= t * (F.size("tx") + F.size("ty") - F.col("same")) - 1e-6)
+    return scratch.keep(found.select(F.when(later, F.col("x")).otherwise(F.col("y")).alias("occ")).distinct(), f"matched{name}")
 
 
 def later_matches(docs: DataFrame, threshold: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
@@ -355,45 +333,63 @@ def later_matches(docs: DataFrame, threshold: float = 0.8, scratch: Scratch | No
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "lines")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    counts = spark.sparkContext.broadcast(_dense(texts.mapInArrow(_word_counts, "bucket int, n long"), COUNT_BITS))
-    lines = scratch.keep(texts.withColumn("look", F.xxhash64("text")).mapInArrow(_lines(counts, threshold), "doc_id long, line int, cid binary, id long, occ long, n int, s1 long, s2 long, prefix array<int>, look long"), "lines")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").withColumn("look", F.xxhash64("text"))
+    counts = spark.sparkContext.broadcast(_dense(texts.select("text").mapInArrow(_word_counts, "bucket int, n long"), COUNT_BITS))
+    lines = scratch.keep(texts.mapInArrow(_lines(counts, threshold), "doc_id long, line int, look long, cid binary, occ long, n int, s1 long, s2 long, prefix array<int>"), "lines")
     place = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "line", "look", "occ")
-    rest = F.struct("id", "n", "s1", "s2", "prefix")
-    classes = scratch.keep(lines.groupBy("cid").agg(F.min(place).alias("rep"), F.first(rest).alias("x")).select("cid", "rep", "x.*"), "classes")
-    loads = spark.sparkContext.broadcast(_dense(classes.select("prefix").mapInArrow(_loads, "bucket int, n long"), LOAD_BITS))
-    entries = classes.select("id", "n", "s1", "s2", "prefix").mapInArrow(_entries(loads), "key long, id long, npos long, s1 long, s2 long")
-    entries = entries.repartition(F.col("key")).sortWithinPartitions("key")
-    ties = scratch.keep(entries.mapInArrow(_candidates(threshold), "a long, b long"), "ties")
-    near = components(ties, scratch, "near")
-    member = near.withColumnRenamed("node", "id").join(classes.select("id", "cid", "rep", "n"), "id")
-    parts = member.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_LINES), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("parts"))
-    wanted = scratch.keep(member.join(parts, "root").select("id", "cid", "root", "parts", "rep.*"), "wanted")
-    held = bloom.build(wanted, "occ", wanted.count())
-    part = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
-    spread = (
-        texts.mapInArrow(_full_sets(held), "id long, occ long, tokens array<long>")
-        .join(wanted, ["id", "occ"])
-        .withColumn("part", part)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select(F.xxhash64("root", F.least("part", "other"), F.greatest("part", "other")).alias("key"), "cid", "no_id", "doc_id", "line", "look", "tokens")
-    )
-    spread = spread.repartition(F.col("key")).sortWithinPartitions("key")
-    gone = scratch.keep(spread.mapInArrow(_verify(threshold), "cid binary").distinct(), "gone")
-    fate = classes.select("cid", "rep").join(gone.withColumn("gone", F.lit(True)), "cid", "left")
-    later = F.struct(F.isnull("l.doc_id"), "l.doc_id", "l.line", "l.look") > F.struct("f.rep.no_id", "f.rep.doc_id", "f.rep.line", "f.rep.look")
-    out = lines.select("cid", "doc_id", "line", "look").alias("l").join(fate.alias("f"), "cid").where(F.coalesce("gone", F.lit(False)) | later)
-    return scratch.keep(out.select("doc_id", "look", "line").distinct(), "out").groupBy("doc_id", "look").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    grouped = lines.groupBy("cid").agg(F.min(place).alias("rep"), F.first(F.struct("n", "s1", "s2", "prefix")).alias("x"), F.count("*").alias("copies"))
+    classes = scratch.keep(grouped.select("cid", "rep.*", "x.*", "copies"), "classes")
+    # a number that never falls from one place to a later one: with the line where the ids leave room for it
+    low, high = classes.agg(F.min("doc_id"), F.max("doc_id")).first()
+    room = max(abs(low or 0), abs(high or 0)) < 1 << 39
+    at = F.col("doc_id") * (1 << 23) + F.least("line", F.lit((1 << 23) - 1)) if room else F.col("doc_id")
+    asking = classes.select("occ", F.coalesce(at, F.lit((1 << 63) - 1)).alias("at"), "n", "s1", "s2", "prefix")
+    loads = spark.sparkContext.broadcast(_dense(asking.select("prefix").mapInArrow(_loads, "bucket int, n long"), LOAD_BITS))
+    crowded = asking.select("prefix").mapInArrow(_crowded(loads), "token int, n long").groupBy("token").agg(F.ceil(F.sum("n") / TOKEN_BLOCK).cast("int").alias("parts")).where("parts > 1")
+    crowded = scratch.keep(crowded, "crowded")
+    entries = asking.mapInArrow(_entries(loads), _ENTRY).join(crowded, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own, rest = F.pmod(F.xxhash64("occ"), F.col("parts")).cast("int"), ["occ", "at", "npos", "s1", "s2"]
+    key = lambda part: F.when(F.col("parts") == 1, F.col("token").cast("long")).otherwise(F.xxhash64("token", part)).alias("key")
+    met = entries.select(key(own), *rest, F.lit(2).cast("long").alias("role"))
+    gone, turn, most = None, 0, 1
+    while True:
+        met = met.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_candidates(threshold, most), "x long, y long, more boolean")
+        pairs = scratch.keep(met.groupBy("x", "y").agg(F.max("more").alias("more")), f"pairs{turn}")
+        found = _matched(texts, pairs, classes, threshold, scratch, str(turn))
+        gone = found if gone is None else gone.union(found)
+        left = pairs.where("more").select(F.col("x").alias("occ"))
+        if not turn:
+            left = left.union(entries.where("parts > 1").select("occ"))
+        left = scratch.keep(left.distinct().join(gone, "occ", "left_anti"), f"left{turn}")
+        scratch.drop(f"pairs{turn}", f"asked{turn}", f"sets{turn}", f"left{turn - 1}")
+        if left.isEmpty():
+            break
+        turn, most = turn + 1, most * MORE
+        probes = scratch.keep(entries.join(left, "occ", "left_semi"), f"probes{turn}")
+        homes = entries.join(probes.select("token").distinct(), "token", "left_semi").select(key(own), *rest, F.lit(0).cast("long").alias("role"))
+        spread = probes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        met = homes.unionByName(spread.select(key(F.col("part")), *rest, F.lit(1).cast("long").alias("role")))
+    fate = classes.select("cid", "doc_id", "line", "look", "occ", "copies").join(gone.distinct().withColumn("gone", F.lit(True)), "occ", "left")
+    fate = scratch.keep(fate.where("copies > 1 OR gone").withColumn("gone", F.coalesce("gone", F.lit(False))), "fate")
+    alone = fate.where("copies = 1").select("doc_id", "look", "line")
+    several = fate.where("copies > 1").select("cid", "occ", "gone").alias("f")
+    out = lines.select("cid", "doc_id", "line", "look", "occ").alias("l").join(several, "cid").where("f.gone OR l.occ <> f.occ").select("doc_id", "look", "line")
+    return scratch.keep(out.union(alone).distinct(), "out").groupBy("doc_id", "look").agg(F.array_sort(F.collect_list("line")).alias("lines"))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
     """docs with later matching lines cut out of `text`, and the columns _lines and _removed: lines it had, and lost.
 
-    Null texts stay null and have no lines; see later_matches.
+    Null texts stay null and have no lines; see later_matches.  Other columns
+    pass through; columns of docs that are called _lines or _removed are
+    replaced.
     """
-    gone = later_matches(docs, threshold, scratch).select(F.col("doc_id").alias("_gone_id"), F.col("look").alias("_gone_look"), F.col("lines").alias("_gone"))
-    told = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_gone_look")) & F.col("text").isNotNull(), "left")
-    left = F.expr("array_join(filter(split(text, '\n', -1), (x, i) -> NOT array_contains(_gone, i)), '\n')")
-    count = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("long")
-    columns = [F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return told.select(*columns, count.alias("_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_removed"))
+    # whether each line up to the last removed one stays
+    stays = F.expr("flatten(transform(lines, (x, k) -> concat(array_repeat(true, x - coalesce(get(lines, k - 1) + 1, 0)), array(false))))")
+    gone = later_matches(docs, threshold, scratch).select(F.col("doc_id").alias("id"), "look", F.size("lines").cast("long").alias("n"), stays.alias("stays")).alias("g")
+    d = docs.drop("_lines", "_removed").alias("d")
+    told = d.join(gone, F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.id")) & (F.xxhash64(F.col("d.text").cast("string")) == F.col("g.look")) & F.col("d.text").isNotNull(), "left")
+    cut = F.expr("array_join(filter(split(d.text, '\n', -1), (x, i) -> coalesce(get(g.stays, i), true)), '\n')")
+    count = F.coalesce(F.length("d.text") - F.length(F.replace(F.col("d.text"), F.lit("\n"))) + 1, F.lit(0)).cast("long")
+    columns = [F.when(F.col("g.n").isNull(), F.col("d.text")).otherwise(cut).alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns if c not in ("_lines", "_removed")]
+    return told.select(*columns, count.alias("_lines"), F.coalesce(F.col("g.n"), F.lit(0)).cast("long").alias("_removed"))

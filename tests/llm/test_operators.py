@@ -94,8 +94,8 @@ def brute_lines(rows, t=0.8):
 
 
 def test_line_dedup_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(linedup, "BLOCK_LINES", 3)
-    monkeypatch.setattr(linedup, "TOKEN_BLOCK", 2)
+    monkeypatch.setattr(linedup, "TOKEN_BLOCK", 2)  # tokens split in parts
+    monkeypatch.setattr(linedup, "MORE", 2)  # several rounds
     rng = np.random.default_rng(8)
     pool = [prose(s, int(rng.integers(1, 25)), 60) for s in range(40)]
     rows = []
@@ -129,6 +129,31 @@ def test_line_dedup_tells_rows_of_one_id_apart(spark):
     assert sorted(left) in (sorted(["", f"{c}\n{d}", ""]), sorted(["", c, d]))
 
 
+def test_line_dedup_of_many_lines_long_texts_and_clashing_columns(spark):
+    """A text of 60,000 lines, negative and huge ids, a cluster whose first candidates fail, and columns of the operator's own names."""
+    rng = np.random.default_rng(4)
+    many = "\n".join(f"{a} {b} common" for a, b in rng.integers(0, 900, (60000, 2)))
+    stem = prose(71, 20).split()
+    chain = []
+    for k in range(40):  # each shares most words with its neighbours only
+        chain.append(" ".join(stem[k % 5 :] + [f"c{k // 3}", f"c{k // 4}", f"d{k}"]))
+    rows = [(2**62, many), (-(2**62), "\n".join(chain[::-1])), (7, "\n".join(chain)), (None, chain[3] + "\n" + "alone here now"), (8, "x" * 300000 + "\n" + "x" * 300000)]
+    docs = spark.createDataFrame([(a, b, 1, 2, 3, 4, 5) for a, b in rows], "doc_id long, text string, _lines int, _removed int, look int, stays int, lines int")
+    got = {r.doc_id: r for r in linedup.dedup_lines(docs).collect()}
+    seen, want = {}, {}
+    for d, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        out = []
+        for x in text.split("\n"):
+            s = frozenset(WORD.findall(x))
+            near = s in seen.setdefault(len(s), {}) or any(len(s & q) >= 0.8 * len(s | q) for n, sets in seen.items() if n > 3 and 0.8 * n <= len(s) <= n / 0.8 for q in sets)
+            seen[len(s)][s] = 1
+            if not near:
+                out.append(x)
+        want[d] = "\n".join(out)
+    assert {d: r.text for d, r in got.items()} == want
+    assert got[7].look == 3 and got[7].stays == 4 and got[7]._lines == 40 and got[2**62]._lines == 60000
+
+
 def test_leaks(spark):
     item, other = prose(1, 40), prose(2, 30)
     edited = item.split()
