@@ -10,12 +10,17 @@ parity sketch, which bounds the symmetric difference from below, leave few
 pairs.
 
 A class goes if any earlier one matches, so not all pairs are needed: in each
-round a class that is still open is verified on all tokens with the earliest
-few candidates of each of its tokens, and what was matched is settled.  Classes
-that found none, but have candidates left, go on with eight times as many, until
-none has.  A token that more than TOKEN_BLOCK classes share is split in parts
-by class; only open classes are sent to all of its parts, from the second round
-on, so rows stay nearly linear in a group of near copies.
+round a class that is still open is verified on all tokens with the likeliest
+few of each token's earlier candidates, and what was matched is settled.
+Classes that found none, but have candidates left, go on with many times more,
+until none has.
+
+A token that very many classes share is told by pairs: sets that match share
+two tokens of a prefix that is longer by one, so such a token is a key together
+with each later one.  A key that is still shared by more than TOKEN_BLOCK
+classes is split in parts by class; only open classes are sent to all of its
+parts, from the second round on, so rows stay nearly linear in a group of near
+copies.  Entries travel packed, many to a row.
 """
 
 from __future__ import annotations
@@ -32,10 +37,12 @@ from condensa.llm.jaccard import set_keys
 from condensa.llm.scratch import Scratch
 
 U64 = np.uint64
-#: Buckets of the word counts and of the prefix tokens' loads; entries of a token in a task; pairs compared at once.
+#: Buckets of the word counts and of the keys' loads; entries of a key in a task; pairs compared at once.
 COUNT_BITS, LOAD_BITS, TOKEN_BLOCK, PAIR_BLOCK = 20, 20, 4096, 1 << 19
-#: By how much the candidates that a class asks for grow from round to round.
-MORE = 8
+#: Entries of a shard, in expectation, and entries that a task packs at once; buckets of a row of sums.
+SHARD, PACK, CHUNK = 1 << 17, 1 << 19, 4096
+#: Candidates that a class asks a key for in the first round, and by how much they grow from round to round.
+FEW, MORE = 4, 64
 
 
 def line_ends(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,23 +89,42 @@ def prefix_length(n: np.ndarray, t: float) -> np.ndarray:
 _LINE = "doc_id line look cid occ n s1 s2"
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << COUNT_BITS, np.int64)
-    for whole in batches:
-        for batch in blocks.slices(whole, "text"):
-            uniq, _, _ = token_sets(batch.column("text"))
-            which, n = np.unique(uniq >> U64(64 - COUNT_BITS), return_counts=True)
-            total[which.astype(np.int64)] += n
-    hit = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(total[hit])], names=["bucket", "n"])
+def _chunks(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of sums, without those that are all 0."""
+    rows = total.reshape(-1, min(CHUNK, len(total)))
+    at = np.flatnonzero(rows.any(1))
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([rows[i].tobytes() for i in at], pa.binary())], names=["chunk", "sums"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, sums in zip(batch.column("chunk").to_pylist(), batch.column("sums").to_pylist()):
+            row = np.frombuffer(sums, np.int64)
+            total[chunk] = total[chunk] + row if chunk in total else row
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["chunk", "sums"])
 
 
 def _dense(df: DataFrame, bits: int) -> np.ndarray:
-    """Bucket sums as an array; no more rows than buckets reach the driver."""
-    got = df.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    """Sums of the rows of _chunks; no more numbers than buckets reach the driver."""
     out = np.zeros(1 << bits, np.int64)
-    out[np.asarray(got.column("bucket"))] = np.asarray(got.column("n"))
-    return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
+    rows = out.reshape(-1, min(CHUNK, len(out)))
+    got = df.repartition(F.col("chunk")).mapInArrow(_added, "chunk int, sums binary").toArrow()
+    for chunk, sums in zip(got.column("chunk").to_pylist(), got.column("sums").to_pylist()):
+        rows[chunk] = np.frombuffer(sums, np.int64)
+    return out
+
+
+def _clipped(sums: np.ndarray) -> np.ndarray:
+    return np.minimum(sums, np.iinfo(np.int32).max).astype(np.int32)
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << COUNT_BITS, np.int64)
+    for whole in batches:
+        for batch in blocks.slices(whole, "text"):
+            total += np.bincount((blocks.words(batch.column("text")).hash >> U64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
+    yield from _chunks(total)
 
 
 def _sketch(uniq: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,15 +144,10 @@ def rarity(often: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(often + 1.0) * 128, 4095).astype(U64)
 
 
-def _half(keys: pa.Array) -> np.ndarray:
-    """The first 64 bits of 128-bit keys."""
-    return np.frombuffer(keys.buffers()[2], ">u8").reshape(-1, 2)[:, 0].astype(U64) if len(keys) else np.zeros(0, U64)
-
-
-def _occurrence(half: np.ndarray, docs: pa.Array, look: pa.Array, line: np.ndarray) -> np.ndarray:
-    """A hash of a line's set, document and number: rows of one id and text share it."""
+def _occurrence(docs: pa.Array, look: pa.Array, line: np.ndarray) -> np.ndarray:
+    """A hash of a line's document and number: rows of one id and text share it."""
     ids = np.asarray(docs.fill_null(-1), np.int64).view(U64) + blocks.mix(np.asarray(look, np.int64).view(U64) ^ np.asarray(docs.is_null()).astype(U64))
-    return blocks.mix(half ^ blocks.mix(ids * U64(0x9E3779B97F4A7C15) + line.astype(U64))).view(np.int64)
+    return blocks.mix(blocks.mix(ids) + line.astype(U64)).view(np.int64)
 
 
 def _lines(counts, t: float):
@@ -140,66 +161,125 @@ def _lines(counts, t: float):
                 some = np.flatnonzero(n > 0)
                 owner = np.repeat(np.arange(len(n)), n)
                 often = counts.value[(uniq >> U64(64 - COUNT_BITS)).astype(np.int64)]
-                ordered = sort_within(owner, (rarity(often) << U64(32)) | (uniq >> U64(32)))
+                ordered = sort_within(owner, (often.astype(U64) << U64(32)) | (uniq >> U64(32)))
                 place = np.arange(len(uniq)) - np.repeat(rows[:-1], n)
-                first = place < np.repeat(prefix_length(n, t), n)
+                first = place < np.repeat(prefix_length(n, t) + 1, n)  # one more, for keys of two
                 ends = np.concatenate([[0], np.cumsum(first)])[rows]
                 a, b = _sketch(uniq, rows)
                 text = np.repeat(np.arange(batch.num_rows), np.diff(at))
                 number = np.arange(len(n)) - at[:-1][text]
                 prefix = blocks.lists((ordered[first] & U64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), ends).take(pa.array(some))
                 keys, docs, look = set_keys(uniq, rows), batch.column("doc_id").take(pa.array(text)), batch.column("look").take(pa.array(text))
-                occ = _occurrence(_half(keys), docs, look, number)
+                occ = _occurrence(docs, look, number)
                 columns = [docs, pa.array(number.astype(np.int32)), look, keys, pa.array(occ), pa.array(n.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))]
                 yield pa.RecordBatch.from_arrays([*(c.take(pa.array(some)) for c in columns), prefix], names=[*_LINE.split(), "prefix"])
 
     return run
 
 
-def _loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << LOAD_BITS, np.int64)
-    for batch in batches:
-        tokens = np.asarray(batch.column("prefix").flatten(), np.int64)
-        total += np.bincount(tokens & ((1 << LOAD_BITS) - 1), minlength=1 << LOAD_BITS)
-    hit = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(total[hit])], names=["bucket", "n"])
+def _load(shared, keys: np.ndarray) -> np.ndarray:
+    return shared.value[keys & ((1 << LOAD_BITS) - 1)]
+
+
+def _keys(batch: pa.RecordBatch, t: float, common) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, row, position of its token) of a batch of classes; common: loads of tokens, if any is large."""
+    n = np.asarray(batch.column("n"), np.int64)
+    tokens, size = np.asarray(batch.column("prefix").flatten(), np.int64) & 0xFFFFFFFF, np.asarray(batch.column("prefix").value_lengths(), np.int64)
+    begin = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(n)), size)
+    place = np.arange(len(tokens)) - begin[owner]
+    # sets of other tokens match only if the larger has 1 / (1 - t) of them
+    able = np.floor(n / t + 1e-9) * (1 - t) >= 1 - 1e-6
+    own = (place < prefix_length(n, t)[owner]) & able[owner]
+    key = blocks.mix(tokens.astype(U64)).view(np.int64)
+    if common is None:
+        return key[own], owner[own], place[own]
+    large = own & (_load(common, key) > TOKEN_BLOCK)
+    at = np.flatnonzero(large)
+    many = (size[owner] - place - 1)[at]
+    one = np.repeat(at, many)
+    two = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(many) - many, many)
+    both = blocks.mix(tokens[one].astype(U64) << U64(32) | tokens[two].astype(U64)).view(np.int64)
+    own &= ~large
+    return np.concatenate([key[own], both]), np.concatenate([owner[own], owner[one]]), np.concatenate([place[own], place[one]])
+
+
+def _loads(t: float, common):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << LOAD_BITS, np.int64)
+        for batch in batches:
+            total += np.bincount(_keys(batch, t, common)[0] & ((1 << LOAD_BITS) - 1), minlength=1 << LOAD_BITS)
+        yield from _chunks(total)
+
+    return run
 
 
-def _crowded(loads):
-    """(token, n) of the tokens whose bucket holds more than a block: what a batch has of each."""
+def _parts(loads, keys: np.ndarray) -> np.ndarray:
+    """In how many parts a key is split; where all keys are large, twice the mean load is let go in one."""
+    load = _load(loads, keys)
+    return np.where(load > max(TOKEN_BLOCK, 2 * loads.value.mean()), -(-load // TOKEN_BLOCK), 1)
+
+
+def _split(t: float, common, loads):
+    """The classes with a key in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = np.asarray(batch.column("prefix").flatten(), np.int32)
-            token, n = np.unique(tokens[loads.value[tokens & ((1 << LOAD_BITS) - 1)] > TOKEN_BLOCK], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(n)], names=["token", "n"])
+            key, owner, _ = _keys(batch, t, common)
+            yield pa.RecordBatch.from_arrays([batch.column("occ").take(pa.array(np.unique(owner[_parts(loads, key) > 1])))], names=["occ"])
 
     return run
 
 
-_ENTRY = "token int, occ long, at long, npos long, s1 long, s2 long"
+def _key_hashes(t: float, common):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_keys(batch, t, common)[0]))], names=["key"])
+
+    return run
 
 
-def _entries(loads):
-    """An entry for each prefix token that other classes may hold."""
+#: Columns of an entry: key with part, class, place, size and position, sketch, and role: asks (1), answers (0) or both (2).
+ENTRY = 7
+
+
+def _entries(t: float, common, loads, shards: int, role: int, wanted=None):
+    """(shard, entries): an entry for each key that other classes may hold; those that ask go to all parts of a key.
+
+    wanted: a Bloom filter of the keys to tell.
+    """
+
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        table = np.concatenate(held, 1)
+        shard = (table[0].view(U64) >> U64(40)).astype(np.int64) & (shards - 1)
+        order = np.argsort(shard, kind="stable")
+        shard, rows = shard[order], np.ascontiguousarray(table[:, order].T)
+        begin = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+        offsets = (np.append(begin, len(shard)) * 8 * ENTRY).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(shard[begin].astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(rows)])], names=["shard", "entries"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
         for batch in batches:
-            lists = batch.column("prefix")
-            tokens = np.asarray(lists.flatten(), np.int32)
-            size = np.asarray(lists.value_lengths(), np.int64)
-            owner = np.repeat(np.arange(len(size)), size)
-            place = np.arange(len(tokens)) - np.repeat(np.cumsum(size) - size, size)
-            keep = loads.value[tokens & ((1 << LOAD_BITS) - 1)] > 1
-            tokens, owner, place = tokens[keep], owner[keep], place[keep]
-            n = np.asarray(batch.column("n"), np.int64)
-            for a in range(0, len(tokens), 1 << 16):
-                who, s = owner[a : a + (1 << 16)], slice(a, a + (1 << 16))
-                at = pa.array(who)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(tokens[s]), batch.column("occ").take(at), batch.column("at").take(at), pa.array((n[who] << 32) | place[s]), batch.column("s1").take(at), batch.column("s2").take(at)],
-                    names=[x.split()[0] for x in _ENTRY.split(", ")],
-                )
+            key, owner, place = _keys(batch, t, common)
+            keep = _load(loads, key) > 1
+            if wanted is not None:
+                keep &= bloom.hits(wanted, key)
+            key, owner, place = key[keep], owner[keep], place[keep]
+            occ, at, n, s1, s2 = (np.asarray(batch.column(c), np.int64) for c in ("occ", "at", "n", "s1", "s2"))
+            parts = _parts(loads, key)
+            part = (blocks.mix(occ[owner].view(U64)) % parts.astype(U64)).astype(np.int64)
+            if role == 1:
+                part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+                key, owner, place, parts = (np.repeat(x, parts) for x in (key, owner, place, parts))
+            key = np.where(parts > 1, blocks.mix(key.view(U64) + part.astype(U64)).view(np.int64), key)
+            held.append(np.stack([key, occ[owner], at[owner], n[owner] << 32 | place, s1[owner], s2[owner], np.full(len(key), role)]))
+            count += len(key)
+            if count > PACK:
+                yield packed(held)
+                held, count = [], 0
+        if count:
+            yield packed(held)
 
     return run
 
@@ -216,22 +296,18 @@ def _pair_blocks(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, n
         a = b
 
 
-def _earliest(x: np.ndarray, y: np.ndarray, at: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of each x with its first few y."""
-    order = np.lexsort((y, at[y], x))
-    x, y = x[order], y[order]
+def _likeliest(x: np.ndarray, y: np.ndarray, apart: np.ndarray, at: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of each x with the first few y by difference and place."""
+    order = np.lexsort((y, at[y], apart, x))
+    x, y, apart = x[order], y[order], apart[order]
     new = np.ones(len(x), bool)
     new[1:] = x[1:] != x[:-1]
-    rank = np.arange(len(x)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(x) else np.zeros(0, np.int64)
-    return x[rank < most], y[rank < most]
+    keep = (np.arange(len(x)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(x) else np.zeros(0, np.int64)) < most
+    return x[keep], y[keep], apart[keep]
 
 
 def _partners(table: np.ndarray, t: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(x, y, whether x has more): candidates y that are no later than x, the first few of each x; table is sorted by (key, n).
-
-    The rows are key, class, place, size and position, sketch, and whether the
-    row asks (1), answers (0) or does both (2).
-    """
+    """(x, y, whether x has more): candidates y that are no later than x, the likeliest few of each x; table has the columns of an entry as rows, sorted by (key, n)."""
     key, occ, at, npos, s1, s2, role = table
     n, pos, s1, s2 = npos >> 32, npos & 0xFFFFFFFF, s1.view(U64), s2.view(U64)
     group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) << 32
@@ -240,7 +316,7 @@ def _partners(table: np.ndarray, t: float, most: int) -> tuple[np.ndarray, np.nd
         lo = np.arange(len(key)) + 1
     else:
         lo = np.where(role == 1, np.searchsorted(group | n, group | np.ceil(t * n - 1e-9).astype(np.int64)), upto)
-    total, x, y = np.zeros(len(key), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    total, x, y, far = np.zeros(len(key), np.int64), *(np.zeros(0, np.int64) for _ in range(3))
     for i, j in _pair_blocks(lo, upto):
         if not both:
             ok = (role[j] == 0) & (at[j] <= at[i]) & (occ[j] != occ[i])
@@ -250,63 +326,71 @@ def _partners(table: np.ndarray, t: float, most: int) -> tuple[np.ndarray, np.nd
         i, j, least = i[can], j[can], least[can]
         apart = np.bitwise_count(s1[i] ^ s1[j]).astype(np.int64) + np.bitwise_count(s2[i] ^ s2[j])
         can = (apart <= n[i] + n[j] - 2 * least) & (occ[i] != occ[j])
-        i, j = i[can], j[can]
+        i, j, apart = i[can], j[can], apart[can]
         if both:  # of two classes at one place either may be the later one
-            i, j = np.concatenate([i[at[i] >= at[j]], j[at[j] >= at[i]]]), np.concatenate([j[at[i] >= at[j]], i[at[j] >= at[i]]])
+            later, earlier = at[i] >= at[j], at[j] >= at[i]
+            i, j, apart = (np.concatenate(z) for z in ((i[later], j[earlier]), (j[later], i[earlier]), (apart[later], apart[earlier])))
         total += np.bincount(i, minlength=len(key))
-        x, y = _earliest(np.concatenate([x, i]), np.concatenate([y, j]), at, most)
+        x, y, far = _likeliest(np.concatenate([x, i]), np.concatenate([y, j]), np.concatenate([far, apart]), at, most)
     return x, y, total[x] > most
 
 
 def _candidates(t: float, most: int):
-    """Entries sorted by key: pairs (x, y) of classes, and whether the token has more for x."""
+    """Packed entries sorted by shard: pairs (x, y) of classes, and whether a key has more for x."""
+
+    def told(held: list[bytes]) -> pa.RecordBatch:
+        table = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, ENTRY) for x in held])
+        table = np.ascontiguousarray(table[np.lexsort((table[:, 3] >> 32, table[:, 0]))].T)
+        x, y, more = _partners(table, t, most)
+        return pa.RecordBatch.from_arrays([pa.array(table[1][x]), pa.array(table[1][y]), pa.array(more)], names=["x", "y", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_keys(batches):
-            table = table[:, np.lexsort((table[3] >> 32, table[0]))]
-            x, y, more = _partners(table, t, most)
-            yield pa.RecordBatch.from_arrays([pa.array(table[1][x]), pa.array(table[1][y]), pa.array(more)], names=["x", "y", "more"])
+        held, now = [], None
+        for batch in batches:
+            for shard, entries in zip(batch.column("shard").to_pylist(), batch.column("entries")):
+                if held and shard != now:
+                    yield told(held)
+                    held = []
+                now = shard
+                held.append(entries.as_py())
+        if held:
+            yield told(held)
 
     return run
 
 
-def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """Integer columns as rows of a table, sorted by the first, cut only between its values."""
-    held: list[np.ndarray] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = np.stack([np.asarray(c, np.int64) for c in batch.columns])
-        if held and held[-1][0, -1] != table[0, 0]:
-            yield np.concatenate(held, 1)
-            held = []
-        last = int(np.searchsorted(table[0], table[0, -1], "left"))
-        if last:
-            yield np.concatenate([*held, table[:, :last]], 1)
-            held = []
-        held.append(table[:, last:])
-    if held:
-        yield np.concatenate(held, 1)
+def _cut_lines(texts: pa.Array, wanted: np.ndarray, begin: np.ndarray, end: np.ndarray, data: np.ndarray) -> pa.Array:
+    """Some byte spans of texts as strings."""
+    size = (end - begin)[wanted]
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    at = np.repeat(begin[wanted] - offsets[:-1], size) + np.arange(offsets[-1])
+    return pa.Array.from_buffers(pa.large_string(), len(wanted), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[at]))])
 
 
 def _full_sets(wanted):
-    """Token sets and places of the lines that may be wanted."""
+    """Token sets and places of the lines that may be wanted; only these are cut out and tokenized."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in blocks.slices(whole, "text"):
-                uniq, rows, at = token_sets(batch.column("text"))
+                data, offsets = blocks.utf8(batch.column("text"), lower=False)
+                ends, at = line_ends(data, offsets)
                 text = np.repeat(np.arange(batch.num_rows), np.diff(at))
-                docs, look = (batch.column(c).take(pa.array(text)) for c in ("doc_id", "look"))
                 line = np.arange(len(text)) - at[:-1][text]
-                occ = _occurrence(_half(set_keys(uniq, rows)), docs, look, line)
-                some = pa.array(np.flatnonzero(bloom.hits(wanted, occ) & (np.diff(rows) > 0)))
+                begins = np.where(line > 0, np.concatenate([[0], ends[:-1]]) + 1, offsets[text])
+                docs, look = (batch.column(c).take(pa.array(text)) for c in ("doc_id", "look"))
+                occ = _occurrence(docs, look, line)
+                some = np.flatnonzero(bloom.hits(wanted, occ))
+                uniq, rows, _ = token_sets(_cut_lines(batch.column("text"), some, begins, ends, data))
                 columns = [pa.array(occ), docs, pa.array(line.astype(np.int32)), look]
-                yield pa.RecordBatch.from_arrays([*(c.take(some) for c in columns), blocks.lists(uniq, rows).take(some)], names=["occ", "doc_id", "line", "look", "tokens"])
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(some)) for c in columns), blocks.lists(uniq, rows)], names=["occ", "doc_id", "line", "look", "tokens"])
 
     return run
 
 
+_SUMS = "chunk int, sums binary"
+
+
 def _matched(texts: DataFrame, pairs: DataFrame, classes: DataFrame, t: float, scratch: Scratch, name: str) -> DataFrame:
     """(occ): of each pair whose token sets match, the later class."""
     asked = scratch.keep(pairs.select(F.explode(F.array("x", "y")).alias("occ")).distinct(), f"asked{name}")
@@ -334,7 +418,7 @@ def later_matches(docs: DataFrame, threshold: float = 0.8, scratch: Scratch | No
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "lines")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").withColumn("look", F.xxhash64("text"))
-    counts = spark.sparkContext.broadcast(_dense(texts.select("text").mapInArrow(_word_counts, "bucket int, n long"), COUNT_BITS))
+    counts = spark.sparkContext.broadcast(rarity(_dense(texts.select("text").mapInArrow(_word_counts, _SUMS), COUNT_BITS)).astype(np.uint16))
     lines = scratch.keep(texts.mapInArrow(_lines(counts, threshold), "doc_id long, line int, look long, cid binary, occ long, n int, s1 long, s2 long, prefix array<int>"), "lines")
     place = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "line", "look", "occ")
     grouped = lines.groupBy("cid").agg(F.min(place).alias("rep"), F.first(F.struct("n", "s1", "s2", "prefix")).alias("x"), F.count("*").alias("copies"))
@@ -344,31 +428,32 @@ def later_matches(docs: DataFrame, threshold: float = 0.8, scratch: Scratch | No
     room = max(abs(low or 0), abs(high or 0)) < 1 << 39
     at = F.col("doc_id") * (1 << 23) + F.least("line", F.lit((1 << 23) - 1)) if room else F.col("doc_id")
     asking = classes.select("occ", F.coalesce(at, F.lit((1 << 63) - 1)).alias("at"), "n", "s1", "s2", "prefix")
-    loads = spark.sparkContext.broadcast(_dense(asking.select("prefix").mapInArrow(_loads, "bucket int, n long"), LOAD_BITS))
-    crowded = asking.select("prefix").mapInArrow(_crowded(loads), "token int, n long").groupBy("token").agg(F.ceil(F.sum("n") / TOKEN_BLOCK).cast("int").alias("parts")).where("parts > 1")
-    crowded = scratch.keep(crowded, "crowded")
-    entries = asking.mapInArrow(_entries(loads), _ENTRY).join(crowded, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    own, rest = F.pmod(F.xxhash64("occ"), F.col("parts")).cast("int"), ["occ", "at", "npos", "s1", "s2"]
-    key = lambda part: F.when(F.col("parts") == 1, F.col("token").cast("long")).otherwise(F.xxhash64("token", part)).alias("key")
-    met = entries.select(key(own), *rest, F.lit(2).cast("long").alias("role"))
-    gone, turn, most = None, 0, 1
+    hand = lambda x: spark.sparkContext.broadcast(x)
+    prefixes = asking.select("n", "prefix")
+    loads, common = hand(_clipped(_dense(prefixes.mapInArrow(_loads(threshold, None), _SUMS), LOAD_BITS))), None
+    if loads.value.max() > TOKEN_BLOCK:
+        common = loads
+        loads = hand(_clipped(_dense(prefixes.mapInArrow(_loads(threshold, common), _SUMS), LOAD_BITS)))
+    shards = 1 << max(0, int(loads.value.sum() // SHARD).bit_length())
+    pack = lambda df, role, wanted=None: df.mapInArrow(_entries(threshold, common, loads, shards, role, wanted), "shard int, entries binary")
+    met = pack(asking, 2)
+    gone, turn, most = None, 0, FEW
     while True:
-        met = met.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_candidates(threshold, most), "x long, y long, more boolean")
+        met = met.repartition(F.col("shard")).sortWithinPartitions("shard").mapInArrow(_candidates(threshold, most), "x long, y long, more boolean")
         pairs = scratch.keep(met.groupBy("x", "y").agg(F.max("more").alias("more")), f"pairs{turn}")
         found = _matched(texts, pairs, classes, threshold, scratch, str(turn))
         gone = found if gone is None else gone.union(found)
         left = pairs.where("more").select(F.col("x").alias("occ"))
-        if not turn:
-            left = left.union(entries.where("parts > 1").select("occ"))
+        if not turn and loads.value.max() > TOKEN_BLOCK:
+            left = left.union(asking.mapInArrow(_split(threshold, common, loads), "occ long"))
         left = scratch.keep(left.distinct().join(gone, "occ", "left_anti"), f"left{turn}")
         scratch.drop(f"pairs{turn}", f"asked{turn}", f"sets{turn}", f"left{turn - 1}")
         if left.isEmpty():
             break
         turn, most = turn + 1, most * MORE
-        probes = scratch.keep(entries.join(left, "occ", "left_semi"), f"probes{turn}")
-        homes = entries.join(probes.select("token").distinct(), "token", "left_semi").select(key(own), *rest, F.lit(0).cast("long").alias("role"))
-        spread = probes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        met = homes.unionByName(spread.select(key(F.col("part")), *rest, F.lit(1).cast("long").alias("role")))
+        probes = scratch.keep(asking.join(left, "occ", "left_semi"), f"probes{turn}")
+        keys = scratch.keep(probes.mapInArrow(_key_hashes(threshold, common), "key long").distinct(), f"keys{turn}")
+        met = pack(asking, 0, bloom.build(keys, "key", keys.count())).union(pack(probes, 1))
     fate = classes.select("cid", "doc_id", "line", "look", "occ", "copies").join(gone.distinct().withColumn("gone", F.lit(True)), "occ", "left")
     fate = scratch.keep(fate.where("copies > 1 OR gone").withColumn("gone", F.coalesce("gone", F.lit(False))), "fate")
     alone = fate.where("copies = 1").select("doc_id", "look", "line")

@@ -95,6 +95,7 @@ def brute_lines(rows, t=0.8):
 
 def test_line_dedup_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(linedup, "TOKEN_BLOCK", 2)  # tokens split in parts
+    monkeypatch.setattr(linedup, "FEW", 1)
     monkeypatch.setattr(linedup, "MORE", 2)  # several rounds
     rng = np.random.default_rng(8)
     pool = [prose(s, int(rng.integers(1, 25)), 60) for s in range(40)]
