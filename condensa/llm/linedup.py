@@ -239,8 +239,8 @@ def _key_hashes(t: float, common):
     return run
 
 
-#: Columns of an entry: key with part, class, place, size and position, sketch, and role: asks (1), answers (0) or both (2).
-ENTRY = 7
+#: Columns of an entry: key with part, class, place, sketch, and size, position and role: asks (1), answers (0) or both (2).
+ENTRY = 6
 
 
 def _entries(t: float, common, loads, shards: int, role: int, wanted=None):
@@ -273,7 +273,7 @@ def _entries(t: float, common, loads, shards: int, role: int, wanted=None):
                 part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
                 key, owner, place, parts = (np.repeat(x, parts) for x in (key, owner, place, parts))
             key = np.where(parts > 1, blocks.mix(key.view(U64) + part.astype(U64)).view(np.int64), key)
-            held.append(np.stack([key, occ[owner], at[owner], n[owner] << 32 | place, s1[owner], s2[owner], np.full(len(key), role)]))
+            held.append(np.stack([key, occ[owner], at[owner], n[owner] << 32 | place << 2 | role, s1[owner], s2[owner]]))
             count += len(key)
             if count > PACK:
                 yield packed(held)
@@ -308,12 +308,13 @@ def _likeliest(x: np.ndarray, y: np.ndarray, apart: np.ndarray, at: np.ndarray,
 
 def _partners(table: np.ndarray, t: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(x, y, whether x has more): candidates y that are no later than x, the likeliest few of each x; table has the columns of an entry as rows, sorted by (key, n)."""
-    key, occ, at, npos, s1, s2, role = table
-    n, pos, s1, s2 = npos >> 32, npos & 0xFFFFFFFF, s1.view(U64), s2.view(U64)
+    key, occ, at, npos, s1, s2 = table
+    n, pos, role, s1, s2 = npos >> 32, npos >> 2 & 0x3FFFFFFF, npos & 3, s1.view(U64), s2.view(U64)
     group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) << 32
     upto = np.searchsorted(group | n, group | np.floor(n / t + 1e-9).astype(np.int64), "right")
     if both := bool((role == 2).all()):
-        lo = np.arange(len(key)) + 1
+        # the first token that a set shares with one no smaller is in a shorter prefix
+        lo = np.where(pos <= n - need(n, n, t), np.arange(len(key)) + 1, upto)
     else:
         lo = np.where(role == 1, np.searchsorted(group | n, group | np.ceil(t * n - 1e-9).astype(np.int64)), upto)
     total, x, y, far = np.zeros(len(key), np.int64), *(np.zeros(0, np.int64) for _ in range(3))
@@ -392,18 +393,31 @@ _SUMS = "chunk int, sums binary"
 
 
 def _matched(texts: DataFrame, pairs: DataFrame, classes: DataFrame, t: float, scratch: Scratch, name: str) -> DataFrame:
-    """(occ): of each pair whose token sets match, the later class."""
+    """(occ, doc_id, line, look): of each pair whose token sets match, the later class and where it is."""
     asked = scratch.keep(pairs.select(F.explode(F.array("x", "y")).alias("occ")).distinct(), f"asked{name}")
     if name != "0":  # few are left: only the documents that hold them are read
         held = classes.join(asked, "occ", "left_semi").select("doc_id", "look").distinct()
         texts = texts.alias("t").join(held.alias("h"), F.expr("t.doc_id <=> h.doc_id AND t.look = h.look"), "left_semi")
     sets = texts.mapInArrow(_full_sets(bloom.build(asked, "occ", asked.count())), "occ long, doc_id long, line int, look long, tokens array<long>")
-    sets = scratch.keep(sets.join(asked, "occ", "left_semi").dropDuplicates(["occ"]), f"sets{name}")
+    sets = scratch.keep(sets.dropDuplicates(["occ"]), f"sets{name}", hashes=True)  # of repeated rows one
     one, two = (sets.select(F.col("occ").alias(c), F.struct("doc_id", "line", "look").alias(f"p{c}"), F.col("tokens").alias(f"t{c}")) for c in "xy")
     both = pairs.select("x", "y").join(one, "x").join(two, "y").withColumn("same", F.size(F.array_intersect("tx", "ty")))
     later = F.struct(F.isnull("px.doc_id"), "px.doc_id", "px.line", "px.look", "x") > F.struct(F.isnull("py.doc_id"), "py.doc_id", "py.line", "py.look", "y")
     found = both.where(F.col("same") >= t * (F.size("tx") + F.size("ty") - F.col("same")) - 1e-6)
-    return scratch.keep(found.select(F.when(later, F.col("x")).otherwise(F.col("y")).alias("occ")).distinct(), f"matched{name}")
+    x, y = (F.struct(F.col(c).alias("occ"), f"p{c}.*") for c in "xy")
+    return scratch.keep(found.select(F.when(later, x).otherwise(y).alias("z")).select("z.*").distinct(), f"matched{name}")
+
+
+def _among(wanted, column: str):
+    """The rows whose set key a Bloom filter may have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(column)
+            half = np.frombuffer(keys.buffers()[2], ">i8").reshape(-1, 2)[keys.offset : keys.offset + len(keys), 0] if len(keys) else np.zeros(0)
+            yield batch.filter(pa.array(bloom.hits(wanted, half.astype(np.int64))))
+
+    return run
 
 
 def later_matches(docs: DataFrame, threshold: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
@@ -419,10 +433,10 @@ def later_matches(docs: DataFrame, threshold: float = 0.8, scratch: Scratch | No
     scratch = scratch or Scratch(spark, "lines")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").withColumn("look", F.xxhash64("text"))
     counts = spark.sparkContext.broadcast(rarity(_dense(texts.select("text").mapInArrow(_word_counts, _SUMS), COUNT_BITS)).astype(np.uint16))
-    lines = scratch.keep(texts.mapInArrow(_lines(counts, threshold), "doc_id long, line int, look long, cid binary, occ long, n int, s1 long, s2 long, prefix array<int>"), "lines")
+    lines = scratch.keep(texts.mapInArrow(_lines(counts, threshold), "doc_id long, line int, look long, cid binary, occ long, n int, s1 long, s2 long, prefix array<int>"), "lines", hashes=True)
     place = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "line", "look", "occ")
     grouped = lines.groupBy("cid").agg(F.min(place).alias("rep"), F.first(F.struct("n", "s1", "s2", "prefix")).alias("x"), F.count("*").alias("copies"))
-    classes = scratch.keep(grouped.select("cid", "rep.*", "x.*", "copies"), "classes")
+    classes = scratch.keep(grouped.select("cid", "rep.*", "x.*", "copies"), "classes", hashes=True)
     # a number that never falls from one place to a later one: with the line where the ids leave room for it
     low, high = classes.agg(F.min("doc_id"), F.max("doc_id")).first()
     room = max(abs(low or 0), abs(high or 0)) < 1 << 39
@@ -454,12 +468,13 @@ def later_matches(docs: DataFrame, threshold: float = 0.8, scratch: Scratch | No
         probes = scratch.keep(asking.join(left, "occ", "left_semi"), f"probes{turn}")
         keys = scratch.keep(probes.mapInArrow(_key_hashes(threshold, common), "key long").distinct(), f"keys{turn}")
         met = pack(asking, 0, bloom.build(keys, "key", keys.count())).union(pack(probes, 1))
-    fate = classes.select("cid", "doc_id", "line", "look", "occ", "copies").join(gone.distinct().withColumn("gone", F.lit(True)), "occ", "left")
-    fate = scratch.keep(fate.where("copies > 1 OR gone").withColumn("gone", F.coalesce("gone", F.lit(False))), "fate")
-    alone = fate.where("copies = 1").select("doc_id", "look", "line")
-    several = fate.where("copies > 1").select("cid", "occ", "gone").alias("f")
-    out = lines.select("cid", "doc_id", "line", "look", "occ").alias("l").join(several, "cid").where("f.gone OR l.occ <> f.occ").select("doc_id", "look", "line")
-    return scratch.keep(out.union(alone).distinct(), "out").groupBy("doc_id", "look").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    # the first lines of matched classes go, and all but the first of classes with several
+    several = scratch.keep(classes.where("copies > 1").select("cid", "occ", F.conv(F.hex(F.substring("cid", 1, 8)), 16, -10).cast("long").alias("half")), "several")
+    wanted = bloom.build(several, "half", several.count())
+    place = "cid binary, doc_id long, line int, look long, occ long"
+    rest = lines.select("cid", "doc_id", "line", "look", "occ").mapInArrow(_among(wanted, "cid"), place)
+    out = rest.alias("l").join(several.alias("f"), "cid").where("l.occ <> f.occ").select("doc_id", "look", "line")
+    return scratch.keep(out.union(gone.select("doc_id", "look", "line")).distinct(), "out").groupBy("doc_id", "look").agg(F.array_sort(F.collect_list("line")).alias("lines"))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
@@ -473,7 +488,7 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, scratch: Scratch | None
     stays = F.expr("flatten(transform(lines, (x, k) -> concat(array_repeat(true, x - coalesce(get(lines, k - 1) + 1, 0)), array(false))))")
     gone = later_matches(docs, threshold, scratch).select(F.col("doc_id").alias("id"), "look", F.size("lines").cast("long").alias("n"), stays.alias("stays")).alias("g")
     d = docs.drop("_lines", "_removed").alias("d")
-    told = d.join(gone, F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.id")) & (F.xxhash64(F.col("d.text").cast("string")) == F.col("g.look")) & F.col("d.text").isNotNull(), "left")
+    told = d.join(gone.hint("shuffle_hash"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.id")) & (F.xxhash64(F.col("d.text").cast("string")) == F.col("g.look")) & F.col("d.text").isNotNull(), "left")
     cut = F.expr("array_join(filter(split(d.text, '\n', -1), (x, i) -> coalesce(get(g.stays, i), true)), '\n')")
     count = F.coalesce(F.length("d.text") - F.length(F.replace(F.col("d.text"), F.lit("\n"))) + 1, F.lit(0)).cast("long")
     columns = [F.when(F.col("g.n").isNull(), F.col("d.text")).otherwise(cut).alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns if c not in ("_lines", "_removed")]

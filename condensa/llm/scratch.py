@@ -46,12 +46,15 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """The table, written and read again; the shuffle files that made it go at once."""
+    def keep(self, df: DataFrame, name: str, hashes: bool = False) -> DataFrame:
+        """The table, written and read again; the shuffle files that made it go at once.
+
+        hashes: most of it are hashes, for which dictionaries are not worth trying.
+        """
         conf, old = self.spark.conf, self.spark.conf.get(CLEANUP, "false")
         conf.set(CLEANUP, "true")
         try:
-            df.write.mode("overwrite").parquet(self.path(name))
+            df.write.option("parquet.enable.dictionary", str(not hashes).lower()).mode("overwrite").parquet(self.path(name))
         finally:
             conf.set(CLEANUP, old)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
