@@ -120,10 +120,16 @@ def _clipped(sums: np.ndarray) -> np.ndarray:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << COUNT_BITS, np.int64)
+    total, held, count = np.zeros(1 << COUNT_BITS, np.int64), [], 0
     for whole in batches:
         for batch in blocks.slices(whole, "text"):
-            total += np.bincount((blocks.words(batch.column("text")).hash >> U64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
+            held.append((blocks.words(batch.column("text")).hash >> U64(64 - COUNT_BITS)).astype(np.int32))
+            count += len(held[-1])
+            if count > 1 << 21:
+                total += np.bincount(np.concatenate(held), minlength=1 << COUNT_BITS)
+                held, count = [], 0
+    if held:
+        total += np.bincount(np.concatenate(held), minlength=1 << COUNT_BITS)
     yield from _chunks(total)
 
 
@@ -206,9 +212,15 @@ def _keys(batch: pa.RecordBatch, t: float, common) -> tuple[np.ndarray, np.ndarr
 
 def _loads(t: float, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << LOAD_BITS, np.int64)
+        total, held, count = np.zeros(1 << LOAD_BITS, np.int64), [], 0
         for batch in batches:
-            total += np.bincount(_keys(batch, t, common)[0] & ((1 << LOAD_BITS) - 1), minlength=1 << LOAD_BITS)
+            held.append((_keys(batch, t, common)[0] & ((1 << LOAD_BITS) - 1)).astype(np.int32))
+            count += len(held[-1])
+            if count > 1 << 21:
+                total += np.bincount(np.concatenate(held), minlength=1 << LOAD_BITS)
+                held, count = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=1 << LOAD_BITS)
         yield from _chunks(total)
 
     return run
@@ -490,6 +502,6 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, scratch: Scratch | None
     d = docs.drop("_lines", "_removed").alias("d")
     told = d.join(gone.hint("shuffle_hash"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.id")) & (F.xxhash64(F.col("d.text").cast("string")) == F.col("g.look")) & F.col("d.text").isNotNull(), "left")
     cut = F.expr("array_join(filter(split(d.text, '\n', -1), (x, i) -> coalesce(get(g.stays, i), true)), '\n')")
-    count = F.coalesce(F.length("d.text") - F.length(F.replace(F.col("d.text"), F.lit("\n"))) + 1, F.lit(0)).cast("long")
+    count = F.coalesce(F.octet_length("d.text") - F.octet_length(F.replace(F.col("d.text"), F.lit("\n"))) + 1, F.lit(0)).cast("long")
     columns = [F.when(F.col("g.n").isNull(), F.col("d.text")).otherwise(cut).alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns if c not in ("_lines", "_removed")]
     return told.select(*columns, count.alias("_lines"), F.coalesce(F.col("g.n"), F.lit(0)).cast("long").alias("_removed"))
