@@ -96,7 +96,12 @@ class Words(NamedTuple):
 
 
 def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of data[start:end] for each span."""
+    """A 64-bit hash of data[start:end] for each span, wherever it lies; spans in order, of long data some at a time."""
+    if len(data) > 2 * SLICE_BYTES and len(start) > 1:
+        cuts = [0]
+        while cuts[-1] < len(start):
+            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(end, start[cuts[-1]] + SLICE_BYTES, "right"))))
+        return np.concatenate([hash_spans(data[start[a] : end[b - 1]], start[a:b] - start[a], end[a:b] - start[a]) for a, b in zip(cuts[:-1], cuts[1:])])
     run = np.zeros(len(data) + 1, U64)
     np.multiply(_BYTE[data], _powers(_BASE, len(data)), out=run[1:])
     np.cumsum(run, out=run)
