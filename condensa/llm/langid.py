@@ -14,12 +14,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from condensa.llm import blocks
 
 BUCKETS, ORDERS = 1 << 16, (1, 2, 3)
+#: Languages of one matrix; rows that each language may give in any case.
+LANGS, LEAST_ROWS = 256, 50
 #: Cells of a gathered piece of the matrix.
 PIECE = 1 << 22
 _LETTER: list[np.ndarray] = []
@@ -71,6 +74,11 @@ def grams(points: np.ndarray, at: np.ndarray, n: int, buckets: int) -> np.ndarra
 
 
 def _count(buckets: int):
+    def told(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for tag, sums in total.items():
+            hit = np.flatnonzero(sums[:buckets])
+            yield pa.RecordBatch.from_arrays([pa.array([tag] * len(hit), pa.string()), pa.array(hit.astype(np.int32)), pa.array(sums[hit])], names=["tag", "bucket", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for whole in batches:
@@ -82,96 +90,106 @@ def _count(buckets: int):
                     sums = total.setdefault(tag, np.zeros(buckets + 1, np.int64))
                     for n in ORDERS:
                         sums += np.bincount(grams(points, at, n, buckets)[mine], minlength=buckets + 1)
-        for tag, sums in total.items():
-            hit = np.flatnonzero(sums[:buckets])
-            yield pa.RecordBatch.from_arrays([pa.array([tag] * len(hit), pa.string()), pa.array(hit.astype(np.int32)), pa.array(sums[hit])], names=["tag", "bucket", "n"])
+            if len(total) > LANGS:
+                yield from told(total)
+                total = {}
+        yield from told(total)
 
     return run
 
 
-def fit(labelled: DataFrame, most_rows: int = 20_000, most_langs: int = 256, buckets: int = BUCKETS) -> Model:
-    """A model of the languages in labelled(key, text, tag), rows without tag or text aside.
+def fit(labelled: DataFrame, most_rows: int = 20_000, buckets: int = BUCKETS) -> list[Model]:
+    """Models of the languages in labelled(key, text, tag), rows without tag or text aside: one for each LANGS of them.
 
-    At most about most_rows rows, picked by a hash of the key, are learned from.
-    More than most_langs languages raise ValueError: the matrix must stay small.
+    About most_rows rows are learned from at most, picked by a hash of the key:
+    every language has an equal share of them, one of LEAST_ROWS at least, and
+    gives all its rows if it has fewer.  Priors count all rows.
     """
-    spark = labelled.sparkSession
     rows = labelled.where("tag IS NOT NULL AND text IS NOT NULL").select("key", "text", "tag")
-    by = rows.groupBy("tag").count().limit(most_langs + 1).collect()
-    if len(by) > most_langs:
-        raise ValueError(f"more than {most_langs} languages")
-    count = {r["tag"]: r["count"] for r in by}
-    share = min(1.0, most_rows / max(1, sum(count.values())))
-    sample = rows.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rows
-    langs = sorted(count)
-    sums = np.zeros((buckets, len(langs)))
-    index = {x: i for i, x in enumerate(langs)}
-    got = sample.mapInArrow(_count(buckets), "tag string, bucket int, n long").groupBy("tag", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    if got.num_rows:
-        sums[np.asarray(got.column("bucket")), [index[x] for x in got.column("tag").to_pylist()]] = np.asarray(got.column("n"))
-    matrix = np.zeros((buckets + 1, len(langs)), np.float32)
-    matrix[:buckets] = np.log((sums + 0.5) / (sums.sum(0) + 0.5 * buckets))
-    return Model(langs, np.log(np.array([count[x] for x in langs]) / max(1, sum(count.values()))), matrix)
+    count = {r["tag"]: r["count"] for r in rows.groupBy("tag").count().collect()}
+    langs, total = sorted(count), max(1, sum(count.values()))
+    quota = max(LEAST_ROWS, most_rows // max(1, len(langs)))
+    share = labelled.sparkSession.createDataFrame([(x, int(min(1.0, quota / count[x]) * 1_000_000)) for x in langs], "tag string, share long")
+    sample = rows.join(F.broadcast(share), "tag").where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < F.col("share"))
+    sums = sample.select("key", "text", "tag").mapInArrow(_count(buckets), "tag string, bucket int, n long").groupBy("tag", "bucket").agg(F.sum("n").alias("n"))
+    models = []
+    for at in range(0, len(langs), LANGS):
+        some = langs[at : at + LANGS]
+        n, index = np.zeros((buckets, len(some))), {x: i for i, x in enumerate(some)}
+        got = sums.where(F.col("tag").isin(some)).toArrow()
+        if got.num_rows:
+            n[np.asarray(got.column("bucket")), [index[x] for x in got.column("tag").to_pylist()]] = np.asarray(got.column("n"))
+        matrix = np.zeros((buckets + 1, len(some)), np.float32)
+        matrix[:buckets] = np.log((n + 0.5) / (n.sum(0) + 0.5 * buckets))
+        models.append(Model(some, np.log(np.array([count[x] for x in some]) / total), matrix))
+    return models
 
 
 def log_likelihoods(model: Model, points: np.ndarray, at: np.ndarray) -> np.ndarray:
     """By text and language, the log-probabilities of all its n-grams."""
     out = np.zeros((len(at) - 1, len(model.langs)))
     buckets, step = len(model.matrix) - 1, max(1, PIECE // max(1, len(model.langs)))
-    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    for n in ORDERS:
-        which = grams(points, at, n, buckets)
-        for a in range(0, len(which), step):
-            mine = owner[a : a + step]
-            first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
-            out[mine[first]] += np.add.reduceat(model.matrix[which[a : a + step]], first, axis=0, dtype=np.float64)
+    for a in range(0, len(points), step):
+        end = min(len(points), a + step)
+        mine = np.searchsorted(at, np.arange(a, end), "right") - 1
+        first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+        for n in ORDERS:
+            part = points[a : end + n - 1]
+            which = grams(part, np.clip(at - a, 0, len(part)), n, buckets)[: end - a]
+            out[mine[first]] += np.add.reduceat(model.matrix[which], first, axis=0, dtype=np.float64)
     return out
 
 
-def classify(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-    """(language, posterior probability) of each text."""
-    if not len(texts):
-        return [], np.zeros(0)
+def classify(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(whether it has no letter, best language's number, its log-probability with the text's, that of all languages summed) of each text."""
     points, at = codes(texts)
-    blank = np.add.reduceat(points != 32, at[:-1]) == 0
-    if not model.langs:
-        return ["und"] * len(texts), np.zeros(len(texts))
     ll = log_likelihoods(model, points, at) + model.prior
-    score = 1 / np.exp(ll - ll.max(1, keepdims=True)).sum(1)
-    return ["und" if b else model.langs[i] for b, i in zip(blank, ll.argmax(1))], np.where(blank, 0.0, score)
+    best = ll.max(1)
+    return np.add.reduceat(points != 32, at[:-1]) == 0, ll.argmax(1), best, best + np.log(np.exp(ll - best[:, None]).sum(1))
 
 
-def _predict(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in blocks.slices(whole, "text"):
-                lang, score = classify(shared.value, batch.column("text"))
-                kept = [c for c in batch.schema.names if c != "text"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(lang, pa.string()), pa.array(score)], names=[*kept, "lang_pred", "score"])
+def _classified(docs: DataFrame, models: list[Model]) -> DataFrame:
+    """(doc, text, lang, best, all): each model's languages in a pass of their own, so that a worker holds one matrix a pass.
 
-    return run
+    doc has the other columns of docs by number, whatever they are called.
+    """
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"]
+    low = F.lit(float("-inf"))
+    out = docs.select(F.struct(F.lit(0).alias("c"), *others).alias("doc"), F.col("text").cast("string").alias("text"), F.lit("und").alias("lang"), low.alias("best"), low.alias("all"))
+    for model in models:
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in blocks.slices(whole, "text"):
+                    blank, which, best, every = classify(shared.value, batch.column("text"))
+                    was, summed = np.asarray(batch.column("best")), np.asarray(batch.column("all"))
+                    won = (best > was) & ~blank
+                    named = pa.array(shared.value.langs, pa.string()).take(pa.array(which))
+                    lang = pc.if_else(pa.array(won), named, batch.column("lang"))
+                    columns = [batch.column("doc"), batch.column("text"), lang, pa.array(np.where(won, best, was)), pa.array(np.where(blank, summed, np.logaddexp(summed, every)))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc", "text", "lang", "best", "all"])
+
+        out = out.mapInArrow(run, out.schema)
+    return out
+
+
+_SCORE = "CASE WHEN lang = 'und' THEN 0D ELSE least(1D, exp(best - all)) END"
 
 
-def predict(texts: DataFrame, model: Model) -> DataFrame:
+def predict(texts: DataFrame, models: list[Model]) -> DataFrame:
     """texts' columns but `text`, with lang_pred and score, the posterior probability.
 
     Null texts, texts without a letter, and all texts if the model has no
     language, get `und` with score 0.  Ties go to the first language by name.
+    Whole texts of any length count; repeated rows are told each.  Columns that
+    are called lang_pred or score are replaced.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(model)
-    kept = [f for f in texts.schema.fields if f.name != "text"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["lang_pred string", "score double"])
-    return texts.mapInArrow(_predict(shared), schema)
+    kept = [F.col(f"doc.c{i}").alias(c) for i, c in enumerate(texts.columns) if c not in ("text", "lang_pred", "score")]
+    return _classified(texts, models).select(*kept, F.col("lang").alias("lang_pred"), F.expr(_SCORE).alias("score"))
 
 
-def keep_recognised(docs: DataFrame, model: Model, least: float) -> DataFrame:
+def keep_recognised(docs: DataFrame, models: list[Model], least: float) -> DataFrame:
     """The rows of docs, all columns, whose text has a predicted language with at least that score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in blocks.slices(whole, "text"):
-                lang, score = classify(shared.value, batch.column("text"))
-                yield batch.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score)], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    kept = [F.col("text") if c == "text" else F.col(f"doc.c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    return _classified(docs, models).where((F.col("lang") != "und") & (F.expr(_SCORE) >= least)).select(*kept)
