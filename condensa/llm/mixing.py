@@ -3,7 +3,9 @@
 Documents are summed by membership pattern (the set of sources that hold
 them).  Words flow from patterns to source quotas; the r-th copy of a word
 costs r - 1, so repetition is spread as evenly as the quotas allow.  The flow
-is solved over patterns and sources only, on the driver.  A pattern that has to
+is solved over patterns and sources only, on the driver, for each connected
+group of sources by itself; a source that shares no document needs no search.
+The driver holds one row a pattern, whatever the number of documents.  A pattern that has to
 give q full copies and r words more gives every document q times; the r words
 come from its documents in a seeded order, the last of which is taken in part.
 The order's cut is found from sums over hash buckets, twice refined, so no
@@ -22,8 +24,6 @@ from condensa.llm.scratch import Scratch
 
 #: Times that a document may be taken.
 MOST_COPIES = 3
-#: Patterns that the driver solves for.
-MOST_PATTERNS = 50_000
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -82,7 +82,7 @@ def min_cost_flow(patterns: list[tuple[int, list[int]]], quotas: list[int], most
         arc(p + j, sink, quota, 0)
     price = [0] * len(head)
     while True:
-        far, came = {root: 0}, {}
+        far: dict[int, int] = {root: 0}
         heap, done = [(0, root)], set()
         while heap:
             d, x = heapq.heappop(heap)
@@ -91,36 +91,81 @@ def min_cost_flow(patterns: list[tuple[int, list[int]]], quotas: list[int], most
             done.add(x)
             for e in head[x]:
                 if cap[e] and (n := d + cost[e] + price[x] - price[to[e]]) < far.get(to[e], 1 << 60):
-                    far[to[e]], came[to[e]] = n, e
+                    far[to[e]] = n
                     heapq.heappush(heap, (n, to[e]))
         if sink not in far:
             break
         longest = far[sink]
         for x in range(len(head)):
             price[x] += min(far.get(x, longest), longest)
-        # every path of this length is used before distances are computed again
+        # blocking flows over the arcs of no reduced cost, until none is left
         while True:
-            seen, stack, back = {root}, [root], {}
-            while stack and sink not in seen:
-                x = stack.pop()
+            level, queue = {root: 0}, [root]
+            for x in queue:
                 for e in head[x]:
-                    if cap[e] and to[e] not in seen and cost[e] + price[x] - price[to[e]] == 0:
-                        seen.add(to[e])
-                        back[to[e]] = e
-                        stack.append(to[e])
-            if sink not in seen:
+                    if cap[e] and to[e] not in level and cost[e] + price[x] == price[to[e]]:
+                        level[to[e]] = level[x] + 1
+                        queue.append(to[e])
+            if sink not in level:
                 break
-            path, x = [], sink
-            while x != root:
-                path.append(back[x])
-                x = to[back[x] ^ 1]
-            push = min(cap[e] for e in path)
-            for e in path:
-                cap[e] -= push
-                cap[e ^ 1] += push
+            nxt = [0] * len(head)  # each node's next arc to try
+            path: list[int] = []
+            x = root
+            while True:
+                if x == sink:
+                    push = min(cap[e] for e in path)
+                    for k, e in enumerate(path):
+                        cap[e] -= push
+                        cap[e ^ 1] += push
+                    cut = next(k for k, e in enumerate(path) if not cap[e])
+                    x = to[path[cut] ^ 1]
+                    del path[cut:]
+                while nxt[x] < len(head[x]):
+                    e = head[x][nxt[x]]
+                    if cap[e] and level.get(to[e]) == level[x] + 1 and cost[e] + price[x] == price[to[e]]:
+                        break
+                    nxt[x] += 1
+                else:
+                    if x == root:
+                        break
+                    x = to[path.pop() ^ 1]
+                    nxt[x] += 1
+                    continue
+                path.append(e)
+                x = to[e]
     return [{to[e] - p: cap[e ^ 1] for e in head[i] if e % 2 == 0 and to[e] != root and cap[e ^ 1]} for i in range(p)]
 
 
+def route(patterns: list[tuple[int, list[int]]], quotas: list[int], most: int = MOST_COPIES) -> list[dict[int, int]]:
+    """min_cost_flow, solved for each connected group of sources by itself."""
+    tree = list(range(len(quotas)))
+
+    def root(j: int) -> int:
+        while tree[j] != j:
+            tree[j] = tree[tree[j]]
+            j = tree[j]
+        return j
+
+    for _, members in patterns:
+        for j in members[1:]:
+            tree[root(j)] = root(members[0])
+    groups: dict[int, list[int]] = {}
+    for i, (_, members) in enumerate(patterns):
+        if members:
+            groups.setdefault(root(members[0]), []).append(i)
+    out: list[dict[int, int]] = [{} for _ in patterns]
+    for mine in groups.values():
+        names = sorted({j for i in mine for j in patterns[i][1]})
+        place = {j: k for k, j in enumerate(names)}
+        if len(names) == len(mine) == 1:
+            if words := min(quotas[names[0]], most * patterns[mine[0]][0]):
+                out[mine[0]] = {names[0]: words}
+            continue
+        for i, flow in zip(mine, min_cost_flow([(patterns[i][0], [place[j] for j in patterns[i][1]]) for i in mine], [quotas[j] for j in names], most)):
+            out[i] = {names[k]: w for k, w in flow.items()}
+    return out
+
+
 def mix(docs: DataFrame, text: str = "text", sources: Column | None = None, seed: str = "mix", most: int = MOST_COPIES, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame, list[tuple[str | None, int, float, int]]]:
     """(rows, flows, sources) of a mix of docs(doc_id, text, source, ...).
 
@@ -129,13 +174,14 @@ def mix(docs: DataFrame, text: str = "text", sources: Column | None = None, seed
     its size, target and the words it gets.  A document's size is its number of
     words (null text: 0).  sources: an array column, by default the one source;
     null is a source like others.  Documents in no source (null or empty array)
-    are taken 0 times.  Repeated rows are documents of their own.  More than
-    MOST_PATTERNS membership patterns raise ValueError.
+    are taken 0 times.  Repeated rows are documents of their own, of one place in the
+    order; rows without doc_id are ordered by their text.  An empty table gives
+    empty results.  Columns called size, pattern, members or key don't matter.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "mix")
     sources = F.array(F.col("source").cast("string")) if sources is None else sources
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))))
     sized = scratch.keep(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
@@ -146,9 +192,7 @@ def mix(docs: DataFrame, text: str = "text", sources: Column | None = None, seed
         ),
         "sized",
     )
-    sums = sized.groupBy("pattern").agg(F.sum("size").alias("size"), F.first("members").alias("members")).limit(MOST_PATTERNS + 1).collect()
-    if len(sums) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
+    sums = sized.groupBy("pattern").agg(F.sum("size").alias("size"), F.first("members").alias("members")).collect()
     sums.sort(key=lambda r: r["pattern"])
     size: dict[str | None, int] = {}
     for r in sums:
@@ -156,14 +200,18 @@ def mix(docs: DataFrame, text: str = "text", sources: Column | None = None, seed
             size[s] = size.get(s, 0) + r["size"]
     names = by_code_point(size)
     target = targets(size, sum(r["size"] for r in sums if r["members"]), most)
-    flow = min_cost_flow([(r["size"], [names.index(s) for s in r["members"]]) for r in sums], [int(target[s] + 0.5) for s in names], most)
+    index = {s: j for j, s in enumerate(names)}
+    flow = route([(r["size"], [index[s] for s in r["members"]]) for r in sums], [int(target[s] + 0.5) for s in names], most)
     took = [sum(f.values()) for f in flow]
     plan = spark.createDataFrame(
         [(r["pattern"], t // r["size"] if r["size"] else 0, t % r["size"] if r["size"] else 0) for r, t in zip(sums, took)], "pattern string, copies long, more long"
     )
-    plan = F.broadcast(plan)
     flows = spark.createDataFrame([(r["pattern"], names[j], w) for r, f in zip(sums, flow) for j, w in sorted(f.items())], "pattern string, source string, words long")
-    got = [(s, size[s], target[s], sum(f.get(j, 0) for f in flow)) for j, s in enumerate(names)]
+    words = [0] * len(names)
+    for f in flow:
+        for j, w in f.items():
+            words[j] += w
+    got = [(s, size[s], target[s], words[j]) for j, s in enumerate(names)]
 
     want = sized.join(plan, "pattern")
     one, two = F.substring("key", 1, 3), F.substring("key", 4, 3)
@@ -173,7 +221,7 @@ def mix(docs: DataFrame, text: str = "text", sources: Column | None = None, seed
     second = _cut(inner, "two", F.col("before"), "one")
     cut = scratch.keep(second, "cut").withColumnRenamed("before", "ahead")  # a row for a pattern at most
     place = F.concat(one, two)
-    told = want.join(F.broadcast(cut.select("pattern", "ahead", F.concat("one", "two").alias("at"))), "pattern", "left").withColumn("place", place)
+    told = want.join(cut.select("pattern", "ahead", F.concat("one", "two").alias("at")), "pattern", "left").withColumn("place", place)
     edge = told.where("place = at").withColumn(
         "run", F.col("ahead") + F.sum("size").over(Window.partitionBy("pattern").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0))
     )

@@ -144,7 +144,7 @@ r AS (SELECT l.doc_id, string_agg(l.text, chr(10) ORDER BY l.line) AS text, coun
 SELECT d.doc_id, len(ls) AS lines, len(ls) - coalesce(r.n, 0) AS removed, coalesce(r.text, '') AS text FROM d LEFT JOIN r USING (doc_id)""",
     "op6_mix_sources": """
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
-    md5(concat('mix:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS k FROM documents),
+    md5(concat('mix:', coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))))) AS k FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
 r AS (SELECT *, 3.0 * n / w AS cap, sum(3 * n) OVER x - 3 * n AS below, sum(w) OVER () - sum(w) OVER x + w AS open, sum(n) OVER () AS total, row_number() OVER x AS k
   FROM s WINDOW x AS (ORDER BY 3.0 * n / w, source NULLS LAST)),
