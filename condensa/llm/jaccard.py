@@ -26,7 +26,7 @@ from condensa.llm.scratch import Scratch
 
 U64 = np.uint64
 #: Classes and n-grams that a block of a cluster holds, in expectation.
-BLOCK_CLASSES, BLOCK_NGRAMS = 128, 1 << 20
+BLOCK_CLASSES, BLOCK_NGRAMS = 2048, 1 << 21
 
 
 def choose_bands(threshold: float, recall: float, most: int = 128) -> tuple[int, int]:
@@ -213,17 +213,19 @@ def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8, scratch: Scrat
 
     Of rows that share the least doc_id one stays, by a hash of all columns.  A
     row without a word is in no group and stays.  A null doc_id comes last.
+    Columns may have any name.
     """
     scratch = scratch or Scratch(docs.sparkSession, "near")
     row = F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in docs.columns))
+    whole = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), row.alias("row"))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row.alias("row"))
     told = scratch.keep(_groups(keyed, n, threshold, 0.999, scratch, ["row"]), "told").where("group IS NOT NULL")
     order = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "row")
     best = told.groupBy("group").agg(F.min(order).alias("best"))
-    gone = told.join(best, "group").where(order != F.col("best")).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct()
-    left = docs.withColumn("_k", row).join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_row")), "left_anti")
-    twice = scratch.keep(told.groupBy("group", "doc_id", "row").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct(), "twice")
-    if twice.isEmpty():
-        return left.drop("_k")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_row"))
-    return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates(["_k", "doc_id"])).drop("_k")
+    gone = told.join(best, "group").where(order != F.col("best")).select(F.col("doc_id").alias("other"), F.col("row").alias("key")).distinct()
+    same = F.col("id").eqNullSafe(F.col("other")) & (F.col("row") == F.col("key"))
+    left = whole.join(gone, same, "left_anti")
+    twice = scratch.keep(told.groupBy("group", "doc_id", "row").count().where("count > 1").select(F.col("doc_id").alias("other"), F.col("row").alias("key")).distinct(), "twice")
+    if not twice.isEmpty():
+        left = left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates(["row", "id"]))
+    return left.select("doc.*")
