@@ -2,14 +2,15 @@
 
 The benchmark goes through in blocks of bounded size.  A block's word n-grams
 are counted over all documents first; an item's seeds are those of its n-grams
-that few documents hold (RARE_SHARE of them at most, or no more than the
-item's median n-gram).  A second pass joins passages to items through seeds in
+that few documents hold (RARE_SHARE of them or RARE_DOCS at most, or no more
+than the item's median n-gram).  A second pass joins passages to items through seeds in
 the tasks that read the documents, so no text is shuffled, and aligns every
 passage around a seed with its item word by word.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -20,11 +21,12 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from condensa.llm import blocks
+from condensa.llm.scratch import Scratch
 
 U64 = np.uint64
 #: Characters of benchmark text that are broadcast at once.
 BLOCK_CHARS = 4 << 20
-RARE_SHARE = 1e-4
+RARE_SHARE, RARE_DOCS = 1e-4, 50
 MATCH, MISMATCH, GAP = 2, -1, -1
 _TABLE_BITS = 20
 MATCHES = "item_id long, score double, begin_word long, end_word long, passage string"
@@ -69,7 +71,7 @@ def rare_only(items: Items, df: np.ndarray, n_docs: int) -> Items:
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     some = sizes > 0
     limit[some] = by_use[order][(starts + (sizes - 1) // 2)[some]]
-    keep = by_use <= np.maximum(limit, RARE_SHARE * n_docs)[items.item]
+    keep = by_use <= np.maximum(limit, max(RARE_SHARE * n_docs, RARE_DOCS))[items.item]
     return _index(items.ids, items.words, np.repeat(items.seeds, np.diff(items.first))[keep], items.item[keep], items.place[keep])
 
 
@@ -160,21 +162,22 @@ def _blocks_of(benchmark: DataFrame) -> Iterator[list[Row]]:
         yield items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).orderBy("item_id", "text").collect()
 
 
-def seeded_blocks(docs: DataFrame, benchmark: DataFrame, n: int) -> list:
-    """Broadcasts of the benchmark's blocks with rare seeds, counted over all documents."""
+def seeded_blocks(docs: DataFrame, benchmark: DataFrame, n: int) -> Iterator:
+    """Broadcasts of the benchmark's blocks with rare seeds, counted over all documents: one after the other."""
     spark: SparkSession = docs.sparkSession
-    texts, out = docs.select(F.col("text").cast("string").alias("text")), []
+    texts = docs.select(F.col("text").cast("string").alias("text"))
     for rows in _blocks_of(benchmark):
         items = build_items(rows, n)
-        counts = texts.mapInArrow(_frequencies(spark.sparkContext.broadcast(items), n), "seed int, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
+        all_seeds = spark.sparkContext.broadcast(items)
+        counts = texts.mapInArrow(_frequencies(all_seeds, n), "seed int, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
+        all_seeds.unpersist()
         df, docs_n = np.zeros(len(items.seeds), np.int64), 0
         for r in counts:
             if r.seed < 0:
                 docs_n = r.n
             else:
                 df[r.seed] = r.n
-        out.append(spark.sparkContext.broadcast(rare_only(items, df, docs_n)))
-    return out
+        yield spark.sparkContext.broadcast(rare_only(items, df, docs_n))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFrame:
@@ -183,15 +186,26 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: flo
     score: the best alignment's share of what the whole item would score; at
     least the threshold.  The span counts words of the document, the passage is
     its lower-cased text.  Items of fewer than n words carry no seed and match
-    nothing; so do null and empty texts.  Each repeated document or item row
-    gives rows of its own; null ids stay null; other columns are ignored.
+    nothing; so do null and empty texts.  Of passages of one document that score
+    alike for an item the first is told.  Each repeated document or item row
+    gives rows of its own; null ids stay null; other columns are ignored.  Texts
+    of any length are searched whole.  Of a benchmark of several blocks only one
+    is held at a time: its matches are written before the next one's.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
-    for shared in seeded_blocks(docs, benchmark, n):
-        found = texts.mapInArrow(_matches(shared, n, threshold), f"doc_id long, {MATCHES}")
-        out = found if out is None else out.unionByName(found)
-    return out
+    return _by_block(texts, benchmark, n, lambda shared: texts.mapInArrow(_matches(shared, n, threshold), f"doc_id long, {MATCHES}"))
+
+
+def _by_block(docs: DataFrame, benchmark: DataFrame, n: int, find: Callable) -> DataFrame:
+    """What is found with each block; all but the last block's rows are written, and its broadcast is let go."""
+    scratch, out, last = Scratch(docs.sparkSession, "leaks"), None, None
+    for i, shared in enumerate(seeded_blocks(docs, benchmark, n)):
+        if last is not None:
+            done = scratch.keep(find(last), f"block{i}")
+            out = done if out is None else out.unionByName(done)
+            last.unpersist()
+        last = shared
+    return find(last) if out is None else out.unionByName(find(last))
 
 
 def _matches(shared, n: int, threshold: float) -> Callable:
@@ -211,14 +225,21 @@ def _matches(shared, n: int, threshold: float) -> Callable:
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFrame:
     """The rows of docs, all columns, whose text holds no benchmark item; null and empty texts stay."""
-    shared = seeded_blocks(docs, benchmark, n)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in blocks.slices(whole, "text"):
-                keep = np.ones(batch.num_rows, bool)
-                for block in shared:
-                    keep[[m[0] for m in leaks(block.value, batch.column("text"), n, threshold)]] = False
-                yield batch.filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+    blocks_ = [*itertools.islice(_blocks_of(benchmark), 2)]
+    if len(blocks_) < 2:
+        shared = next(seeded_blocks(docs, benchmark, n))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in blocks.slices(whole, "text"):
+                    keep = np.ones(batch.num_rows, bool)
+                    keep[[m[0] for m in leaks(shared.value, batch.column("text"), n, threshold)]] = False
+                    yield batch.filter(pa.array(keep))
+
+        return docs.mapInArrow(run, docs.schema)
+    # with more than one block, hashes of the texts that hold an item are gathered block by block
+    look = F.xxhash64(F.col("text").cast("string"))
+    texts = docs.select(look.alias("doc_id"), F.col("text").cast("string").alias("text"))
+    gone = _by_block(texts, benchmark, n, lambda shared: texts.mapInArrow(_matches(shared, n, threshold), f"doc_id long, {MATCHES}").select("doc_id"))
+    told = docs.select(F.struct("*").alias("doc"), F.when(F.col("text").isNotNull(), look).alias("look"))
+    return told.join(gone.distinct(), F.col("look") == F.col("doc_id"), "left_anti").select("doc.*")
