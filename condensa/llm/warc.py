@@ -36,7 +36,9 @@ def write_warc(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z",
     LEAST_REVISIT bytes or more, those with the largest page_id are responses
     and the others revisits of it; a null page_id is below all others, and its
     record is named by the word `null`.  Control characters in a URL become
-    %0A; a null URL has no header.  Other columns are ignored.
+    %0A; a null URL has no header.  Repeated rows make a record each.  An empty
+    table makes an archive without records.  Other columns are ignored.  A
+    payload is handled whole, whatever its length.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
@@ -160,7 +162,7 @@ class WarcReader(DataSourceReader):
         out: list[list[str]] = []
         room = 0
         for name, size in sorted(self.files, key=lambda x: (-x[1], x[0])):
-            if size > room:
+            if not out or size > room:
                 out.append([])
                 room = PARTITION_BYTES
             out[-1].append(name)
