@@ -24,8 +24,10 @@ from condensa.llm import blocks, langid
 from condensa.llm.scratch import Scratch
 
 ORDER, BITS, DISCOUNT = 5, 12, 0.75
-#: Characters of a window; labelled rows learned from; buckets of the broadcast table.
-WINDOW, SAMPLE_ROWS, TABLE_BITS = 48, 20_000, 22
+#: Characters of a window; labelled rows learned from.
+WINDOW, SAMPLE_ROWS = 48, 20_000
+#: The broadcast table has 8 buckets for each distinct 5-gram of the corpus, within these powers of 2.
+LEAST_BITS, MOST_BITS = 16, 24
 #: Of 5 parts of the sample, those that fit the curve.
 CURVE_PARTS = 1
 _MASK = (1 << BITS) - 1
@@ -123,15 +125,15 @@ def log_ratios(grams: DataFrame) -> DataFrame:
     return seen.select("gram", "n", F.ln(own("toxic") / own("ordinary")).alias("ratio"))
 
 
-def _bucket(grams: np.ndarray) -> np.ndarray:
-    return (grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+def _bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
+    return (grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
 
 
 def differences(table: np.ndarray, texts: pa.Array) -> np.ndarray:
     """By text: mean log ratio a character over all of it, and over the window where it is largest."""
     grams, at = packed(texts)
     run = np.zeros(len(grams) + 1)
-    np.cumsum(table[_bucket(grams)], out=run[1:])
+    np.cumsum(table[_bucket(grams, len(table))], out=run[1:])
     size = np.diff(at)
     out = np.zeros((len(size), 2))
     some = size > 0
@@ -199,9 +201,10 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, most_rows: int = S
         F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(0)).alias("n"), *(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(c) for k, c in ((1, "ordinary"), (2, "toxic")))
     )
     grams = scratch.keep(counted, "grams")
-    ratio = log_ratios(grams).mapInArrow(_buckets, "bucket int, n long, ratio double").groupBy("bucket").agg((F.sum(F.col("ratio") * F.col("n")) / F.sum("n")).alias("ratio")).where("abs(ratio) > 0.01")
+    buckets = 1 << min(MOST_BITS, max(LEAST_BITS, (8 * grams.count()).bit_length()))
+    ratio = log_ratios(grams).mapInArrow(_buckets(buckets), "bucket int, n long, ratio double").groupBy("bucket").agg((F.sum(F.col("ratio") * F.col("n")) / F.sum("n")).alias("ratio")).where("abs(ratio) > 0.01")
     got = ratio.toArrow()  # no more rows than buckets
-    table = np.zeros(1 << TABLE_BITS, np.float32)
+    table = np.zeros(buckets, np.float32)
     if got.num_rows:
         table[np.asarray(got.column("bucket"))] = np.asarray(got.column("ratio"))
     shared = spark.sparkContext.broadcast(table)
@@ -211,10 +214,13 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, most_rows: int = S
     return shared, fit_curve(x, np.asarray(rows.column("tag"), np.float64) if rows.num_rows else np.zeros(0))
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        bucket = _bucket(np.asarray(batch.column("gram"), np.int64)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column("n"), batch.column("ratio")], names=["bucket", "n", "ratio"])
+def _buckets(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket = _bucket(np.asarray(batch.column("gram"), np.int64), buckets).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column("n"), batch.column("ratio")], names=["bucket", "n", "ratio"])
+
+    return run
 
 
 def score(texts: DataFrame, model: tuple[object, np.ndarray]) -> DataFrame:
@@ -222,7 +228,9 @@ def score(texts: DataFrame, model: tuple[object, np.ndarray]) -> DataFrame:
 
     Null texts and texts of fewer than five characters have no log ratio and get
     the curve's value at 0.  Without labelled rows of both classes every text
-    gets the same score.
+    gets the same score.  Whole texts of any length count; repeated rows are
+    scored each; a column that is called score is replaced.
     """
+    texts = texts.drop("score")
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields if f.name != "text"]
     return texts.mapInArrow(_score(*model), ", ".join([*kept, "score double"]))
