@@ -9,6 +9,7 @@ polynomial sum, so no Python object is made per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -43,6 +44,19 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _TRIM = None
+
+
+def trim() -> None:
+    """Give memory that is free back to the system: workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (the splitmix finaliser)."""
     x = x ^ (x >> U64(30))
@@ -84,6 +98,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         to = max(at + 1, int(np.searchsorted(size, size[at] + most, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    trim()
 
 
 class Words(NamedTuple):

@@ -38,9 +38,9 @@ from condensa.llm.scratch import Scratch
 
 U64 = np.uint64
 #: Buckets of the word counts and of the keys' loads; entries of a key in a task; pairs compared at once.
-COUNT_BITS, LOAD_BITS, TOKEN_BLOCK, PAIR_BLOCK = 20, 20, 4096, 1 << 19
+COUNT_BITS, LOAD_BITS, TOKEN_BLOCK, PAIR_BLOCK = 20, 20, 4096, 1 << 17
 #: Entries of a shard, in expectation, and entries that a task packs at once; buckets of a row of sums.
-SHARD, PACK, CHUNK = 1 << 17, 1 << 19, 4096
+SHARD, PACK, CHUNK = 1 << 17, 1 << 18, 4096
 #: Candidates that a class asks a key for in the first round, and by how much they grow from round to round.
 FEW, MORE = 4, 64
 
@@ -292,6 +292,7 @@ def _entries(t: float, common, loads, shards: int, role: int, wanted=None):
                 held, count = [], 0
         if count:
             yield packed(held)
+        blocks.trim()
 
     return run
 
@@ -368,6 +369,7 @@ def _candidates(t: float, most: int):
                 held.append(entries.as_py())
         if held:
             yield told(held)
+        blocks.trim()
 
     return run
 
