@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from condensa.functions.ship import ship
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: its shuffle files go with it, and batches for Python stay small, as their rows can be wide.
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 _LOCAL: list[str] = []
 _MADE: dict[str, object] = {}
 
@@ -51,12 +52,15 @@ class Scratch:
 
         hashes: most of it are hashes, for which dictionaries are not worth trying.
         """
-        conf, old = self.spark.conf, self.spark.conf.get(CLEANUP, "false")
-        conf.set(CLEANUP, "true")
+        conf = self.spark.conf
+        old = {k: conf.get(k, None) for k in WHILE_WRITING}
+        for k, v in WHILE_WRITING.items():
+            conf.set(k, v)
         try:
             df.write.option("parquet.enable.dictionary", str(not hashes).lower()).mode("overwrite").parquet(self.path(name))
         finally:
-            conf.set(CLEANUP, old)
+            for k, v in old.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
