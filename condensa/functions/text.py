@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The built-in stop words; any list can be given instead.
@@ -14,6 +14,8 @@ STOP_WORDS = (
     "de der die das und ist im mit ein eine la le les des du et un une dans est que qui pour en el los las y se del al por con"
 ).split()
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: What white space is to the tokenizers.
+SPACES = " \t\n\x0b\f\r"
 #: Answers that say nothing.
 BLANK_ANSWERS = ["?", "[blank]", "n/a", "blank"]
 
@@ -24,8 +26,9 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased, split at white space."""
-    return F.filter(F.split(F.lower(text), "\\s+"), lambda x: x != "")
+    """Lower-cased, split at white space; no lambda, so it stays in generated code."""
+    bare = F.btrim(F.lower(text), F.lit(SPACES))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "\\s+"))
 
 
 def wordpunct(text: Column) -> Column:
@@ -53,6 +56,34 @@ def ngrams(toks: Column, n: int, joiner: str = " ") -> Column:
     return toks if n == 1 and joiner == " " else let(toks, runs)
 
 
+def gram_array(toks: Column, n: int) -> Column:
+    """All runs of n tokens, then n - 1 nulls: each a concatenation of neighbours, with no slice a run."""
+    out = toks
+    for i in range(1, n):
+        out = F.zip_with(out, F.slice(toks, i + 1, F.size(toks)), lambda a, b: F.concat(a, F.lit(" "), b))
+    return out
+
+
+def stop_only(gram: Column, n: int, stop: list[str] = STOP_WORDS) -> Column:
+    """Whether all n words of an n-gram are stop words."""
+    w = F.split(gram, " ")
+    out = F.lit(True)
+    for i in range(n):
+        out = out & F.get(w, F.lit(i)).isin(*stop)
+    return out
+
+
+def gram_rows(rows: DataFrame, keep: list, text: str = "text", n: int = 2, distinct: bool = False, stop: list[str] | None = STOP_WORDS, name: str = "concept") -> DataFrame:
+    """keep, name: a row for each n-gram of a text, or each distinct one; those of stop words only are left out.
+
+    Stop words are looked up on rows, in generated code, not in lambdas.
+    """
+    toks = tokens(F.col(text))
+    grams = gram_array(toks, n)
+    out = rows.select(*keep, F.explode(F.array_distinct(grams) if distinct else grams).alias(name)).where(F.col(name).isNotNull())
+    return out if stop is None else out.where(~stop_only(F.col(name), n, stop))
+
+
 def is_stop(word: Column, stop: list[str] = STOP_WORDS) -> Column:
     return word.isin(*stop)
 
@@ -70,7 +101,7 @@ def drop_stop_tokens(toks: Column, stop: list[str] = STOP_WORDS) -> Column:
 
 def tagged_ngrams(toks: Column, tags: Column, n: int) -> Column:
     """Structs of an n-gram and the n-gram of its tags."""
-    return F.transform(F.arrays_zip(ngrams(toks, n).alias("gram"), ngrams(tags, n).alias("tag")), lambda x: F.struct(x["0"].alias("gram"), x["1"].alias("tag")))
+    return F.zip_with(ngrams(toks, n), ngrams(tags, n), lambda gram, tag: F.struct(gram.alias("gram"), tag.alias("tag")))
 
 
 def word_count(text: Column) -> Column:
@@ -157,7 +188,38 @@ def skip_bigrams(toks: Column, gap: int = 4) -> Column:
     return let(toks, pairs)
 
 
+def surface_forms(toks: Column, stems: Column, n: int) -> Column:
+    """A map from each n-gram of stems to the n-gram of tokens at its last place."""
+    pairs = F.zip_with(ngrams(stems, n), ngrams(toks, n), lambda stem, form: F.struct(stem.alias("stem"), form.alias("form")))
+
+    def last(p: Column) -> Column:
+        return F.map_from_entries(F.filter(p, lambda x, i: ~F.exists(F.slice(p, i + 2, F.size(p)), lambda y: y["stem"] == x["stem"])))
+
+    return let(pairs, last)
+
+
+def plain_quotes(text: Column) -> Column:
+    """Pairs of backticks or apostrophes, and typographic double quotes, as one kind of double quote."""
+    return F.regexp_replace(text, "``|''|[\u201c\u201d\u201e]", '"')
+
+
+def joined_paragraphs(text: Column) -> Column:
+    """Of lines between <P> and </P> marks, one line a paragraph; lines outside of any are left out.  Marks count in either case."""
+    found = F.regexp_extract_all(text, F.lit("(?is)<p>(.*?)</p>"), F.lit(1))
+    return F.array_join(F.filter(F.transform(found, lambda x: F.trim(F.regexp_replace(x, "\\s+", " "))), lambda x: x != ""), "\n")
+
+
+def lexicon_share(toks: Column, lexicon: Column) -> Column:
+    """How many tokens a lexicon has, over the number of tokens and 0.00001."""
+    return overlap(toks, lexicon) / (F.size(toks) + 1e-5)
+
+
+def matching_name(key: Column, names: Column, start: str, end: str) -> Column:
+    """The first of an array of file names that holds start, key and end in a row (parts of a regular expression); null if none."""
+    return F.get(F.filter(names, lambda x: F.rlike(x, F.concat(F.lit(start), key.cast("string"), F.lit(end)))), F.lit(0))
+
+
 def paragraphs(html: Column) -> Column:
-    """Bodies of <p> elements, tags stripped, white space collapsed."""
-    found = F.regexp_extract_all(html, F.lit("(?s)<p(?:\\s[^>]*)?>(.*?)</p>"), F.lit(1))
+    """Bodies of <p> elements in either case, tags stripped, white space collapsed."""
+    found = F.regexp_extract_all(html, F.lit("(?is)<p(?:\\s[^>]*)?>(.*?)</p>"), F.lit(1))
     return F.transform(found, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", " "), "\\s+", " ")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from condensa.functions import text as T
 from condensa.functions.vectors import bin_index
+from condensa.sources.place import kept
 
 GROUP = ["lecture", "prompt"]
 
@@ -26,34 +27,62 @@ def phrases(resp: DataFrame, unit: str = "text") -> DataFrame:
     return source.where("phrase IS NOT NULL").groupBy(*GROUP, "phrase").agg(F.count("*").alias("freq"))
 
 
-def incidence(units: DataFrame, text: str = "phrase", n: int = 2, stop: list[str] | None = T.STOP_WORDS, malformed: bool = True) -> DataFrame:
-    """units' other columns, concept, occ: how often each unit holds each concept."""
+def incidence(units: DataFrame, text: str = "phrase", n: int = 2, stop: list[str] | None = T.STOP_WORDS, malformed: bool = True, whitelist: DataFrame | None = None, stemmed: bool = False) -> DataFrame:
+    """units' other columns, concept, occ: how often each unit holds each concept.
+
+    whitelist(concept): other concepts are left out.  stemmed: concepts of the
+    words' stems, each distinct word stemmed once; stop words go by their form.
+    """
     kept = units if malformed else units.where(~T.is_malformed(F.col(text)))
-    grams = T.ngrams(T.tokens(F.col(text)), n)
-    grams = T.drop_stop_ngrams(grams, stop) if stop is not None else grams
-    keys = units.columns
-    return kept.select(*keys, F.explode(grams).alias("concept")).groupBy(*keys, "concept").agg(F.count("*").alias("occ"))
+    rows = stemmed_grams(kept, units.columns, text, n, stop) if stemmed else T.gram_rows(kept, units.columns, text, n, stop=stop)
+    rows = rows if whitelist is None else rows.join(whitelist.select("concept").distinct(), "concept", "left_semi")
+    return rows.groupBy(*units.columns, "concept").agg(F.count("*").alias("occ"))
+
+
+def stemmed_grams(rows: DataFrame, keep: list[str], text: str = "text", n: int = 2, stop: list[str] | None = T.STOP_WORDS) -> DataFrame:
+    """keep, concept: n-grams of stems; one of stop words only, by the words as written, is left out."""
+    from condensa.functions.stem import stem_table
+
+    at = rows.select(*keep, F.posexplode(T.tokens(F.col(text))).alias("pos__", "word__"))
+    stems = stem_table(at.select(F.col("word__").alias("word")).distinct(), "word").withColumnsRenamed({"word": "word__", "stem": "stem__"})
+    told = at.join(stems, "word__").groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("pos__", "stem__", "word__"))).alias("t__"))
+    stem, word = F.transform("t__", lambda x: x["stem__"]), F.transform("t__", lambda x: x["word__"])
+    both = F.zip_with(T.gram_array(stem, n), T.gram_array(word, n), lambda a, b: F.struct(a.alias("concept"), b.alias("form__")))
+    out = told.select(*keep, F.inline(both)).where("concept IS NOT NULL")
+    return (out if stop is None else out.where(~T.stop_only(F.col("form__"), n, stop))).drop("form__")
+
+
+def counted_phrases(phrases: DataFrame, counts: DataFrame) -> DataFrame:
+    """phrases(by, phrase, ...) with `freq` of counts(by, phrase, freq); a phrase that has none fails the query."""
+    by = [c for c in counts.columns if c != "freq"]
+    told = phrases.join(counts, by, "left")
+    return told.withColumn("freq", F.coalesce("freq", F.raise_error(F.concat(F.lit("no count of "), F.col("phrase"))).cast("bigint")))
+
+
+def concept_mass(cells: DataFrame, by: list[str], value: str = "value") -> DataFrame:
+    """(by, phrase, length): half the sum of a phrase's cells."""
+    return cells.groupBy(*by, "phrase").agg((F.sum(value) / 2).alias("length"))
 
 
 def theta_tf(resp: DataFrame, n: int = 2) -> DataFrame:
     """Occurrences times phrase frequency: each response counts its concepts with repeats."""
-    grams = T.drop_stop_ngrams(T.ngrams(T.tokens(F.col("text")), n))
-    return resp.select(*GROUP, F.explode(grams).alias("concept")).groupBy(*GROUP, "concept").agg(F.count("*").cast("double").alias("theta"))
+    return T.gram_rows(resp, GROUP, n=n).groupBy(*GROUP, "concept").agg(F.count("*").cast("double").alias("theta"))
 
 
 def theta_distinct(resp: DataFrame, n: int = 2) -> DataFrame:
     """Phrase frequency summed over the distinct concepts of a phrase; no shuffle but the sum's."""
-    grams = F.array_distinct(T.drop_stop_ngrams(T.ngrams(T.tokens(F.col("text")), n)))
-    return resp.select(*GROUP, F.explode(grams).alias("concept")).groupBy(*GROUP, "concept").agg(F.count("*").cast("double").alias("theta"))
+    return T.gram_rows(resp, GROUP, n=n, distinct=True).groupBy(*GROUP, "concept").agg(F.count("*").cast("double").alias("theta"))
 
 
-def tfidf(resp: DataFrame, n: int = 2, default_idf: float = 1.5) -> DataFrame:
-    """Each group is a document: tf = share of its concepts, idf = ln((1 + N) / (1 + df))."""
-    counts = theta_tf(resp, n)
+def tfidf(resp: DataFrame, n: int = 2, default_idf: float = 1.5, by_prompt: bool = False) -> DataFrame:
+    """Each group is a document: tf = share of its concepts, idf = ln((1 + N) / (1 + df)), over all groups or those of the prompt."""
+    counts = kept(theta_tf(resp, n), "counts")  # read three times
+    corpus = ["prompt"] if by_prompt else []
     per_group = counts.groupBy(*GROUP).agg(F.sum("theta").alias("all"))
-    df = counts.groupBy("concept").agg(F.count("*").alias("df"))
-    groups = per_group.agg(F.count("*").alias("n_groups"))
-    joined = counts.join(per_group, GROUP).join(df, "concept").crossJoin(F.broadcast(groups))  # one row
+    df = counts.groupBy(*corpus, "concept").agg(F.count("*").alias("df"))
+    groups = per_group.groupBy(*corpus).agg(F.count("*").alias("n_groups"))
+    joined = counts.join(per_group, GROUP).join(df, [*corpus, "concept"])
+    joined = joined.join(groups, corpus) if corpus else joined.crossJoin(F.broadcast(groups))  # one row
     tf = F.col("theta") / F.col("all")
     idf = F.coalesce(F.ln((1.0 + F.col("n_groups")) / (1.0 + F.col("df"))), F.lit(default_idf))
     return joined.select(*GROUP, "concept", tf.alias("tf"), F.col("df").cast("long").alias("df"), (tf * idf).alias("tfidf"))
@@ -97,9 +126,7 @@ def tfidf_features(weights: DataFrame) -> DataFrame:
 
 def average_length(resp: DataFrame, n: int = 2) -> DataFrame:
     """(lecture, prompt, concept, ave): floor of the mean word count of the responses that hold the concept."""
-    toks = T.tokens(F.col("text"))
-    grams = F.array_distinct(T.drop_stop_ngrams(T.ngrams(toks, n)))
-    rows = resp.select(*GROUP, F.size(toks).alias("words"), grams.alias("gs")).select(*GROUP, "words", F.explode("gs").alias("concept"))
+    rows = T.gram_rows(resp, [*GROUP, F.size(T.tokens(F.col("text"))).alias("words")], n=n, distinct=True)
     return rows.groupBy(*KEEP).agg(F.floor(F.sum("words") / F.count("*")).alias("ave"))
 
 
@@ -117,25 +144,53 @@ def length_rank_features(lengths: DataFrame, k: int = 10) -> DataFrame:
 
 def position_features(resp: DataFrame, n: int = 2, bins: int = 5) -> DataFrame:
     """Every bin in which a response's first occurrence of the concept falls, among all its n-grams."""
-    grams = T.ngrams(T.tokens(F.col("text")), n)
-    rows = resp.select(*GROUP, "student", grams.alias("gs")).select(*GROUP, "student", F.size("gs").alias("n"), F.posexplode("gs").alias("pos", "concept"))
+    toks = T.tokens(F.col("text"))
+    rows = resp.select(*GROUP, "student", (F.size(toks) - (n - 1)).alias("n"), F.posexplode(T.gram_array(toks, n)).alias("pos", "concept")).where("concept IS NOT NULL")
     rows = rows.groupBy(*GROUP, "student", "concept").agg(F.min("pos").alias("pos"), F.first("n").alias("n"))
-    rows = rows.where(~F.forall(F.split("concept", " "), lambda w: w.isin(*T.STOP_WORDS)))
+    rows = rows.where(~T.stop_only(F.col("concept"), n))
     at = bin_index(F.col("pos"), 0.0, F.col("n"), bins)
     return rows.select(*KEEP, F.concat(F.lit("position_"), at.cast("string")).alias("feature")).distinct().withColumn("value", F.lit(1.0))
 
 
-def prompt_similarity_features(resp: DataFrame, prompt_words: list[str], n: int = 2) -> DataFrame:
-    """Floor of the mean number of words that the responses with a concept share with the prompt's text."""
+def prompt_similarity_features(resp: DataFrame, prompts: DataFrame, n: int = 2) -> DataFrame:
+    """Floor of the mean number of words that the responses with a concept share with their own prompt's text; prompts(prompt, words array)."""
     toks = T.tokens(F.col("text"))
-    shared = F.size(F.filter(toks, lambda w: w.isin(*prompt_words)))
-    grams = F.array_distinct(T.drop_stop_ngrams(T.ngrams(toks, n)))
-    rows = resp.select(*GROUP, shared.alias("shared"), grams.alias("gs")).select(*GROUP, "shared", F.explode("gs").alias("concept"))
+    told = resp.join(prompts.select("prompt", F.col("words").alias("asked")), "prompt").withColumn("shared", F.size(F.filter(toks, lambda w: F.array_contains("asked", w))))
+    rows = T.gram_rows(told, [*GROUP, "shared"], n=n, distinct=True)
     v = F.col("ave")
     preds = [("prompt_sim=0", v == 0), *((f"prompt_sim<={x}", v <= x) for x in (1, 2, 3, 4, 10)), ("prompt_sim>10", v > 10), ("prompt_sim!=0", v != 0), *((f"prompt_sim>{x}", v > x) for x in (1, 2, 3, 4))]
     return rows_of_features(rows.groupBy(*KEEP).agg(F.floor(F.sum("shared") / F.count("*")).alias("ave")), preds, KEEP)
 
 
+def tag_features(tags: DataFrame) -> DataFrame:
+    """pos=, and for concepts of two words pos_first= and pos_second=, of tags(lecture, prompt, concept, tags)."""
+    w = F.split("tags", " ")
+    held = F.array_compact(F.array(F.concat(F.lit("pos="), "tags"), F.when(F.size(w) == 2, F.concat(F.lit("pos_first="), w[0])), F.when(F.size(w) == 2, F.concat(F.lit("pos_second="), F.get(w, F.lit(1))))))
+    return tags.select(*KEEP, F.explode(held).alias("feature")).withColumn("value", F.lit(1.0))
+
+
+def membership_features(concepts: DataFrame, listed: DataFrame, name: str, by: list[str] = ()) -> DataFrame:
+    """{name}_Yes for concepts that are listed(by, concept), {name}_No for others."""
+    told = concepts.select(*KEEP).distinct().join(listed.select(*by, "concept").distinct().withColumn("hit", F.lit(True)), [*by, "concept"], "left")
+    return told.select(*KEEP, F.when(F.col("hit"), f"{name}_Yes").otherwise(f"{name}_No").alias("feature"), F.lit(1.0).alias("value"))
+
+
+def title_concepts(titles: DataFrame, keep: list[str], n: int = 2, stemmed: bool = False) -> DataFrame:
+    """keep, concept: distinct n-grams of titles(keep, text)."""
+    rows = stemmed_grams(titles, keep, n=n) if stemmed else T.gram_rows(titles, keep, n=n, distinct=True)
+    return rows.distinct()
+
+
+def constant_features(theta: DataFrame, raw: bool = False) -> DataFrame:
+    """One feature a concept: 1, or its raw weight."""
+    return theta.select(*KEEP, F.lit("tf" if raw else "one").alias("feature"), (F.col("theta") if raw else F.lit(1.0)).alias("value"))
+
+
+def select_features(features: DataFrame, names: list[str]) -> DataFrame:
+    """Features whose name, up to its first of = < > ! or _ and digits, is listed."""
+    return features.where(F.regexp_extract("feature", "^(.*?)(?:[=<>!].*|_[0-9]+)?$", 1).isin(*names))
+
+
 def word_features(theta: DataFrame, resp: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Per concept: which of its two words are stop words, its length, and whether most of its words are unknown."""
     w = F.split("concept", " ")
@@ -146,14 +201,18 @@ def word_features(theta: DataFrame, resp: DataFrame, vocabulary: DataFrame) -> D
     return rows_of_features(share, preds, KEEP)
 
 
-def word_frequency_features(theta: DataFrame, resp: DataFrame) -> DataFrame:
-    """Frequency of a concept's first and second word among the group's words."""
+def word_frequency_features(theta: DataFrame, resp: DataFrame, stems: DataFrame | None = None) -> DataFrame:
+    """Frequency of a concept's first and second word among the group's words; stems(word, stem): by their stems."""
     freq = theta_tf(resp, 1).withColumnsRenamed({"concept": "word", "theta": "freq"})
     w = F.split("concept", " ")
-    rows = theta.select(*KEEP, w[0].alias("word")).join(freq, [*GROUP, "word"], "left").withColumnsRenamed({"freq": "f1"}).drop("word")
-    rows = rows.withColumn("word", F.get(w, F.lit(1))).join(freq, [*GROUP, "word"], "left").withColumnsRenamed({"freq": "f2"})
+    rows = theta.select(*KEEP, w[0].alias("w1"), F.get(w, F.lit(1)).alias("w2"))
+    if stems is not None:
+        freq = freq.join(stems.select("word", "stem"), "word").groupBy(*GROUP, F.col("stem").alias("word")).agg(F.sum("freq").alias("freq"))
+        for c in ("w1", "w2"):
+            rows = rows.join(stems.select(F.col("word").alias(c), F.col("stem").alias(f"{c}s")), c, "left").drop(c).withColumnRenamed(f"{c}s", c)
+    rows = rows.join(freq.withColumnsRenamed({"word": "w1", "freq": "f1"}), [*GROUP, "w1"], "left").join(freq.withColumnsRenamed({"word": "w2", "freq": "f2"}), [*GROUP, "w2"], "left")
     preds = []
-    for name, c, ok in (("firstw", "f1", F.lit(True)), ("secondw", "f2", F.col("word").isNotNull())):
+    for name, c, ok in (("firstw", "f1", F.lit(True)), ("secondw", "f2", F.col("w2").isNotNull())):
         v = F.coalesce(c, F.lit(0.0))
         preds += [(f"freq_{name}>{x}", ok & (v > x)) for x in (1, 2, 5)] + [(f"freq_{name}<={x}", ok & (v <= x)) for x in (2, 5)]
     return rows_of_features(rows, preds, KEEP)
@@ -176,15 +235,18 @@ def invert(inc: DataFrame, unit: str) -> DataFrame:
 def key_ngrams(resp: DataFrame, low: int = 1, high: int = 3, by: str = "lecture") -> DataFrame:
     """n-grams that don't begin with a stop word, scored by n times their count."""
     toks = T.tokens(F.col("text"))
-    grams = F.flatten(F.array(*(F.filter(T.ngrams(toks, n), lambda g: ~F.split(g, " ")[0].isin(*T.STOP_WORDS)) for n in range(low, high + 1))))
-    rows = resp.select(by, F.explode(grams).alias("ngram")).groupBy(by, "ngram").agg(F.count("*").alias("n"))
-    return rows.select(by, "ngram", (F.col("n") * F.size(F.split("ngram", " "))).cast("long").alias("score"))
-
-
-def unigram_summary(resp: DataFrame, budget: int = 30) -> DataFrame:
-    """The group's words by mass, cut where their running number passes the budget."""
-    words = theta_tf(resp, 1).withColumnRenamed("concept", "word")
-    return top(words, budget, "theta", "word").select(*GROUP, "rnk", "word")
+    grams = F.flatten(F.array(*(T.gram_array(toks, n) for n in range(low, high + 1))))
+    rows = resp.select(by, F.explode(grams).alias("ngram")).where(F.col("ngram").isNotNull() & ~F.substring_index("ngram", " ", 1).isin(*T.STOP_WORDS))
+    counts = rows.groupBy(by, "ngram").agg(F.count("*").alias("n"))
+    return counts.select(by, "ngram", (F.col("n") * F.size(F.split("ngram", " "))).cast("long").alias("score"))
+
+
+def unigram_summary(chosen: DataFrame, budget: int = 30, stop: list[str] = T.STOP_WORDS) -> DataFrame:
+    """The words of chosen(lecture, prompt, phrase, concept, value): each concept's value goes to all its words, and the heaviest
+    words up to the budget stay; stop words neither stay nor count."""
+    words = chosen.select(*GROUP, F.explode(F.split("concept", " ")).alias("word"), "value").where(~F.col("word").isin(*stop))
+    mass = words.groupBy(*GROUP, "word").agg(F.sum("value").alias("mass"))
+    return top(mass, budget, "mass", "word").select(*GROUP, "rnk", "word", "mass")
 
 
 def phrase_students(resp: DataFrame, by: str = "lecture") -> DataFrame:

@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Nodes up to which every subset is tried.
-EXACT_NODES = 12
-
 
 def arborescence(nodes: frozenset[int], edges: dict[tuple[int, int], float], roots: set[int]) -> tuple[float, list[tuple[int, int]]] | None:
     """The heaviest set of edges that reaches all nodes from one root, one edge into each other node; None if none does."""
@@ -62,31 +57,65 @@ def arborescence(nodes: frozenset[int], edges: dict[tuple[int, int], float], roo
     return found
 
 
-def select_subgraph(node_weight: dict[int, float], edges: dict[tuple[int, int], float], roots: set[int], size: int | None = None) -> tuple[float, list[int], list[tuple[int, int]]]:
-    """(weight, nodes, edges): exact over all subsets up to EXACT_NODES; beyond, the best node with edge is added while that gains."""
-    names = sorted(node_weight)
-    best: tuple[float, list[int], list[tuple[int, int]]] = (0.0, [], []) if not size else (float("-inf"), [], [])
-    if len(names) <= EXACT_NODES:
-        for n in [size] if size else range(1, len(names) + 1):
-            for subset in combinations(names, n):
-                tree = arborescence(frozenset(subset), edges, roots)
-                if tree is not None and (w := tree[0] + sum(node_weight[x] for x in subset)) > best[0] + 1e-12:
-                    best = w, list(subset), tree[1]
-        return best
-    for root in sorted(roots):
+def _grown(node_weight: dict[int, float], edges: dict[tuple[int, int], float], roots: set[int], size: int | None) -> tuple[float, list[int], list[tuple[int, int]]] | None:
+    """The best of trees that grow from each root by the heaviest edge with its node, while that gains or up to the size."""
+    best = None
+    for root in sorted(roots & set(node_weight)):
         weight, picked, used = node_weight[root], {root}, []
         while size is None or len(picked) < size:
-            step = max(((w + node_weight[b], (-a, -b)) for (a, b), w in edges.items() if a in picked and b not in picked), default=None)
+            step = max(((w + node_weight[b], (-a, -b)) for (a, b), w in edges.items() if a in picked and b in node_weight and b not in picked), default=None)
             if step is None or size is None and step[0] <= 0:
                 break
             a, b = -step[1][0], -step[1][1]
             weight, used = weight + step[0], [*used, (a, b)]
             picked.add(b)
-        if weight > best[0] and (size is None or len(picked) == size):
+        if (best is None or weight > best[0]) and (size is None or len(picked) == size):
             best = weight, sorted(picked), sorted(used)
     return best
 
 
+def select_subgraph(node_weight: dict[int, float], edges: dict[tuple[int, int], float], roots: set[int], size: int | None = None) -> tuple[float, list[int], list[tuple[int, int]]]:
+    """(weight, nodes, edges): the heaviest choice, by branch and bound over nodes; nothing at 0 is a choice unless a size is asked for.
+
+    A node counts at most its weight and its heaviest edge from a node that isn't
+    ruled out; the bound sums these over the chosen nodes and, where they are
+    positive or the size asks for them, the open ones.
+    """
+    best: tuple[float, list[int], list[tuple[int, int]]] = (0.0, [], []) if not size else (float("-inf"), [], [])
+    if (grown := _grown(node_weight, edges, roots, size)) and grown[0] > best[0]:
+        tree = arborescence(frozenset(grown[1]), edges, roots)
+        best = (tree[0] + sum(node_weight[x] for x in grown[1]), grown[1], tree[1]) if tree else grown
+    into: dict[int, list[tuple[float, int]]] = {x: [] for x in node_weight}
+    for (a, b), w in edges.items():
+        if a in node_weight and b in node_weight and a != b:
+            into[b].append((w, a))
+    for x in into:
+        into[x].sort(reverse=True)
+    order = sorted(node_weight, key=lambda x: (-(node_weight[x] + (into[x][0][0] if into[x] else 0.0)), x))
+    stack: list[tuple[int, frozenset, frozenset]] = [(0, frozenset(), frozenset())]
+    while stack:
+        at, inside, out = stack.pop()
+        if size and (len(inside) > size or len(inside) + len(order) - at < size):
+            continue
+
+        def most(x: int, out=out) -> float:
+            found = next((w for w, a in into[x] if a not in out), float("-inf"))
+            return node_weight[x] + (max(found, 0.0) if x in roots else found)
+
+        rest = sorted((most(x) for x in order[at:]), reverse=True)
+        bound = sum(most(x) for x in inside) + (sum(rest[: size - len(inside)]) if size else sum(v for v in rest if v > 0))
+        if bound <= best[0] + 1e-12:
+            continue
+        if at == len(order):
+            tree = arborescence(inside, edges, roots) if inside else None
+            if tree and (w := tree[0] + sum(node_weight[x] for x in inside)) > best[0] + 1e-12:
+                best = w, sorted(inside), tree[1]
+            continue
+        x = order[at]
+        stack += [(at + 1, inside, out | {x}), (at + 1, inside | {x}, out)]
+    return best
+
+
 def select_graphs(nodes: DataFrame, edges: DataFrame, size: int | None = None) -> DataFrame:
     """(g, node, picked) from nodes(g, node, weight, root) and edges(g, src, dst, weight); a graph is one task's unit."""
     rows = nodes.select("g", F.col("node").alias("a"), F.lit(None).cast("int").alias("b"), "weight", "root").unionByName(edges.select("g", F.col("src").cast("int").alias("a"), F.col("dst").cast("int").alias("b"), "weight", F.lit(False).alias("root")))
@@ -102,7 +131,7 @@ def select_graphs(nodes: DataFrame, edges: DataFrame, size: int | None = None) -
 
 
 def node_features(nodes: DataFrame) -> DataFrame:
-    """(g, id, feature): nodes(g, id, concept, sources array<struct<line_num, start_idx, end_idx>>).
+    """(g, id, feature): nodes(g, id, concept, sources array<struct<line_num, start_idx, end_idx>>), and, if they have them, depth and entity.
 
     Names are opaque keys.  span/avg tests the longest span.
     """
@@ -110,6 +139,10 @@ def node_features(nodes: DataFrame) -> DataFrame:
     first = F.array_min(F.transform("sources", lambda s: s["line_num"]))
     spans = F.transform("sources", lambda s: s["end_idx"] - s["start_idx"])
     preds = [("bias", F.lit(True)), *((f"freq/{k}", freq > k) for k in (0, 1, 2, 5, 10)), *((f"position/{k}", first <= k) for k in (5, 6, 7, 10, 15)), *((f"span/avg/{k}", F.array_max(spans) > k) for k in (1, 2, 3, 4, 5))]
+    if "depth" in nodes.columns:
+        preds += [(f"depth/{k}", F.col("depth") <= k) for k in (1, 2, 3, 4, 5)]
+    if "entity" in nodes.columns:
+        preds += [("entity/collapsed", F.col("entity"))]
     held = F.array_compact(F.array(*(F.when(p, F.lit(n)) for n, p in preds), F.concat(F.lit("concept/"), "concept")))
     return nodes.select("g", "id", F.explode(held).alias("feature"))
 
@@ -126,3 +159,37 @@ def edge_features(edges: DataFrame) -> DataFrame:
 
 def with_tag(features: DataFrame, tag: str) -> DataFrame:
     return features.withColumn("feature", F.concat(F.lit(f"{tag}/"), "feature"))
+
+
+def decode(nodes: DataFrame, edges: DataFrame, weights: DataFrame, gold: DataFrame | None = None, cost: float = 1.0, size: int | None = None) -> DataFrame:
+    """(g, node, picked) of graphs whose weights are learned: nodes(g, node, root, feature), edges(g, src, dst, feature), weights(feature, w).
+
+    With gold(g, node), as in training, nodes that the gold choice lacks weigh
+    `cost` more and its own `cost` less, so that the decoder errs on the worst side.
+    """
+    w = weights.select("feature", "w")
+    n = nodes.join(w, "feature", "left").groupBy("g", "node").agg(F.sum(F.coalesce("w", F.lit(0.0))).alias("weight"), F.max("root").alias("root"))
+    e = edges.join(w, "feature", "left").groupBy("g", "src", "dst").agg(F.sum(F.coalesce("w", F.lit(0.0))).alias("weight"))
+    if gold is not None:
+        told = n.join(gold.select("g", "node").distinct().withColumn("good", F.lit(True)), ["g", "node"], "left")
+        n = told.withColumn("weight", F.col("weight") + F.when(F.col("good"), -cost).otherwise(cost)).drop("good")
+    return select_graphs(n.select("g", "node", "weight", "root"), e, size)
+
+
+def chosen_features(picked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(g, feature, n): how often the chosen nodes have each feature."""
+    return nodes.join(picked.where("picked").select("g", "node"), ["g", "node"]).groupBy("g", "feature").agg(F.count("*").alias("n"))
+
+
+def choice_score(nodes: DataFrame, weights: DataFrame, choice: DataFrame) -> DataFrame:
+    """(g, score): the summed weights of a choice's features, as of the gold one."""
+    held = nodes.join(choice.select("g", "node").distinct(), ["g", "node"]).join(weights, "feature")
+    return held.groupBy("g").agg(F.sum("w").alias("score"))
+
+
+def conjoined_features(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(g, src, dst, feature): each edge with the pairs of its ends' features."""
+    a = nodes.select("g", F.col("id").alias("src"), F.col("feature").alias("one"))
+    b = nodes.select("g", F.col("id").alias("dst"), F.col("feature").alias("two"))
+    pair = F.concat_ws("&", "one", "two").alias("feature")
+    return edges.select("g", "src", "dst").join(a, ["g", "src"]).join(b, ["g", "dst"]).select("g", "src", "dst", pair)

@@ -12,11 +12,37 @@ def unit_counts(texts: DataFrame, key: str, units: Column) -> DataFrame:
     return texts.select(key, F.explode(units).alias("unit")).groupBy(key, "unit").agg(F.count("*").alias("n"))
 
 
-def units(text: Column, metric: str) -> Column:
-    toks = T.tokens(text)
-    if metric == "su4":
-        return F.concat(toks, T.skip_bigrams(toks, 4))
-    return T.ngrams(toks, int(metric))
+def units(toks: Column, metric: str) -> Column:
+    """A text's units from its tokens; of n-grams, nulls come at the end."""
+    return F.concat(toks, T.skip_bigrams(toks, 4)) if metric == "su4" else T.gram_array(toks, int(metric))
+
+
+def unit_rows(texts: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """keys, metric, unit, n: how often each text holds each unit, in one pass for all metrics."""
+    toks = T.tokens(F.col("text"))
+    per = F.array(*(F.struct(F.lit(metric_name(m)).alias("metric"), units(toks, m).alias("units")) for m in metrics))
+    rows = texts.select(*keys, F.explode(per).alias("m")).select(*keys, "m.metric", F.explode("m.units").alias("unit")).where("unit IS NOT NULL")
+    return rows.groupBy(*keys, "metric", "unit").agg(F.count("*").alias("n"))
+
+
+def metric_name(m: str) -> str:
+    return "ROUGE-SU4" if m == "su4" else f"ROUGE-{m}"
+
+
+def unit_totals(texts: DataFrame, keys: list[str], metrics: list[str], name: str) -> DataFrame:
+    """keys, metric and how many units each text has, without making them."""
+    size = F.size(T.tokens(F.col("text"))).cast("long")
+
+    def count(m: str) -> Column:
+        if m == "su4":  # pairs at most 5 apart, and the tokens
+            k = F.greatest(size - 1, F.lit(0))
+            full = F.greatest(size - 5, F.lit(0))
+            left = k - full
+            return size + full * 5 + left * (left + 1) / 2
+        return F.greatest(size - (int(m) - 1), F.lit(0))
+
+    per = F.array(*(F.struct(F.lit(metric_name(m)).alias("metric"), count(m).cast("long").alias(name)) for m in metrics))
+    return texts.select(*keys, F.explode(per).alias("m")).select(*keys, "m.metric", f"m.{name}")
 
 
 def scores(hit: Column, system: Column, reference: Column) -> tuple[Column, Column, Column]:
@@ -32,20 +58,14 @@ def rouge(systems: DataFrame, references: DataFrame, metrics: list[str] = ["1",
     Clipped matches; several references of a key are combined by mean or max.
     A system whose key has no reference has no row.
     """
-    out = None
-    for m in metrics:
-        sys_units = systems.select("system_id", "ref_key", F.explode(units(F.col("text"), m)).alias("unit")).groupBy("system_id", "ref_key", "unit").agg(F.count("*").alias("n"))
-        ref_units = references.select("ref_key", "ref_id", F.explode(units(F.col("text"), m)).alias("unit")).groupBy("ref_key", "ref_id", "unit").agg(F.count("*").alias("rn"))
-        hits = sys_units.join(ref_units, ["ref_key", "unit"]).groupBy("system_id", "ref_id").agg(F.sum(F.least("n", "rn")).alias("hit"))
-        s = systems.select("system_id", "ref_key", F.size(units(F.col("text"), m)).alias("sn"))
-        r = references.select("ref_key", "ref_id", F.size(units(F.col("text"), m)).alias("total"))
-        pairs = s.join(r, "ref_key").join(hits, ["system_id", "ref_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
-        pairs = pairs.select("system_id", *(c.alias(n) for c, n in zip(scores(F.col("hit"), F.col("sn"), F.col("total")), "rpf")))
-        agg = F.avg if combine == "mean" else F.max
-        name = "ROUGE-SU4" if m == "su4" else f"ROUGE-{m}"
-        part = pairs.groupBy("system_id").agg(*(agg(c).alias(c) for c in "rpf")).select("system_id", F.lit(name).alias("metric"), "r", "p", "f")
-        out = part if out is None else out.unionByName(part)
-    return out
+    sys_units = unit_rows(systems, ["system_id", "ref_key"], metrics)
+    ref_units = unit_rows(references, ["ref_key", "ref_id"], metrics).withColumnRenamed("n", "rn")
+    hits = sys_units.join(ref_units, ["ref_key", "metric", "unit"]).groupBy("system_id", "ref_id", "metric").agg(F.sum(F.least("n", "rn")).alias("hit"))
+    s, r = unit_totals(systems, ["system_id", "ref_key"], metrics, "sn"), unit_totals(references, ["ref_key", "ref_id"], metrics, "total")
+    pairs = s.join(r, ["ref_key", "metric"]).join(hits, ["system_id", "ref_id", "metric"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+    pairs = pairs.select("system_id", "metric", *(c.alias(n) for c, n in zip(scores(F.col("hit"), F.col("sn"), F.col("total")), "rpf")))
+    agg = F.avg if combine == "mean" else F.max
+    return pairs.groupBy("system_id", "metric").agg(*(agg(c).alias(c) for c in "rpf"))
 
 
 def score_table(scored: DataFrame, by: str) -> DataFrame:
@@ -57,14 +77,14 @@ def score_table(scored: DataFrame, by: str) -> DataFrame:
 
 def reference_coverage(sources: DataFrame, references: DataFrame, high: int = 5) -> DataFrame:
     """(n, total, covered, ratio): distinct reference n-grams and those that a source text holds."""
-    out = None
-    for n in range(1, high + 1):
-        ref = references.select(F.explode(T.ngrams(T.tokens(F.col("text")), n)).alias("g")).distinct()
-        # only the references' n-grams are kept of the corpus before its shuffle
-        src = sources.select(F.explode(F.array_distinct(T.ngrams(T.tokens(F.col("text")), n))).alias("g")).join(ref, "g", "left_semi").distinct().withColumn("hit", F.lit(1))
-        row = ref.join(src, "g", "left").agg(F.count("*").alias("total"), F.count("hit").alias("covered")).select(F.lit(n).cast("long").alias("n"), "total", "covered", (F.col("covered") / F.col("total")).alias("ratio"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    toks = T.tokens(F.col("text"))
+    grams = F.flatten(F.array(*(T.gram_array(toks, n) for n in range(1, high + 1))))
+    ref = references.select(F.explode(grams).alias("g")).where("g IS NOT NULL").distinct()
+    # only the references' n-grams are kept of the corpus before its shuffle
+    src = sources.select(F.explode(F.array_distinct(grams)).alias("g")).join(ref, "g", "left_semi").distinct().withColumn("hit", F.lit(1))
+    n = F.size(F.split("g", " ")).cast("long").alias("n")
+    found = ref.join(src, "g", "left").groupBy(n).agg(F.count("*").alias("total"), F.count("hit").alias("covered"))
+    return found.select("n", "total", "covered", (F.col("covered") / F.col("total")).alias("ratio"))
 
 
 def coverage_and_diversity(chosen: DataFrame, students: DataFrame, by: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from condensa.functions import text as T
 from condensa.functions.vectors import cosine, distance_from_similarity
+from condensa.sources.place import kept
 
 
 def length_distribution(rows: DataFrame, by: str, length: Column) -> DataFrame:
@@ -35,7 +36,7 @@ def dataset_statistics(docs: DataFrame, by: str = "source") -> DataFrame:
     """Responses, sentences, words and distinct bigrams of each group."""
     toks = T.tokens(F.col("text"))
     sizes = docs.groupBy(by).agg(F.count("*").alias("responses"), F.sum(F.size(T.sentences(F.col("text")))).cast("long").alias("sentences"), F.sum(F.size(toks)).cast("long").alias("words"))
-    grams = docs.select(by, F.explode(F.array_distinct(T.ngrams(toks, 2))).alias("g")).groupBy(by).agg(F.count_distinct("g").alias("bigrams"))
+    grams = T.gram_rows(docs, [by], distinct=True, stop=None, name="g").groupBy(by).agg(F.count_distinct("g").alias("bigrams"))
     return sizes.join(grams, by, "left").withColumn("words_per_sentence", F.col("words") / F.col("sentences")).select(by, "responses", "sentences", "words", F.coalesce("bigrams", F.lit(0)).alias("bigrams"), "words_per_sentence")
 
 
@@ -91,8 +92,7 @@ def rare_share(theta: DataFrame, by: list[str], most: float = 2.0) -> DataFrame:
 def folds(lectures: DataFrame) -> DataFrame:
     """(fold, lecture, split): leave one lecture out; lectures(lecture) is a list of groups, not of rows."""
     names = lectures.select("lecture").distinct()
-    other = F.broadcast(names.withColumnRenamed("lecture", "fold")) if names.count() <= 10_000 else names.withColumnRenamed("lecture", "fold")
-    return names.crossJoin(other).select("fold", "lecture", F.when(F.col("fold") == F.col("lecture"), "test").otherwise("train").alias("split"))
+    return names.crossJoin(names.withColumnRenamed("lecture", "fold")).select("fold", "lecture", F.when(F.col("fold") == F.col("lecture"), "test").otherwise("train").alias("split"))
 
 
 def normalized_weights(weights: DataFrame, by: list[str]) -> DataFrame:
@@ -137,8 +137,8 @@ def similarity_pairs(vectors: DataFrame, probes: DataFrame) -> DataFrame:
 
 def collocations(docs: DataFrame, by: str) -> DataFrame:
     """(by, bigram, n, llr): log-likelihood ratio of each bigram against its words' independence."""
-    toks = T.tokens(F.col("text"))
-    pairs = docs.select(by, F.explode(T.ngrams(toks, 2)).alias("bigram")).groupBy(by, "bigram").agg(F.count("*").alias("n"))
+    counts = T.gram_rows(docs, [by], stop=None, name="bigram").groupBy(by, "bigram").agg(F.count("*").alias("n"))
+    pairs = kept(counts, "bigrams")  # read four times
     pairs = pairs.withColumn("w1", F.split("bigram", " ")[0]).withColumn("w2", F.split("bigram", " ")[1])
     one = pairs.groupBy(by, "w1").agg(F.sum("n").alias("n1"))
     two = pairs.groupBy(by, "w2").agg(F.sum("n").alias("n2"))
@@ -174,14 +174,63 @@ def merge_columns(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def cluster_ranking(members: DataFrame) -> DataFrame:
-    """(cluster, students, best, rnk): members(cluster, student, score) by distinct students, ties by the best score, then name."""
-    from pyspark.sql import Window
+    """(by, cluster, students, best, rnk): members(by..., cluster, student, score) by distinct students, ties by the best score, then name; ranks count within by."""
+    by = [c for c in members.columns if c not in ("cluster", "student", "score", "phrase")]
+    per = members.groupBy(*by, "cluster").agg(F.count_distinct("student").alias("students"), F.max("score").alias("best"))
+    return per.withColumn("rnk", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("students"), F.desc("best"), "cluster")))
+
 
-    per = members.groupBy("cluster").agg(F.count_distinct("student").alias("students"), F.max("score").alias("best"))
-    return per.withColumn("rnk", F.row_number().over(Window.orderBy(F.desc("students"), F.desc("best"), "cluster")))
+def cluster_report(members: DataFrame, k: int = 3) -> DataFrame:
+    """(by, rnk, cluster, students, phrases): the ranked clusters with their best k phrases, by score and name, joined by `;`."""
+    by = [c for c in members.columns if c not in ("cluster", "student", "score", "phrase")]
+    best = members.groupBy(*by, "cluster", "phrase").agg(F.max("score").alias("score"))
+    place = F.row_number().over(Window.partitionBy(*by, "cluster").orderBy(F.desc("score"), "phrase"))
+    top = best.withColumn("i", place).where(F.col("i") <= k).groupBy(*by, "cluster").agg(F.array_sort(F.collect_list(F.struct("i", "phrase"))).alias("p"))
+    phrases = F.array_join(F.transform("p", lambda x: x["phrase"]), ";").alias("phrases")
+    return cluster_ranking(members).join(top, [*by, "cluster"]).select(*by, "rnk", "cluster", "students", phrases)
 
 
 def feature_split(features: DataFrame, reference: DataFrame) -> DataFrame:
     """How often each feature fires on concepts inside and outside the references."""
     tagged = features.join(reference.select("concept").distinct().withColumn("hit", F.lit(True)), "concept", "left")
     return tagged.groupBy("feature", F.coalesce("hit", F.lit(False)).alias("in_reference")).agg(F.count("*").alias("n"))
+
+
+def document_frequencies(docs: DataFrame, terms: Column | None = None) -> DataFrame:
+    """(term, df) over docs(text): in how many a term comes; terms are by default the words and tags of the text."""
+    toks = T.tagged_tokens(F.col("text")) if terms is None else terms
+    return docs.select(F.explode(F.array_distinct(toks)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def derived_stop_words(frequencies: DataFrame, documents: int, share: float = 0.01) -> DataFrame:
+    """(term): terms that at least a share of the documents have."""
+    return frequencies.where(F.col("df") >= share * documents).select("term")
+
+
+def keywords(docs: DataFrame, frequencies: DataFrame, documents: int, stop: DataFrame | None = None, default_idf: float = 1.5) -> DataFrame:
+    """(doc_id, term, tfidf): a term's share of the text times ln((1 + documents) / (1 + df)); terms of no corpus have the default, stop words 0."""
+    toks = T.tagged_tokens(F.col("text"))
+    rows = docs.select("doc_id", F.size(toks).alias("all"), F.explode(toks).alias("term")).groupBy("doc_id", "term").agg((F.count("*") / F.first("all")).alias("tf"))
+    told = rows.join(frequencies, "term", "left")
+    idf = F.coalesce(F.ln((1.0 + documents) / (1.0 + F.col("df"))), F.lit(default_idf))
+    if stop is not None:
+        told = told.join(stop.select("term").distinct().withColumn("stops", F.lit(True)), "term", "left")
+        idf = F.when(F.col("stops"), F.lit(0.0)).otherwise(idf)
+    return told.select("doc_id", "term", (F.col("tf") * idf).alias("tfidf"))
+
+
+def domain_collocations(docs: DataFrame, by: str, best: int = 15, least: int = 2) -> DataFrame:
+    """(bigram, idf): bigrams among a text group's best by likelihood ratio, whose number of groups over their own is below the mean.
+
+    Bigrams of words under three letters or stop words, and those of fewer than
+    `least` occurrences in a group, don't count.
+    """
+    w1, w2 = F.split("bigram", " ")[0], F.split("bigram", " ")[1]
+    ok = (F.length(w1) >= 3) & (F.length(w2) >= 3) & ~w1.isin(*T.STOP_WORDS) & ~w2.isin(*T.STOP_WORDS) & (F.col("n") >= least)
+    scored = kept(collocations(docs, by), "scored")
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(F.round("llr", 6)), "bigram"))
+    top = scored.where(ok).withColumn("place", place).where(F.col("place") <= best).select("bigram").distinct()
+    groups = scored.select(by).distinct().count()
+    idf = scored.join(top, "bigram", "left_semi").groupBy("bigram").agg((F.lit(groups) / F.count("*")).alias("idf"))
+    mean = idf.agg(F.avg("idf").alias("mean"))
+    return idf.crossJoin(F.broadcast(mean)).where("idf < mean").select("bigram", "idf")  # one row

@@ -16,7 +16,8 @@ from condensa.functions.ship import ship
 from condensa.functions.stem import stem_table
 from condensa.functions.vectors import cluster_count
 from condensa.operators import concepts as C
-from condensa.operators import graph, learn, match, matrix, parse, rouge, solver, stats
+from condensa.operators import graph, learn, match, matrix, report, rouge, solver, stats
+from condensa.sources.place import kept
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -105,10 +106,21 @@ def top_concepts(spark, t):
     return groups(C.top(C.theta_distinct(C.responses(t("documents"))), 10))
 
 
-@query(f"""WITH {DOCS}, w AS (SELECT source, lang, word, count(*) AS n FROM (SELECT source, lang, unnest(list_filter(t, lambda w: NOT list_contains({STOP}, w))) AS word FROM d) GROUP BY ALL),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY source, lang ORDER BY n DESC, word) AS INTEGER) AS rnk FROM w) SELECT source, lang, rnk, word FROM r WHERE rnk <= 30""")
+TOP_PHRASES = f"""p AS (SELECT source, lang, s AS phrase, count(*) AS freq FROM (SELECT source, lang, unnest({sents('text')}) AS s FROM documents) GROUP BY ALL),
+tp AS (SELECT source, lang, phrase FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY freq DESC, phrase) AS k FROM p) WHERE k <= 5)"""
+
+
+def top_phrases(t) -> DataFrame:
+    """The five commonest sentences of each group."""
+    return C.top(C.phrases(C.responses(t("documents")), "sentence"), 5, "freq", "phrase").select(*C.GROUP, "phrase")
+
+
+@query(f"""WITH {TOP_PHRASES}, c AS (SELECT source, lang, unnest({nonstop(grams(toks('phrase'), 2))}) AS concept FROM tp), w AS (SELECT source, lang, unnest(string_split(concept, ' ')) AS word FROM c),
+m AS (SELECT source, lang, word, CAST(count(*) AS DOUBLE) AS mass FROM w WHERE NOT list_contains({STOP}, word) GROUP BY ALL)
+SELECT * FROM (SELECT source, lang, CAST(row_number() OVER (PARTITION BY source, lang ORDER BY mass DESC, word) AS INTEGER) AS rnk, word, mass FROM m) WHERE rnk <= 30""")
 def unigram_prefix_summary(spark, t):
-    return groups(C.unigram_summary(C.responses(t("documents"))))
+    cells = C.incidence(top_phrases(t)).withColumn("value", F.col("occ").cast("double"))
+    return groups(C.unigram_summary(cells))
 
 
 @query(f"""WITH {DOCS}, g AS (SELECT source, unnest(list_concat({grams('t', 1)}, {grams('t', 2)}, {grams('t', 3)})) AS ngram FROM d)
@@ -157,14 +169,20 @@ def feature_position(spark, t):
     return groups(C.position_features(C.responses(t("documents"))))
 
 
-PROMPT_WORDS = "describe what was confusing or needed more detail the most interesting in todays class".split()
-_PROMPT = "[" + ", ".join(f"'{w}'" for w in PROMPT_WORDS) + "]"
 _SIM = [("=0", "= 0"), *((f"<={x}", f"<= {x}") for x in (1, 2, 3, 4, 10)), (">10", "> 10"), ("!=0", "<> 0"), *((f">{x}", f"> {x}") for x in (1, 2, 3, 4))]
+LANGS = ["de", "en", "es", "fr"]
+
+
+def prompts(t) -> DataFrame:
+    """A prompt's words: those of the benchmark items of its turn, modulo the number of prompts."""
+    names = F.array(*(F.lit(x) for x in LANGS))
+    rows = t("benchmark").select(F.get(names, (F.col("item_id") % 4).cast("int")).alias("prompt"), F.explode(T.tokens(F.col("text"))).alias("w"))
+    return rows.groupBy("prompt").agg(F.collect_set("w").alias("words"))
 
 
-@query(f"WITH {CONCEPTS}, a AS (SELECT source, lang, concept, floor(sum(n) / count(*)) AS ave FROM (SELECT source, lang, len(list_filter(t, lambda w: list_contains({_PROMPT}, w))) AS n, unnest(list_distinct(gs)) AS concept FROM g) GROUP BY ALL) " + features("a", [(f"prompt_sim{n}", f"ave {p}") for n, p in _SIM]))
+@query(f"WITH {CONCEPTS}, q AS (SELECT ['de', 'en', 'es', 'fr'][item_id % 4 + 1] AS lang, list(DISTINCT w) AS ws FROM (SELECT item_id, unnest({toks('text')}) AS w FROM benchmark) GROUP BY ALL), a AS (SELECT source, lang, concept, floor(sum(n) / count(*)) AS ave FROM (SELECT source, lang, len(list_filter(t, lambda w: list_contains(ws, w))) AS n, unnest(list_distinct(gs)) AS concept FROM g JOIN q USING (lang)) GROUP BY ALL) " + features("a", [(f"prompt_sim{n}", f"ave {p}") for n, p in _SIM]))
 def feature_prompt_sim(spark, t):
-    return groups(C.prompt_similarity_features(C.responses(t("documents")), PROMPT_WORDS))
+    return groups(C.prompt_similarity_features(C.responses(t("documents")), prompts(t)))
 
 
 @query(f"""WITH {TF}, f AS (SELECT source, lang, word, CAST(count(*) AS DOUBLE) AS f FROM (SELECT source, lang, unnest(list_filter(t, lambda w: NOT list_contains({STOP}, w))) AS word FROM d) GROUP BY ALL),
@@ -301,7 +319,8 @@ c AS (SELECT DISTINCT k.source, k.concept AS phrase, e.doc_id AS student FROM k
 
 
 def _chosen(t) -> DataFrame:
-    held = t("documents").select("source", F.col("doc_id").alias("student"), F.explode(F.array_distinct(T.drop_stop_ngrams(T.ngrams(T.tokens(F.col("text")), 2)))).alias("concept"))
+    held = t("documents").select("source", F.col("doc_id").alias("student"), "text")
+    held = T.gram_rows(held, ["source", "student"], distinct=True)
     top = C.top(held.groupBy("source", "concept").agg(F.count("*").alias("n")), 10, "n", by=["source"]).select("source", "concept")
     return held.join(top, ["source", "concept"]).select("source", F.col("concept").alias("phrase"), "student").distinct()
 
@@ -322,9 +341,10 @@ def summary_quality(spark, t):
 SELECT source, concept, 1 AS sign FROM h JOIN r USING (source, concept) WHERE (source, concept) NOT IN (SELECT (source, concept) FROM k)
 UNION ALL SELECT source, concept, -1 FROM h JOIN k USING (source, concept) WHERE (source, concept) NOT IN (SELECT (source, concept) FROM r)""")
 def label_diff(spark, t):
-    held = t("documents").select("source", F.explode(F.array_distinct(T.drop_stop_ngrams(T.ngrams(T.tokens(F.col("text")), 2)))).alias("concept"))
+    held = T.gram_rows(t("documents"), ["source"], distinct=True)
     chosen = C.top(held.groupBy("source", "concept").agg(F.count("*").alias("n")), 10, "n", by=["source"])
-    refs = t("benchmark").select(F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("source"), F.explode(T.drop_stop_ngrams(T.ngrams(T.tokens(F.col("text")), 2))).alias("concept"))
+    refs = t("benchmark").select(F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("source"), "text")
+    refs = T.gram_rows(refs, ["source"])
     return rouge.diff_labels(held, refs, chosen.select("source", "concept"), ["source"])
 
 
@@ -400,45 +420,84 @@ def _problems(t) -> DataFrame:
 
 @query()
 def ilp_summary(spark, t):
-    return groups(solver.summarize(_problems(t), C.GROUP, 30, nodes=50))
+    return groups(solver.summarize(_problems(t), C.GROUP, 30))
 
 
 @query()
 def ilp_student_cover(spark, t):
     resp = C.responses(t("documents"))
     students = resp.select(*C.GROUP, "student", F.explode(T.sentences(F.col("text"))).alias("phrase")).distinct()
-    return groups(solver.summarize(_problems(t), C.GROUP, 30, nodes=50, students=students))
+    return groups(solver.summarize(_problems(t), C.GROUP, 30, students=students))
+
+
+def _completed(t) -> DataFrame:
+    """Problems whose cells come from the completion of each group's matrix of usable phrases and concepts of several phrases."""
+    problems = _problems(t).where("cost <= 30")
+    shared = problems.where("theta >= 2")
+    listed = shared.select(*C.GROUP, "phrase").distinct().withColumn("pos", F.xxhash64("phrase"))
+    cells = matrix.completed_cells(shared.join(listed, [*C.GROUP, "phrase"]).select(*C.GROUP, "concept", "pos", "value"), C.GROUP, 1.0)
+    found = report.completed_incidence(listed, listed, cells, C.GROUP, 0.1, shared.select(*C.GROUP, "concept"))
+    about = problems.select(*C.GROUP, "phrase", "cost").distinct()
+    theta = problems.select(*C.GROUP, "concept", "theta").distinct()
+    return found.withColumn("value", F.least("value", F.lit(1.0))).join(about, [*C.GROUP, "phrase"]).join(theta, [*C.GROUP, "concept"])
 
 
 @query()
 def ilp_completed(spark, t):
-    """Cells shrunk by the concept's rarity stand for completed ones; the least are dropped."""
-    rare = F.col("value") / (1 + F.ln("theta"))
-    return groups(solver.summarize(_problems(t).withColumn("value", rare).where("value >= 0.1"), C.GROUP, 30, nodes=50))
+    return groups(solver.summarize(_completed(t), C.GROUP, 30))
+
+
+@query()
+def ilp_completed_by_mass(spark, t):
+    """A phrase costs half the sum of its completed cells instead of its words."""
+    found = kept(_completed(t).drop("cost"), "completed")
+    mass = C.concept_mass(found, C.GROUP).withColumnRenamed("length", "cost")
+    return groups(solver.summarize(found.join(mass, [*C.GROUP, "phrase"]), C.GROUP, 15))
+
+
+def _learned(t, mode: int) -> tuple[DataFrame, DataFrame]:
+    """Problems, and their concepts' learned weights, normalized within a group."""
+    problems, resp = _problems(t), C.responses(t("documents"))
+    theta = problems.select(*C.KEEP, "theta").distinct()
+    feats = C.merged_features(C.tf_features(theta), C.rank_features(theta), C.length_features(C.average_length(resp)), C.position_features(resp), C.word_frequency_features(theta, resp)).join(theta.select(*C.KEEP), C.KEEP, "left_semi")
+    weights = learn.perceptron(feats.groupBy("lecture", "concept", "feature").agg(F.max("value").alias("value")), reference_concepts(t), "lecture")
+    mine = feats.join(weights.withColumnRenamed("fold", "lecture"), ["lecture", "feature"]).groupBy(*C.KEEP).agg(F.sum(F.col("value") * F.col("w")).alias("theta"))
+    told = stats.normalized_weights(mine, C.GROUP).where(F.col("mode") == mode).select(*C.KEEP, F.col("w").alias("theta"))
+    return problems.drop("theta"), told
+
+
+def reference_concepts(t) -> DataFrame:
+    """References by lecture: src0 to src19, item_id modulo 20."""
+    refs = t("benchmark").select(F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("lecture"), "text")
+    return T.gram_rows(refs, ["lecture"], stop=None)
 
 
 @query()
 def ilp_learned(spark, t):
-    problems = _problems(t)
-    feats = C.tf_features(problems.select(*C.KEEP, "theta").distinct())
-    labels = t("benchmark").select(F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("lecture"), F.explode(T.ngrams(T.tokens(F.col("text")), 2)).alias("concept"))
-    weights = learn.perceptron(feats.groupBy("lecture", "concept", "feature").agg(F.max("value").alias("value")), labels, "lecture")
-    mine = feats.join(F.broadcast(weights.withColumnRenamed("fold", "lecture")), ["lecture", "feature"]).groupBy(*C.KEEP).agg(F.sum(F.col("value") * F.col("w")).alias("theta"))
-    return groups(solver.summarize(problems.drop("theta").join(mine, C.KEEP), C.GROUP, 30, nodes=50))
+    problems, theta = _learned(t, 1)
+    return groups(solver.summarize(problems.join(theta, C.KEEP), C.GROUP, 30))
 
 
 @query()
 def perceptron_cv(spark, t):
     feats = C.tf_features(C.theta_tf(C.responses(t("documents")))).groupBy("lecture", "concept", "feature").agg(F.max("value").alias("value"))
-    labels = t("benchmark").select(F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("lecture"), F.explode(T.ngrams(T.tokens(F.col("text")), 2)).alias("concept"))
-    return learn.perceptron(feats, labels, "lecture")
+    return learn.perceptron(feats, reference_concepts(t), "lecture")
+
+
+@query()
+def plain_perceptron(spark, t):
+    """Each source's concepts in the order of their names; a concept is good if the source's references have it."""
+    feats = C.tf_features(C.theta_tf(C.responses(t("documents")))).groupBy("lecture", "concept", "feature").agg(F.max("value").alias("value"))
+    vectors = feats.groupBy("lecture", "concept").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", "value")))).alias("vector"))
+    told = vectors.join(reference_concepts(t).distinct().withColumn("good", F.lit(True)), ["lecture", "concept"], "left").withColumn("good", F.coalesce("good", F.lit(False)))
+    return learn.plain_perceptron(told, "lecture", ["concept"]).withColumnRenamed("lecture", "source")
 
 
 @query()
 def greedy_oracle(spark, t):
-    refs = t("benchmark").select(F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("lecture"), F.explode(T.ngrams(T.tokens(F.col("text")), 2)).alias("concept"))
-    theta = refs.groupBy("lecture", "concept").agg(F.count("*").cast("double").alias("theta"))
-    return groups(solver.greedy_oracle(_problems(t).drop("theta").join(theta, ["lecture", "concept"]), C.GROUP, 30))
+    refs = t("benchmark").select(F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("source"), F.col("item_id").alias("ref_id"), "text")
+    units = t("documents").select("source", F.explode(T.sentences(F.col("text"))).alias("phrase")).distinct().withColumn("cost", T.word_count(F.col("phrase")))
+    return solver.greedy_oracle(units, refs, ["source"], 30)
 
 
 @query()
@@ -474,15 +533,16 @@ def stemmed_concepts(spark, t):
 
 @query()
 def lcs_ratio(spark, t):
-    """Reference words against the vocabulary of responses whose first three letters agree."""
-    left = stats.corpus_words(t("documents")).select(F.substring("word", 1, 3).alias("k"), F.col("word").alias("a"))
-    right = stats.corpus_words(t("benchmark")).select(F.substring("word", 1, 3).alias("k"), F.col("word").alias("b"))
-    return match.lcs_matches(left, right, "k")
+    """All pairs of a source's concept and one of its references', by their common subsequence."""
+    held = T.gram_rows(t("documents"), ["source"], distinct=True).select("source", F.col("concept").alias("a"))
+    refs = reference_concepts(t).select(F.col("lecture").alias("source"), F.col("concept").alias("b"))
+    return match.lcs_matches(held, refs, "source")
 
 
 @query()
 def longest_match(spark, t):
-    refs = t("benchmark").select(F.explode(T.ngrams(T.tokens(F.col("text")), 3)).alias("phrase")).union(t("benchmark").select(F.explode(T.ngrams(T.tokens(F.col("text")), 2))))
+    grams = F.flatten(F.array(*(T.gram_array(T.tokens(F.col("text")), n) for n in range(2, 6))))
+    refs = t("benchmark").select(F.explode(grams).alias("phrase")).where("phrase IS NOT NULL").distinct()
     return match.longest_matches(t("documents"), refs)
 
 
@@ -494,6 +554,3 @@ def graph_select(spark, t):
     a, b = n.select("g", F.col("node").alias("src")), n.select("g", F.col("node").alias("dst"))
     edges = a.join(b, "g").where("src <> dst").withColumn("weight", ((F.col("src") * 5 + F.col("dst") * 3) % 7 - 3).cast("double"))
     return graph.select_graphs(nodes, edges)
-
-
-__all__ = ["ORACLES", "QUERIES", "parse"]

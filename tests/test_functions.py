@@ -56,7 +56,7 @@ def test_text(spark):
     assert one(spark, T.normalize_reference(t), t="1) more examples [3]") == "more examples"
     assert one(spark, T.reference_weight(t), t="1) more examples [3]") == 3 and one(spark, T.reference_weight(t), t="none") == 1
     assert [one(spark, T.is_malformed(t), t=x) for x in ("the", "12", ", so", "the cat")] == [True, True, True, False]
-    assert one(spark, T.paragraphs(t), t="<p>a <b>b</b></p><pre>x</pre><P>no</P><p class='x'>c\n d</p>") == ["a b", "c d"]
+    assert one(spark, T.paragraphs(t), t="<p>a <b>b</b></p><pre>x</pre><P>yes</P><p class='x'>c\n d</p>") == ["a b", "yes", "c d"]
 
 
 def test_tokenize_longest():
@@ -79,7 +79,8 @@ def test_solver_against_brute_force(seed):
     for _ in range(n):
         i = rng.choice(m, rng.integers(1, 4), replace=False)
         cells.append((i, rng.choice([0.5, 1.0, 1.0, 1.2 if seed % 3 == 0 else 1.0], len(i))))
-    p = solver.Problem(rng.integers(1, 6, n).astype(float), cells, rng.integers(1, 9, m).astype(float), 9.0)
+    rows, concepts, values = np.cumsum([0, *(len(i) for i, _ in cells)]), np.concatenate([i for i, _ in cells]), np.concatenate([v for _, v in cells])
+    p = solver.Problem(rng.integers(1, 6, n).astype(float), rows, concepts, values, rng.integers(1, 9, m).astype(float), 9.0)
     ok = p.usable()
     best = max(p.value(s) for k in range(n + 1) for s in itertools.combinations(np.flatnonzero(ok), k) if p.cost[list(s)].sum() <= p.budget)
     chosen, value, bound = solver.solve(p)
