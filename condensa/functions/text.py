@@ -78,9 +78,9 @@ def gram_rows(rows: DataFrame, keep: list, text: str = "text", n: int = 2, disti
 
     Stop words are looked up on rows, in generated code, not in lambdas.
     """
-    toks = tokens(F.col(text))
-    grams = gram_array(toks, n)
-    out = rows.select(*keep, F.explode(F.array_distinct(grams) if distinct else grams).alias(name)).where(F.col(name).isNotNull())
+    grams = gram_array(tokens(F.col(text)), n)
+    once = rows.select(*keep, (F.array_distinct(grams) if distinct else grams).alias("grams__"))  # what is kept is computed once a text, not once a row
+    out = once.select(*(F.col(f"`{c}`") for c in once.columns[:-1]), F.explode("grams__").alias(name)).where(F.col(name).isNotNull())
     return out if stop is None else out.where(~stop_only(F.col(name), n, stop))
 
 

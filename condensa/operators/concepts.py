@@ -145,8 +145,9 @@ def length_rank_features(lengths: DataFrame, k: int = 10) -> DataFrame:
 def position_features(resp: DataFrame, n: int = 2, bins: int = 5) -> DataFrame:
     """Every bin in which a response's first occurrence of the concept falls, among all its n-grams."""
     toks = T.tokens(F.col("text"))
-    rows = resp.select(*GROUP, "student", (F.size(toks) - (n - 1)).alias("n"), F.posexplode(T.gram_array(toks, n)).alias("pos", "concept")).where("concept IS NOT NULL")
-    rows = rows.groupBy(*GROUP, "student", "concept").agg(F.min("pos").alias("pos"), F.first("n").alias("n"))
+    once = resp.select(*GROUP, "student", (F.size(toks) - (n - 1)).alias("n"), T.gram_array(toks, n).alias("grams"))
+    rows = once.select(*GROUP, "student", "n", F.posexplode("grams").alias("pos", "concept")).where("concept IS NOT NULL")
+    rows = rows.groupBy(*GROUP, "student", "concept").agg(F.min("pos").alias("pos"), F.max("n").alias("n"))
     rows = rows.where(~T.stop_only(F.col("concept"), n))
     at = bin_index(F.col("pos"), 0.0, F.col("n"), bins)
     return rows.select(*KEEP, F.concat(F.lit("position_"), at.cast("string")).alias("feature")).distinct().withColumn("value", F.lit(1.0))

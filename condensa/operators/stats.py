@@ -210,7 +210,8 @@ def derived_stop_words(frequencies: DataFrame, documents: int, share: float = 0.
 def keywords(docs: DataFrame, frequencies: DataFrame, documents: int, stop: DataFrame | None = None, default_idf: float = 1.5) -> DataFrame:
     """(doc_id, term, tfidf): a term's share of the text times ln((1 + documents) / (1 + df)); terms of no corpus have the default, stop words 0."""
     toks = T.tagged_tokens(F.col("text"))
-    rows = docs.select("doc_id", F.size(toks).alias("all"), F.explode(toks).alias("term")).groupBy("doc_id", "term").agg((F.count("*") / F.first("all")).alias("tf"))
+    once = docs.select("doc_id", toks.alias("toks")).select("doc_id", F.size("toks").alias("all"), "toks")
+    rows = once.select("doc_id", "all", F.explode("toks").alias("term")).groupBy("doc_id", "term").agg((F.count("*") / F.max("all")).alias("tf"))
     told = rows.join(frequencies, "term", "left")
     idf = F.coalesce(F.ln((1.0 + documents) / (1.0 + F.col("df"))), F.lit(default_idf))
     if stop is not None:
