@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from condensa.llm.scratch import Scratch
 
-#: Times that a document may be taken.
-MOST_COPIES = 3
+#: Times that a document may be taken; patterns up to which their table is broadcast.
+MOST_COPIES, FEW_PATTERNS = 3, 100_000
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -213,7 +213,8 @@ def mix(docs: DataFrame, text: str = "text", sources: Column | None = None, seed
             words[j] += w
     got = [(s, size[s], target[s], words[j]) for j, s in enumerate(names)]
 
-    want = sized.join(plan, "pattern")
+    by_pattern = F.broadcast if len(sums) <= FEW_PATTERNS else lambda df: df  # a row a pattern
+    want = sized.join(by_pattern(plan), "pattern")
     one, two = F.substring("key", 1, 3), F.substring("key", 4, 3)
     open_ = want.where("more > 0")
     first = _cut(open_.groupBy("pattern", "more", one.alias("one")).agg(F.sum("size").alias("words")), "one", F.lit(0))
@@ -221,7 +222,7 @@ def mix(docs: DataFrame, text: str = "text", sources: Column | None = None, seed
     second = _cut(inner, "two", F.col("before"), "one")
     cut = scratch.keep(second, "cut").withColumnRenamed("before", "ahead")  # a row for a pattern at most
     place = F.concat(one, two)
-    told = want.join(cut.select("pattern", "ahead", F.concat("one", "two").alias("at")), "pattern", "left").withColumn("place", place)
+    told = want.join(by_pattern(cut.select("pattern", "ahead", F.concat("one", "two").alias("at"))), "pattern", "left").withColumn("place", place)
     edge = told.where("place = at").withColumn(
         "run", F.col("ahead") + F.sum("size").over(Window.partitionBy("pattern").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0))
     )
