@@ -26,7 +26,7 @@ from condensa.llm.scratch import Scratch
 
 U64 = np.uint64
 #: Classes and n-grams that a block of a cluster holds, in expectation.
-BLOCK_CLASSES, BLOCK_NGRAMS = 2048, 1 << 21
+BLOCK_CLASSES, BLOCK_NGRAMS = 512, 1 << 20
 
 
 def choose_bands(threshold: float, recall: float, most: int = 128) -> tuple[int, int]:
