@@ -16,7 +16,7 @@ from condensa.functions.ship import ship
 from condensa.functions.stem import stem_table
 from condensa.functions.vectors import cluster_count
 from condensa.operators import concepts as C
-from condensa.operators import graph, learn, match, matrix, report, rouge, solver, stats
+from condensa.operators import graph, learn, lowrank, match, matrix, report, rouge, solver, stats
 from condensa.sources.place import kept
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -431,15 +431,14 @@ def ilp_student_cover(spark, t):
 
 
 def _completed(t) -> DataFrame:
-    """Problems whose cells come from the completion of each group's matrix of usable phrases and concepts of several phrases."""
-    problems = _problems(t).where("cost <= 30")
-    shared = problems.where("theta >= 2")
-    listed = shared.select(*C.GROUP, "phrase").distinct().withColumn("pos", F.xxhash64("phrase"))
-    cells = matrix.completed_cells(shared.join(listed, [*C.GROUP, "phrase"]).select(*C.GROUP, "concept", "pos", "value"), C.GROUP, 1.0)
-    found = report.completed_incidence(listed, listed, cells, C.GROUP, 0.1, shared.select(*C.GROUP, "concept"))
+    """Problems whose cells come from the completion of each group's matrix of usable phrases and concepts."""
+    problems = kept(_problems(t).where("cost <= 30"), "problems")
+    listed = problems.select(*C.GROUP, "phrase").distinct().withColumn("pos", F.xxhash64("phrase"))
+    cells = matrix.completed_cells(problems.join(listed, [*C.GROUP, "phrase"]).select(*C.GROUP, "concept", "pos", "value"), C.GROUP, 1.0, least=0.1)
+    found = report.completed_incidence(listed, listed, cells, C.GROUP, 0.1)
     about = problems.select(*C.GROUP, "phrase", "cost").distinct()
     theta = problems.select(*C.GROUP, "concept", "theta").distinct()
-    return found.withColumn("value", F.least("value", F.lit(1.0))).join(about, [*C.GROUP, "phrase"]).join(theta, [*C.GROUP, "concept"])
+    return kept(found.withColumn("value", F.least("value", F.lit(1.0))).join(about, [*C.GROUP, "phrase"]).join(theta, [*C.GROUP, "concept"]), "completed")
 
 
 @query()
@@ -449,10 +448,13 @@ def ilp_completed(spark, t):
 
 @query()
 def ilp_completed_by_mass(spark, t):
-    """A phrase costs half the sum of its completed cells instead of its words."""
-    found = kept(_completed(t).drop("cost"), "completed")
+    """A phrase costs half the sum of its completed cells instead of its words.
+
+    Costs in proportion to what phrases are worth make a knapsack of near ties, so the search ends at 2,000 nodes; the bound tells.
+    """
+    found = _completed(t).drop("cost")
     mass = C.concept_mass(found, C.GROUP).withColumnRenamed("length", "cost")
-    return groups(solver.summarize(found.join(mass, [*C.GROUP, "phrase"]), C.GROUP, 15))
+    return groups(solver.summarize(found.join(mass, [*C.GROUP, "phrase"]), C.GROUP, 15, nodes=2000))
 
 
 def _learned(t, mode: int) -> tuple[DataFrame, DataFrame]:
@@ -516,6 +518,23 @@ def lsa_factors(spark, t):
     return matrix.lsa(t("embeddings"), "vec_id", "embedding", 20)[0]
 
 
+def _document_cells(t) -> DataFrame:
+    """How often each document has each concept."""
+    return T.gram_rows(t("documents"), ["doc_id"]).groupBy("doc_id", "concept").agg(F.count("*").cast("double").alias("n"))
+
+
+@query()
+def lsa_concepts(spark, t):
+    """Documents in the space of the ten greatest directions of the whole document x concept matrix."""
+    return lowrank.truncated_svd(_document_cells(t), "doc_id", "concept", "n", 10)[0]
+
+
+@query()
+def soft_impute_concepts(spark, t):
+    """Concepts in the space of the completed document x concept matrix, by penalized directions."""
+    return lowrank.soft_impute(_document_cells(t), "doc_id", "concept", "n", 2.0, rank=8, most=3)[2]
+
+
 @query()
 def soft_impute(spark, t):
     """Cells of small size count as unknown."""

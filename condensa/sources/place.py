@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+_MADE: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,12 +21,15 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="condensa-files-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
     return "file://" + _LOCAL[0]
 
 
 def fresh(spark: SparkSession, name: str) -> str:
-    """A path that nothing has been written to."""
-    return f"{shared_dir(spark)}/condensa-files/{name}-{uuid.uuid4().hex}"
+    """A path that nothing has been written to; what is written there goes when the session's program ends."""
+    path = f"{shared_dir(spark)}/condensa-files/{name}-{uuid.uuid4().hex}"
+    _MADE[path] = spark
+    return path
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
@@ -31,3 +37,13 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = fresh(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _clean() -> None:
+    for path, spark in _MADE.items():
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001 - the session may be gone at exit
+            return
