@@ -7,8 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from condensa.functions import text as T
-from condensa.functions.stem import stem
+from condensa.operators import automaton
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -59,38 +58,17 @@ def lcs_matches(left: DataFrame, right: DataFrame, by: str, threshold: float = 0
     return pairs.withColumn("ratio", lcs_ratio("a", "b")).where(F.col("ratio") >= threshold)
 
 
-def all_matches(texts: DataFrame, phrases: DataFrame, longest: int = 5) -> DataFrame:
+def all_matches(texts: DataFrame, phrases: DataFrame, longest: int = 5, stems: bool = False) -> DataFrame:
     """(doc_id, pos, n, phrase): every dictionary phrase of up to `longest` words at each place."""
-    toks = T.tokens(F.col("text"))
+    return automaton.matches(texts, phrases, longest, stems)
 
-    def spans_of(n: int) -> Column:
-        return F.transform(T.ngrams(toks, n), lambda g, i: F.struct(i.alias("pos"), F.lit(n).alias("n"), g.alias("phrase")))
 
-    spans = F.flatten(F.array(*(spans_of(n) for n in range(1, longest + 1))))
-    return texts.select("doc_id", F.explode(spans).alias("s")).select("doc_id", "s.*").join(phrases.select(F.lower("phrase").alias("phrase")).distinct(), "phrase", "left_semi")
-
-
-def longest_matches(texts: DataFrame, phrases: DataFrame, longest: int = 5) -> DataFrame:
-    """Greedy scan: at each place the longest phrase, then on behind it.
-
-    The matches at a place come from a join, so the dictionary's size is no
-    limit; the scan folds over a document's matches alone.
-    """
-    best = all_matches(texts, phrases, longest).groupBy("doc_id", "pos").agg(F.max_by("phrase", "n").alias("phrase"), F.max("n").alias("n"))
-    row = best.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "phrase"))).alias("m"))
-    start = F.struct(F.lit(0).alias("free"), F.array().cast("array<struct<pos:int,n:int,phrase:string>>").alias("out"))
-    step = lambda s, x: F.when(x["pos"] >= s["free"], F.struct((x["pos"] + x["n"]).alias("free"), F.array_append(s["out"], x).alias("out"))).otherwise(s)
-    return row.select("doc_id", F.explode(F.aggregate("m", start, step)["out"]).alias("s")).select("doc_id", "s.pos", "s.phrase")
+def longest_matches(texts: DataFrame, phrases: DataFrame, longest: int = 5, stems: bool = False) -> DataFrame:
+    """(doc_id, pos, phrase) of a greedy scan: at each place the longest phrase, then on behind it."""
+    return automaton.matches(texts, phrases, longest, stems, greedy=True).select("doc_id", "pos", "phrase")
 
 
 def tokenize_longest(words: list[str], phrases: list[str], longest: int = 5, stemming: bool = True) -> list[str]:
     """The same scan over one list of words, by stems unless told otherwise."""
-    norm = (lambda w: stem(w.lower())) if stemming else str.lower
-    known = {tuple(norm(w) for w in p.split()) for p in phrases}
-    out, i = [], 0
-    while i < len(words):
-        n = next((n for n in range(min(longest, len(words) - i), 0, -1) if tuple(norm(w) for w in words[i : i + n]) in known), 0)
-        if n:
-            out.append(" ".join(words[i : i + n]))
-        i += n or 1
-    return out
+    known = automaton.Automaton((p for p in (automaton.normal(x, stemming) for x in phrases) if 0 < len(p) <= longest), stemming)
+    return [" ".join(words[at : at + n]) for at, n in automaton.longest(known.matches([w.lower() for w in words]))]

@@ -16,7 +16,7 @@ from condensa.functions.ship import ship
 from condensa.functions.stem import stem_table
 from condensa.functions.vectors import cluster_count
 from condensa.operators import concepts as C
-from condensa.operators import graph, learn, lowrank, match, matrix, report, rouge, solver, stats
+from condensa.operators import automaton, graph, learn, lowrank, match, matrix, parse, report, rouge, solver, stats
 from condensa.sources.place import kept
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -558,11 +558,51 @@ def lcs_ratio(spark, t):
     return match.lcs_matches(held, refs, "source")
 
 
-@query()
-def longest_match(spark, t):
+def benchmark_phrases(t) -> DataFrame:
+    """A dictionary: the runs of two to five words of the benchmark's items."""
     grams = F.flatten(F.array(*(T.gram_array(T.tokens(F.col("text")), n) for n in range(2, 6))))
-    refs = t("benchmark").select(F.explode(grams).alias("phrase")).where("phrase IS NOT NULL").distinct()
-    return match.longest_matches(t("documents"), refs)
+    return t("benchmark").select(F.explode(grams).alias("phrase")).where("phrase IS NOT NULL").distinct()
+
+
+_MATCHES = f"""{DOCS},
+p AS (SELECT DISTINCT unnest(list_concat({", ".join(grams(toks("text"), n) for n in (2, 3))}, {", ".join(grams(toks("text"), n) for n in (4, 5))})) AS phrase FROM benchmark),
+x AS ({" UNION ALL ".join(f"SELECT doc_id, {n} AS n, unnest({grams('t', n)}) AS phrase, unnest(range(len({grams('t', n)}))) AS pos FROM d" for n in (2, 3, 4, 5))}),
+m AS (SELECT doc_id, pos, n, phrase FROM x WHERE phrase IN (SELECT phrase FROM p))"""
+
+
+@query(f"""WITH RECURSIVE {_MATCHES},
+b AS (SELECT doc_id, pos, max(n) AS n, arg_max(phrase, n) AS phrase FROM m GROUP BY doc_id, pos),
+e AS (SELECT a.doc_id, a.pos, a.phrase, c.pos AS onward FROM b a ASOF LEFT JOIN b c ON a.doc_id = c.doc_id AND a.pos + a.n <= c.pos),
+s AS (SELECT doc_id, min(pos) AS pos FROM b GROUP BY doc_id UNION ALL SELECT e.doc_id, e.onward FROM s JOIN e ON e.doc_id = s.doc_id AND e.pos = s.pos WHERE e.onward IS NOT NULL)
+SELECT e.doc_id, e.pos, e.phrase FROM s JOIN e USING (doc_id, pos)""")
+def longest_match(spark, t):
+    return match.longest_matches(t("documents"), benchmark_phrases(t))
+
+
+@query(f"WITH {_MATCHES} SELECT doc_id, pos, n, phrase FROM m")
+def every_match(spark, t):
+    return match.all_matches(t("documents"), benchmark_phrases(t))
+
+
+@query()
+def longest_match_stemmed(spark, t):
+    return match.longest_matches(t("documents"), benchmark_phrases(t), stems=True)
+
+
+@query()
+def dictionary_candidates(spark, t):
+    """Candidate phrases in the four ways of looking them up."""
+    known = benchmark_phrases(t)
+    modes = ("ngram", "ngram_stemmed", "longest", "longest_stemmed")
+    out = [parse.dictionary_candidates(t("documents"), known, m).groupBy("doc_id", "phrase").agg(F.count("*").alias("n")).withColumn("mode", F.lit(m)) for m in modes]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+@query()
+def stemmed_members(spark, t):
+    """Two-word concepts of the documents that are the benchmark's by their stems."""
+    held = T.gram_rows(t("documents"), ["source"], distinct=True, name="phrase")
+    return automaton.members(held, benchmark_phrases(t)).select("source", "phrase")
 
 
 @query()
