@@ -565,9 +565,12 @@ def benchmark_phrases(t) -> DataFrame:
 
 
 _MATCHES = f"""{DOCS},
-p AS (SELECT DISTINCT unnest(list_concat({", ".join(grams(toks("text"), n) for n in (2, 3))}, {", ".join(grams(toks("text"), n) for n in (4, 5))})) AS phrase FROM benchmark),
-x AS ({" UNION ALL ".join(f"SELECT doc_id, {n} AS n, unnest({grams('t', n)}) AS phrase, unnest(range(len({grams('t', n)}))) AS pos FROM d" for n in (2, 3, 4, 5))}),
-m AS (SELECT doc_id, pos, n, phrase FROM x WHERE phrase IN (SELECT phrase FROM p))"""
+w AS (SELECT doc_id, unnest(t) AS w, unnest(range(len(t))) AS pos FROM d UNION ALL SELECT -1 - item_id, unnest({toks("text")}), unnest(range(len({toks("text")}))) FROM benchmark),
+y AS (SELECT *, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2, lead(w, 3) OVER o AS w3, lead(w, 4) OVER o AS w4 FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+x AS (SELECT doc_id, pos, 2 AS n, w || ' ' || w1 AS phrase FROM y UNION ALL SELECT doc_id, pos, 3, w || ' ' || w1 || ' ' || w2 FROM y
+  UNION ALL SELECT doc_id, pos, 4, w || ' ' || w1 || ' ' || w2 || ' ' || w3 FROM y UNION ALL SELECT doc_id, pos, 5, w || ' ' || w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM y),
+p AS (SELECT DISTINCT phrase FROM x WHERE doc_id < 0 AND phrase IS NOT NULL),
+m AS (SELECT doc_id, pos, n, phrase FROM x SEMI JOIN p USING (phrase) WHERE doc_id >= 0)"""
 
 
 @query(f"""WITH RECURSIVE {_MATCHES},
