@@ -69,7 +69,11 @@ def feature_constant(spark, t):
     return groups(C.constant_features(theta).unionByName(C.constant_features(theta, raw=True)))
 
 
-@query(f"WITH {TF}, r AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY theta DESC, concept) AS k FROM theta), w AS (SELECT *, {_W} AS w FROM theta) " + features("r", [("tf_rank<5", "k <= 5"), ("tf_rank<10", "k <= 10")]) + " UNION ALL " + features("w", [("ngram=2", "len(w) = 2")]))
+@query(f"""WITH {DOCS},
+y AS (SELECT source, lang, doc_id, unnest(t) AS a, unnest(t[2:]) AS b FROM d),
+theta AS (SELECT source, lang, a || ' ' || b AS concept, count(*) AS theta FROM y WHERE b IS NOT NULL AND NOT (list_contains({STOP}, a) AND list_contains({STOP}, b)) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY theta DESC, concept) AS k FROM theta)
+SELECT source, lang, concept, 'ngram=2' AS feature, 1.0::DOUBLE AS value FROM r UNION ALL SELECT source, lang, concept, 'tf_rank<5', 1.0 FROM r WHERE k <= 5 UNION ALL SELECT source, lang, concept, 'tf_rank<10', 1.0 FROM r WHERE k <= 10""")
 def feature_selected(spark, t):
     """Two of three kinds of features are asked for."""
     theta = C.theta_tf(resp(t))
