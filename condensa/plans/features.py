@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from condensa.functions import text as T
 from condensa.functions.stem import stem_table
 from condensa.operators import concepts as C
+from condensa.operators import punkt
 from condensa.operators import match, parse, solver, stats
 from condensa.plans.catalogue import AVE, CONCEPTS, DISTINCT, DOCS, PUNCT, STOP, TF, features, grams, groups, nonstop, query, sents, toks, words
 
@@ -326,3 +327,29 @@ def remaining_concepts(spark, t):
 
     theta = C.theta_distinct(resp(t)).withColumnRenamed("concept", "phrase")
     return groups(report.remaining(theta, refs(t).withColumnRenamed("concept", "phrase"), ["lecture"]).withColumnRenamed("phrase", "concept"))
+
+
+# ---- sentence boundaries -------------------------------------------------
+_TYPES = """w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(l, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '')) AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents)),
+b AS (SELECT regexp_replace(regexp_replace(regexp_replace(w, '^[\\p{Ps}\\p{Pi}\\p{Pf}"''`]+', ''), '[\\p{Pe}\\p{Pf}\\p{Pi}"''`]+$', ''), '[,;:]+$', '') AS body FROM w),
+k AS (SELECT regexp_matches(body, '[^.]\\.$') AS dot, lower(CASE WHEN regexp_matches(body, '[^.]\\.$') THEN body[:-2] ELSE body END) AS s FROM b),
+c AS (SELECT dot, CASE WHEN regexp_matches(s, '^-?[.,]?[0-9][0-9,.-]*$') THEN '##number##' ELSE s END AS type FROM k),
+types AS (SELECT type, count(*) FILTER (dot) AS dotted, count(*) FILTER (NOT dot) AS plain FROM c WHERE type <> '' GROUP BY type)"""
+
+
+@query(f"WITH {_TYPES} SELECT type, dotted, plain FROM types")
+def punkt_types(spark, t):
+    return punkt.type_counts(punkt.tokens(t("documents"))[1])
+
+
+@query(f"""WITH {_TYPES}, n AS (SELECT sum(dotted) / sum(dotted + plain) AS p FROM types), i AS (SELECT *, length(type) - length(replace(type, '.', '')) AS dots, length(replace(type, '.', '')) AS size FROM types, n),
+x AS (SELECT type, -2 * (dotted * ln(p) + plain * ln(1 - p) - dotted * ln(0.99) - plain * ln(0.01)) * exp(-size) * (dots + 1) * pow(size, -plain) AS score FROM i WHERE dotted > 0 AND type <> '##number##' AND regexp_matches(type, '\\p{{L}}'))
+SELECT type, score FROM x WHERE score >= 0.3""")
+def punkt_abbreviations(spark, t):
+    return punkt.abbreviations(punkt.type_counts(punkt.tokens(t("documents"))[1]))
+
+
+@query()
+def punkt_sentences(spark, t):
+    """The sentences of all documents by boundaries learned from them."""
+    return punkt.sentences(t("documents"))
