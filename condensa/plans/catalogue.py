@@ -457,13 +457,27 @@ def ilp_completed_by_mass(spark, t):
     return groups(solver.summarize(found.join(mass, [*C.GROUP, "phrase"]), C.GROUP, 15, nodes=2000))
 
 
+ROUNDS = 3
+
+
+def _parts(t) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Problems, features of their concepts, and each lecture's part of the learned weights by round."""
+    problems, resp = kept(_problems(t), "problems"), C.responses(t("documents"))
+    theta = kept(problems.select(*C.KEEP, "theta").distinct(), "theta")
+    feats = C.merged_features(C.tf_features(theta), C.rank_features(theta), C.length_features(C.average_length(resp)), C.position_features(resp), C.word_frequency_features(theta, resp))
+    feats = kept(feats.join(theta.select(*C.KEEP), C.KEEP, "left_semi"), "features")
+    by_lecture = feats.groupBy("lecture", "concept", "feature").agg(F.max("value").alias("value"))
+    return problems, feats, learn.mixed_perceptron(by_lecture, reference_concepts(t), problems, "lecture", ROUNDS)
+
+
 def _learned(t, mode: int) -> tuple[DataFrame, DataFrame]:
     """Problems, and their concepts' learned weights, normalized within a group."""
-    problems, resp = _problems(t), C.responses(t("documents"))
-    theta = problems.select(*C.KEEP, "theta").distinct()
-    feats = C.merged_features(C.tf_features(theta), C.rank_features(theta), C.length_features(C.average_length(resp)), C.position_features(resp), C.word_frequency_features(theta, resp)).join(theta.select(*C.KEEP), C.KEEP, "left_semi")
-    weights = learn.perceptron(feats.groupBy("lecture", "concept", "feature").agg(F.max("value").alias("value")), reference_concepts(t), "lecture")
-    mine = feats.join(weights.withColumnRenamed("fold", "lecture"), ["lecture", "feature"]).groupBy(*C.KEEP).agg(F.sum(F.col("value") * F.col("w")).alias("theta"))
+    problems, feats, parts = _parts(t)
+    # a fold's score is that of the total less that of its own part
+    mean = kept(parts.groupBy("lecture", "feature").agg((F.sum("own") / ROUNDS).alias("own")), "mean")
+    total = mean.groupBy("feature").agg(F.sum("own").alias("w"))
+    rows = feats.join(total, "feature").join(mean, ["lecture", "feature"], "left")
+    mine = rows.groupBy(*C.KEEP).agg(F.sum(F.col("value") * (F.col("w") - F.coalesce("own", F.lit(0.0)))).alias("theta"))
     told = stats.normalized_weights(mine, C.GROUP).where(F.col("mode") == mode).select(*C.KEEP, F.col("w").alias("theta"))
     return problems.drop("theta"), told
 
@@ -480,6 +494,12 @@ def ilp_learned(spark, t):
     return groups(solver.summarize(problems.join(theta, C.KEEP), C.GROUP, 30))
 
 
+@query()
+def perceptron_mixed(spark, t):
+    """Weights of each source's fold, learned with the coverage program as decoder."""
+    return learn.fold_weights(_parts(t)[2], "lecture", ROUNDS)
+
+
 @query()
 def perceptron_cv(spark, t):
     feats = C.tf_features(C.theta_tf(C.responses(t("documents")))).groupBy("lecture", "concept", "feature").agg(F.max("value").alias("value"))
