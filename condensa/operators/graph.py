@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from condensa.operators import rooted
+
 
 def arborescence(nodes: frozenset[int], edges: dict[tuple[int, int], float], roots: set[int]) -> tuple[float, list[tuple[int, int]]] | None:
     """The heaviest set of edges that reaches all nodes from one root, one edge into each other node; None if none does."""
@@ -75,45 +78,18 @@ def _grown(node_weight: dict[int, float], edges: dict[tuple[int, int], float], r
 
 
 def select_subgraph(node_weight: dict[int, float], edges: dict[tuple[int, int], float], roots: set[int], size: int | None = None) -> tuple[float, list[int], list[tuple[int, int]]]:
-    """(weight, nodes, edges): the heaviest choice, by branch and bound over nodes; nothing at 0 is a choice unless a size is asked for.
-
-    A node counts at most its weight and its heaviest edge from a node that isn't
-    ruled out; the bound sums these over the chosen nodes and, where they are
-    positive or the size asks for them, the open ones.
-    """
-    best: tuple[float, list[int], list[tuple[int, int]]] = (0.0, [], []) if not size else (float("-inf"), [], [])
-    if (grown := _grown(node_weight, edges, roots, size)) and grown[0] > best[0]:
-        tree = arborescence(frozenset(grown[1]), edges, roots)
-        best = (tree[0] + sum(node_weight[x] for x in grown[1]), grown[1], tree[1]) if tree else grown
-    into: dict[int, list[tuple[float, int]]] = {x: [] for x in node_weight}
+    """(weight, nodes, edges): the heaviest choice; nothing at 0 is a choice unless a size is asked for."""
+    names = sorted(node_weight)
+    at = {x: i for i, x in enumerate(names)}
+    edge = np.full((len(names), len(names)), -np.inf)
     for (a, b), w in edges.items():
-        if a in node_weight and b in node_weight and a != b:
-            into[b].append((w, a))
-    for x in into:
-        into[x].sort(reverse=True)
-    order = sorted(node_weight, key=lambda x: (-(node_weight[x] + (into[x][0][0] if into[x] else 0.0)), x))
-    stack: list[tuple[int, frozenset, frozenset]] = [(0, frozenset(), frozenset())]
-    while stack:
-        at, inside, out = stack.pop()
-        if size and (len(inside) > size or len(inside) + len(order) - at < size):
-            continue
-
-        def most(x: int, out=out) -> float:
-            found = next((w for w, a in into[x] if a not in out), float("-inf"))
-            return node_weight[x] + (max(found, 0.0) if x in roots else found)
-
-        rest = sorted((most(x) for x in order[at:]), reverse=True)
-        bound = sum(most(x) for x in inside) + (sum(rest[: size - len(inside)]) if size else sum(v for v in rest if v > 0))
-        if bound <= best[0] + 1e-12:
-            continue
-        if at == len(order):
-            tree = arborescence(inside, edges, roots) if inside else None
-            if tree and (w := tree[0] + sum(node_weight[x] for x in inside)) > best[0] + 1e-12:
-                best = w, sorted(inside), tree[1]
-            continue
-        x = order[at]
-        stack += [(at + 1, inside, out | {x}), (at + 1, inside | {x}, out)]
-    return best
+        if a in at and b in at and a != b:
+            edge[at[a], at[b]] = w
+    search = rooted.Search(np.array([node_weight[x] for x in names], float), edge, np.array([x in roots for x in names], bool), size)
+    grown = _grown(node_weight, edges, roots, size)
+    start = (grown[0], [at[x] for x in grown[1]], [(at[a], at[b]) for a, b in grown[2]]) if grown else None
+    weight, picked, used = search.run(start) if names else ((0.0, [], []) if not size else (float("-inf"), [], []))
+    return weight, [names[i] for i in picked], [(names[a], names[b]) for a, b in used]
 
 
 def select_graphs(nodes: DataFrame, edges: DataFrame, size: int | None = None) -> DataFrame:
