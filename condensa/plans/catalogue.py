@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from condensa.functions import text as T
@@ -628,11 +628,70 @@ def stemmed_members(spark, t):
     return automaton.members(held, benchmark_phrases(t)).select("source", "phrase")
 
 
+def text_graphs(t) -> tuple[DataFrame, DataFrame]:
+    """Nodes(g, id, concept, sources) and edges(g, src, dst, sources) of the benchmark's items: a node a word, an edge from a word to the next one in its line.
+
+    The edge has a relation unless one of the words is a stop word.
+    """
+    at = t("benchmark").select(F.col("item_id").alias("g"), F.posexplode(F.split("text", "\n")).alias("line", "body")).select("g", "line", F.posexplode(T.tokens(F.col("body"))).alias("pos", "concept"))
+    place = Window.partitionBy("g").orderBy("concept")
+    words = kept(at.withColumn("id", F.dense_rank().over(place) - 1), "words")
+    nodes = words.groupBy("g", "id", "concept").agg(F.collect_list(F.struct(F.col("line").alias("line_num"), F.col("pos").alias("start_idx"), (F.col("pos") + 1).alias("end_idx"))).alias("sources"))
+    along = Window.partitionBy("g", "line").orderBy("pos")
+    pairs = words.select("g", "line", F.col("id").alias("src"), F.lead("id").over(along).alias("dst"), "concept", F.lead("concept").over(along).alias("then")).where("dst IS NOT NULL AND src <> dst")
+    relation = F.when(~T.is_stop(F.col("concept")) & ~T.is_stop(F.col("then")), F.lit("next"))
+    edges = pairs.groupBy("g", "src", "dst").agg(F.collect_list(F.struct(relation.alias("relation"), F.col("line").alias("line_num"))).alias("sources"))
+    return nodes, edges
+
+
+_GRAPHS = f"""l AS (SELECT item_id AS g, unnest(string_split(text, chr(10))) AS body, unnest(range(len(string_split(text, chr(10))))) AS line FROM benchmark),
+k AS (SELECT g, line, unnest({toks("body")}) AS concept, unnest(range(len({toks("body")}))) AS pos FROM l),
+w AS (SELECT *, dense_rank() OVER (PARTITION BY g ORDER BY concept) - 1 AS id FROM k),
+e AS (SELECT g, line, id AS src, lead(id) OVER o AS dst, concept, lead(concept) OVER o AS after FROM w WINDOW o AS (PARTITION BY g, line ORDER BY pos)),
+edges AS (SELECT g, src, dst, count(*) AS freq, count(*) FILTER (NOT list_contains({STOP}, concept) AND NOT list_contains({STOP}, after)) AS named, min(line) AS first FROM e WHERE dst IS NOT NULL AND src <> dst GROUP BY ALL),
+nodes AS (SELECT g, id, concept, count(*) AS freq, min(line) AS first FROM w GROUP BY ALL)"""
+
+
+def _above(name: str, value: str, limits: list[int], sign: str = ">") -> list[str]:
+    return [f"CASE WHEN {value} {sign} {k} THEN '{name}/{k}' END" for k in limits]
+
+
+@query(f"""WITH {_GRAPHS} SELECT g, src, dst, unnest(list_filter([{", ".join(["'bias'", "CASE WHEN named = 0 THEN 'null' END", *_above("freq", "freq", [0, 1, 2, 5, 10]), *_above("nonnull_freq", "named", [0, 1, 2, 5, 10]), *_above("position", "first", [5, 6, 7, 10, 15], "<="), "CASE WHEN named > 0 THEN 'relation/next' END"])}], lambda f: f IS NOT NULL)) AS feature FROM edges""")
+def graph_edge_features(spark, t):
+    return graph.edge_features(text_graphs(t)[1])
+
+
+@query(f"""WITH {_GRAPHS} SELECT g, id, 'seen/' || unnest(list_filter([{", ".join(["'bias'", *_above("freq", "freq", [0, 1, 2, 5, 10]), *_above("position", "first", [5, 6, 7, 10, 15], "<="), "'concept/' || concept"])}], lambda f: f IS NOT NULL)) AS feature FROM nodes""")
+def graph_tagged_features(spark, t):
+    """Node features under a tag."""
+    return graph.with_tag(graph.node_features(text_graphs(t)[0]), "seen")
+
+
+@query(f"""WITH {_GRAPHS}, f AS (SELECT g, id, unnest(list_filter([{", ".join(_above("freq", "freq", [1, 2]))}, 'concept/' || concept], lambda f: f IS NOT NULL)) AS feature FROM nodes)
+SELECT e.g, e.src, e.dst, a.feature || '&' || b.feature AS feature FROM edges e JOIN f a ON a.g = e.g AND a.id = e.src JOIN f b ON b.g = e.g AND b.id = e.dst""")
+def graph_conjoined_features(spark, t):
+    """Edges with the pairs of what their ends are and how often they occur."""
+    nodes, edges = text_graphs(t)
+    asked = graph.node_features(nodes).where("feature IN ('freq/1', 'freq/2') OR feature LIKE 'concept/%'")
+    return graph.conjoined_features(edges, asked)
+
+
+def weighted_graphs(t) -> tuple[DataFrame, DataFrame]:
+    """The benchmark's graphs: a word weighs the more the fewer documents have it, an edge costs less where words meet again; words that begin a line can be roots."""
+    nodes, edges = text_graphs(t)
+    held = t("documents").select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("concept")).groupBy("concept").agg(F.count("*").alias("df"))
+    rare = F.log((1.0 + t("documents").count()) / (1.0 + F.coalesce("df", F.lit(0))))
+    weighed = nodes.join(held, "concept", "left").select("g", F.col("id").alias("node"), F.round(rare - 4, 6).alias("weight"), F.exists("sources", lambda s: s["start_idx"] == 0).alias("root"))
+    return weighed, edges.select("g", "src", "dst", F.round(F.size("sources") * 0.25 - 1.0, 6).alias("weight"))
+
+
 @query()
 def graph_select(spark, t):
-    """Ten nodes for each region and nation mix: weights from the tables' keys."""
-    n = t("nation").select(F.col("n_regionkey").alias("g"), F.col("n_nationkey").alias("node"), ((F.col("n_nationkey") * 7 % 11 - 4) / 2).cast("double").alias("weight"))
-    nodes = n.withColumn("root", F.col("node") % 2 == 0)
-    a, b = n.select("g", F.col("node").alias("src")), n.select("g", F.col("node").alias("dst"))
-    edges = a.join(b, "g").where("src <> dst").withColumn("weight", ((F.col("src") * 5 + F.col("dst") * 3) % 7 - 3).cast("double"))
-    return graph.select_graphs(nodes, edges)
+    """The heaviest connected part of each item's words."""
+    return graph.select_graphs(*weighted_graphs(t))
+
+
+@query()
+def graph_select_ten(spark, t):
+    """The heaviest connected ten words of each item that has so many."""
+    return graph.select_graphs(*weighted_graphs(t), 10)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from condensa.functions import text as T
 from condensa.operators import concepts as C
 from condensa.operators import graph, learn, matrix, report, stats
-from condensa.plans.catalogue import CONCEPTS, DISTINCT, DOCS, STOP, grams, groups, query, sents, toks
+from condensa.plans.catalogue import text_graphs, CONCEPTS, DISTINCT, DOCS, STOP, grams, groups, query, sents, toks
 
 # ---- scores: a made-up score of each document, by its numbers ------------
 SCORES = "s AS (SELECT source, lang, doc_id % 5 AS lam, doc_id % 3 AS round, (doc_id % 7) / 8.0 AS r1, (doc_id % 11) / 16.0 AS r2 FROM documents)"
@@ -321,13 +321,14 @@ def graph_node_features(spark, t):
 
 @query()
 def graph_decode(spark, t):
-    """Weights of features by their length; the even nations are the gold choice."""
-    k = F.col("n_nationkey")
-    source = F.struct((k % 20).alias("line_num"), F.lit(0).alias("start_idx"), (1 + k % 6).alias("end_idx"))
-    base = t("nation").select(F.col("n_regionkey").alias("g"), k.alias("id"), F.concat(F.lit("c"), k.cast("string")).alias("concept"), F.array_repeat(source, (1 + k % 3).cast("int")).alias("sources"))
-    feats = graph.node_features(base)
-    nodes = feats.select("g", F.col("id").alias("node"), (F.col("id") % 2 == 0).alias("root"), "feature")
-    ends = t("nation").select(F.col("n_regionkey").alias("g"), k.alias("id"))
-    edges = ends.withColumnRenamed("id", "src").join(ends.withColumnRenamed("id", "dst"), "g").where("src <> dst").withColumn("feature", F.concat(F.lit("e"), ((F.col("src") + F.col("dst")) % 3).cast("string")))
-    weights = feats.select("feature").distinct().unionByName(edges.select("feature").distinct()).withColumn("w", (F.length("feature") % 5 - 2) / 4)
-    return graph.decode(nodes, edges, weights, nodes.where("node % 2 = 0"), 0.5)
+    """Items decoded under weights that a gold choice, the words no document lacks, would teach: the share of gold nodes with a feature, less a half."""
+    nodes, edges = text_graphs(t)
+    feats = graph.node_features(nodes).withColumnRenamed("id", "node")
+    words = t("documents").select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("concept")).distinct()
+    gold = nodes.join(words, "concept", "left_semi").select("g", F.col("id").alias("node"))
+    roots = nodes.select("g", F.col("id").alias("node"), F.exists("sources", lambda s: s["start_idx"] == 0).alias("root"))
+    held = feats.join(gold.withColumn("good", F.lit(1.0)), ["g", "node"], "left")
+    weights = held.groupBy("feature").agg(F.round(F.avg(F.coalesce("good", F.lit(0.0))) - 0.5, 6).alias("w"))
+    links = graph.edge_features(edges)
+    told = weights.unionByName(links.select("feature").distinct().select(F.concat(F.lit("edge/"), "feature").alias("feature"), F.lit(-0.05).alias("w")))
+    return graph.decode(feats.join(roots, ["g", "node"]), graph.with_tag(links, "edge"), told, gold, 0.5)
