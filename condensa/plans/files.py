@@ -8,8 +8,8 @@ from condensa.functions import text as T
 from condensa.operators import concepts as C
 from condensa.operators import stats
 from condensa.plans.catalogue import DISTINCT, DOCS, query, sents, toks
-from condensa.sources import files, sinks
-from condensa.sources.place import fresh
+from condensa.sources import files, sheets, sinks
+from condensa.sources.place import fresh, kept
 
 
 @query(f"SELECT line, count(*) AS n FROM (SELECT unnest({sents('text')}) AS s, regexp_replace(s, '^\\s+|\\s+$', '', 'g') AS line FROM documents) WHERE line <> '' GROUP BY line")
@@ -137,3 +137,17 @@ def result_readers(spark, t):
     scores = weighted.join(files.weighted_averages(weighted.select("line")).distinct(), F.expr("cast(substring_index(substring_index(line, ' ', -4), ' ', 1) as double) = Precision")).select("item_id", F.col("Precision").alias("precision"))
     flags = files.label_rows(b.select("item_id", F.concat(F.lit("Instance: ["), (n % 2 == 0).cast("string"), F.lit(", "), (n % 3 == 0).cast("string"), F.lit("]")).alias("line"))).select("item_id", "labels")
     return tags.join(scores, "item_id").join(flags, "item_id")
+
+
+@query("SELECT coalesce(source, 'null') AS source, CAST(doc_id AS VARCHAR) AS doc_id, lang, text, CAST(n_chars AS VARCHAR) AS n_chars FROM documents")
+def workbook_rows(spark, t):
+    """A workbook of documents for each source, and a further one for each 300 documents; read again by their heads."""
+    d = t("documents").select(F.coalesce("source", F.lit("null")).alias("group"), F.col("source"), "doc_id", "lang", "text", "n_chars").withColumn("source", F.col("group"))
+    return sheets.table(kept(sheets.books(d, "group", ["doc_id"], rows_a_book=300), "books")).select("source", "doc_id", "lang", "text", "n_chars")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name FROM part")
+def workbook_columns(spark, t):
+    """Two columns of the parts' workbooks, the others passed over."""
+    books = kept(sheets.books(t("part").withColumn("group", F.pmod("p_partkey", F.lit(7))), "group", ["p_partkey"], "parts"), "books")
+    return sheets.table(books, "parts", ["p_partkey", "p_name"]).select("p_partkey", "p_name")
