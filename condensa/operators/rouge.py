@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from condensa.functions import text as T
+from condensa.operators import automaton
 
 
 def unit_counts(texts: DataFrame, key: str, units: Column) -> DataFrame:
@@ -52,22 +55,64 @@ def scores(hit: Column, system: Column, reference: Column) -> tuple[Column, Colu
     return r, p, F.when(r + p > 0, 2 * r * p / (r + p)).otherwise(0.0)
 
 
-def rouge(systems: DataFrame, references: DataFrame, metrics: list[str] = ["1", "2"], combine: str = "mean") -> DataFrame:
-    """(system_id, metric, r, p, f): systems(system_id, ref_key, text) against references(ref_key, ref_id, text).
-
-    Clipped matches; several references of a key are combined by mean or max.
-    A system whose key has no reference has no row.
-    """
+def pair_scores(systems: DataFrame, references: DataFrame, metrics: list[str] = ["1", "2"]) -> DataFrame:
+    """(system_id, ref_id, metric, r, p, f) of each system and each reference of its key, by clipped matches."""
     sys_units = unit_rows(systems, ["system_id", "ref_key"], metrics)
     ref_units = unit_rows(references, ["ref_key", "ref_id"], metrics).withColumnRenamed("n", "rn")
     hits = sys_units.join(ref_units, ["ref_key", "metric", "unit"]).groupBy("system_id", "ref_id", "metric").agg(F.sum(F.least("n", "rn")).alias("hit"))
     s, r = unit_totals(systems, ["system_id", "ref_key"], metrics, "sn"), unit_totals(references, ["ref_key", "ref_id"], metrics, "total")
     pairs = s.join(r, ["ref_key", "metric"]).join(hits, ["system_id", "ref_id", "metric"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
-    pairs = pairs.select("system_id", "metric", *(c.alias(n) for c, n in zip(scores(F.col("hit"), F.col("sn"), F.col("total")), "rpf")))
+    return pairs.select("system_id", "ref_id", "metric", *(c.alias(n) for c, n in zip(scores(F.col("hit"), F.col("sn"), F.col("total")), "rpf")))
+
+
+def rouge(systems: DataFrame, references: DataFrame, metrics: list[str] = ["1", "2"], combine: str = "mean") -> DataFrame:
+    """(system_id, metric, r, p, f): systems(system_id, ref_key, text) against references(ref_key, ref_id, text).
+
+    Clipped matches; several references of a key are combined by mean or max,
+    or by the jackknife: the mean over references of the greatest score of all
+    others.  A system whose key has no reference has no row.
+    """
+    pairs = pair_scores(systems, references, metrics)
+    if combine == "jackknife":
+        return jackknife(pairs)
     agg = F.avg if combine == "mean" else F.max
     return pairs.groupBy("system_id", "metric").agg(*(agg(c).alias(c) for c in "rpf"))
 
 
+def jackknife(pairs: DataFrame) -> DataFrame:
+    """(system_id, metric, r, p, f) of pair_scores: each reference is left out once and the greatest score of the others taken, each part by itself; a single reference counts as it is.
+
+    Without the best one the second is the greatest, without any other the best.
+    """
+    parts = pairs.select("system_id", "metric", F.inline(F.array(*(F.struct(F.lit(c).alias("part"), F.col(c).alias("x")) for c in "rpf"))))
+    many = pairs.groupBy("system_id", "metric").agg(F.count("*").alias("many"))
+    place = F.row_number().over(Window.partitionBy("system_id", "metric", "part").orderBy(F.desc("x")))
+    best = parts.withColumn("place", place).where("place <= 2").groupBy("system_id", "metric", "part").agg(F.max("x").alias("first"), F.min("x").alias("second"))
+    told = best.join(many, ["system_id", "metric"]).withColumn("x", ((F.col("many") - 1) * F.col("first") + F.col("second")) / F.col("many"))
+    return told.groupBy("system_id", "metric").agg(*(F.max(F.when(F.col("part") == c, F.col("x"))).alias(c) for c in "rpf"))
+
+
+#: Chances of a Poisson variable of mean 1 to be no more than 0, 1, 2, ...; beyond the last it is one more.
+_POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
+
+
+def intervals(scored: DataFrame, by: list[str], draws: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """(by, part, mean, low, high, systems): means of scored(by, system_id, r, p, f) with bootstrap intervals.
+
+    In each draw a system counts as often as a Poisson variable of mean 1 says,
+    which a hash of seed, system and draw decides: one pass, no resampling, the
+    same in each run.  A draw in which no system counts is left out.
+    """
+    rows = scored.select(*by, "system_id", F.inline(F.array(*(F.struct(F.lit(c).alias("part"), F.col(c).alias("x")) for c in "rpf"))))
+    drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    chance = F.pmod(F.xxhash64(F.lit(seed), "system_id", "draw"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    times = sum(((chance > p).cast("int") for p in _POISSON), F.lit(0))
+    means = drawn.withColumn("times", times).groupBy(*by, "part", "draw").agg((F.sum(F.col("times") * F.col("x")) / F.nullif(F.sum("times"), F.lit(0))).alias("m"))
+    ends = means.groupBy(*by, "part").agg(*(F.percentile("m", F.lit(q)).alias(n) for n, q in (("low", (1 - level) / 2), ("high", (1 + level) / 2))))
+    told = rows.groupBy(*by, "part").agg(F.avg("x").alias("mean"), F.count("*").alias("systems"))
+    return told.join(ends, [*by, "part"]).select(*by, "part", "mean", "low", "high", "systems")
+
+
 def score_table(scored: DataFrame, by: str) -> DataFrame:
     """Means by group and metric, with `average` rows over all groups."""
     rolled = scored.groupBy(F.col(by), "metric").agg(*(F.avg(c).alias(c) for c in "rpf"))
@@ -77,11 +122,10 @@ def score_table(scored: DataFrame, by: str) -> DataFrame:
 
 def reference_coverage(sources: DataFrame, references: DataFrame, high: int = 5) -> DataFrame:
     """(n, total, covered, ratio): distinct reference n-grams and those that a source text holds."""
-    toks = T.tokens(F.col("text"))
-    grams = F.flatten(F.array(*(T.gram_array(toks, n) for n in range(1, high + 1))))
-    ref = references.select(F.explode(grams).alias("g")).where("g IS NOT NULL").distinct()
-    # only the references' n-grams are kept of the corpus before its shuffle
-    src = sources.select(F.explode(F.array_distinct(grams)).alias("g")).join(ref, "g", "left_semi").distinct().withColumn("hit", F.lit(1))
+    ref = references.select(T.tokens(F.col("text")).alias("t")).select(F.posexplode("t").alias("i", "w"), "t")
+    ref = ref.select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(high), F.size("t") - F.col("i"))), lambda n: F.array_join(F.slice("t", F.col("i") + 1, n), " "))).alias("g")).distinct()
+    # one pass over the corpus with the references' n-grams as a dictionary
+    src = automaton.matches(sources.select(F.lit(0).alias("doc_id"), "text"), ref.withColumnRenamed("g", "phrase"), high).select(F.col("phrase").alias("g")).distinct().withColumn("hit", F.lit(1))
     n = F.size(F.split("g", " ")).cast("long").alias("n")
     found = ref.join(src, "g", "left").groupBy(n).agg(F.count("*").alias("total"), F.count("hit").alias("covered"))
     return found.select("n", "total", "covered", (F.col("covered") / F.col("total")).alias("ratio"))

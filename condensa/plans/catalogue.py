@@ -300,6 +300,25 @@ def rouge_n(spark, t):
     return rouge.rouge(*_systems(t), ["1", "2"]).withColumnRenamed("system_id", "doc_id")
 
 
+def _jack(part: str) -> str:
+    """Leave-one-out maxima written out: the others' greatest, averaged."""
+    return f"CASE WHEN count(*) = 1 THEN max({part}) ELSE avg({part}_others) END AS {part}"
+
+
+@query(f"""WITH {_REFS}, s AS ({_rouge('ROUGE-1', grams('t', 1)).replace("SELECT doc_id, 'ROUGE-1' AS metric, avg(r) AS r, avg(p) AS p, avg(f) AS f FROM", "SELECT doc_id, r, p, f, row_number() OVER () AS i FROM").removesuffix(" GROUP BY doc_id")}),
+o AS (SELECT s.doc_id, s.i, any_value(s.r) AS r, any_value(s.p) AS p, any_value(s.f) AS f, max(z.r) AS r_others, max(z.p) AS p_others, max(z.f) AS f_others FROM s LEFT JOIN s z ON z.doc_id = s.doc_id AND z.i <> s.i GROUP BY s.doc_id, s.i)
+SELECT doc_id, 'ROUGE-1' AS metric, {_jack("r")}, {_jack("p")}, {_jack("f")} FROM o GROUP BY doc_id""")
+def rouge_jackknife(spark, t):
+    return rouge.rouge(*_systems(t), ["1"], "jackknife").withColumnRenamed("system_id", "doc_id")
+
+
+@query()
+def rouge_intervals(spark, t):
+    """Bootstrap intervals of the mean scores of each language's documents."""
+    scored = rouge.rouge(*_systems(t), ["1"]).join(t("documents").select(F.col("doc_id").alias("system_id"), "lang"), "system_id")
+    return rouge.intervals(scored, ["lang", "metric"], 200)
+
+
 @query(f"WITH {_REFS} {_rouge('ROUGE-SU4', _skips('t'))}")
 def rouge_su4(spark, t):
     return rouge.rouge(*_systems(t), ["su4"]).withColumnRenamed("system_id", "doc_id")
@@ -423,6 +442,15 @@ def ilp_summary(spark, t):
     return groups(solver.summarize(_problems(t), C.GROUP, 30))
 
 
+@query()
+def ilp_sweep(spark, t):
+    """Optima for five lengths and three shares of the concepts against students."""
+    resp = C.responses(t("documents"))
+    students = resp.select(*C.GROUP, "student", F.explode(T.sentences(F.col("text"))).alias("phrase")).distinct()
+    told = solver.sweep(_problems(t), C.GROUP, [20, 25, 30, 35, 40], [0.25, 0.5, 0.75], students)
+    return groups(told.select(*C.GROUP, "budget", "share", F.round("value", 6).alias("value"), F.round("bound", 6).alias("bound"), F.size("phrases").alias("phrases")))
+
+
 @query()
 def ilp_student_cover(spark, t):
     resp = C.responses(t("documents"))

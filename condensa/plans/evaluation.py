@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from condensa.functions import text as T
 from condensa.operators import concepts as C
-from condensa.operators import graph, learn, matrix, report, stats
-from condensa.plans.catalogue import text_graphs, CONCEPTS, DISTINCT, DOCS, STOP, grams, groups, query, sents, toks
+from condensa.operators import centrality, graph, learn, matrix, report, stats
+from condensa.plans.catalogue import CONCEPTS, DISTINCT, DOCS, STOP, grams, groups, query, sents, text_graphs, toks
+from condensa.sources.place import fresh, kept
+from condensa.streaming.corpus import GrowingCorpus
 
 # ---- scores: a made-up score of each document, by its numbers ------------
 SCORES = "s AS (SELECT source, lang, doc_id % 5 AS lam, doc_id % 3 AS round, (doc_id % 7) / 8.0 AS r1, (doc_id % 11) / 16.0 AS r2 FROM documents)"
@@ -332,3 +334,40 @@ def graph_decode(spark, t):
     links = graph.edge_features(edges)
     told = weights.unionByName(links.select("feature").distinct().select(F.concat(F.lit("edge/"), "feature").alias("feature"), F.lit(-0.05).alias("w")))
     return graph.decode(feats.join(roots, ["g", "node"]), graph.with_tag(links, "edge"), told, gold, 0.5)
+
+
+@query(f"""WITH {_DF}, c AS (SELECT doc_id, term, count(*) / any_value(len(w)) AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM x) GROUP BY doc_id, term)
+SELECT doc_id, term, tf * CASE WHEN df >= 0.2 * n THEN 0 ELSE ln((1.0 + n) / (1.0 + df)) END AS tfidf FROM c JOIN f USING (term), n""")
+def growing_keywords(spark, t):
+    """The documents arrive in files; each batch of a stream adds to the corpus, one comes twice, and the first ones are compacted."""
+    docs, path = t("documents"), fresh(spark, "arriving")
+    docs.select("doc_id", "text").repartition(4, "doc_id").write.parquet(path)
+    corpus = GrowingCorpus(spark, fresh(spark, "corpus"))
+    stream = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(path)
+    corpus.follow(stream, fresh(spark, "progress")).awaitTermination()
+    corpus.compact()
+    return corpus.keywords(docs, 0.2)
+
+
+# ---- central sentences ---------------------------------------------------
+def _ranked(t) -> tuple[DataFrame, DataFrame]:
+    """Sentences of each source and language, their ranks by similarity, and the similar pairs."""
+    units = t("documents").select("source", "lang", F.explode(F.array_distinct(T.sentences(F.col("text")))).alias("text")).distinct().withColumn("id", F.col("text"))
+    by = ["source", "lang"]
+    weights = kept(centrality.term_weights(units, by), "weights")
+    pairs = kept(centrality.similar(weights, by, 0.2), "pairs")
+    return centrality.lexrank(units, pairs, by), pairs
+
+
+@query()
+def lexrank(spark, t):
+    """Ranks of all sentences of a group by their likeness to others."""
+    ranks, _ = _ranked(t)
+    return ranks.select("source", "lang", F.col("id").alias("sentence"), F.round("rank", 9).alias("rank"))
+
+
+@query()
+def lexrank_mmr(spark, t):
+    """Five sentences of each group that are central and unlike each other."""
+    ranks, pairs = _ranked(t)
+    return centrality.mmr(ranks, pairs, ["source", "lang"], 5).withColumnRenamed("id", "sentence")
