@@ -125,7 +125,7 @@ def reference_coverage(sources: DataFrame, references: DataFrame, high: int = 5)
     ref = references.select(T.tokens(F.col("text")).alias("t")).select(F.posexplode("t").alias("i", "w"), "t")
     ref = ref.select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(high), F.size("t") - F.col("i"))), lambda n: F.array_join(F.slice("t", F.col("i") + 1, n), " "))).alias("g")).distinct()
     # one pass over the corpus with the references' n-grams as a dictionary
-    src = automaton.matches(sources.select(F.lit(0).alias("doc_id"), "text"), ref.withColumnRenamed("g", "phrase"), high).select(F.col("phrase").alias("g")).distinct().withColumn("hit", F.lit(1))
+    src = automaton.held(sources, ref.withColumnRenamed("g", "phrase"), high).select(F.col("phrase").alias("g"), F.lit(1).alias("hit"))
     n = F.size(F.split("g", " ")).cast("long").alias("n")
     found = ref.join(src, "g", "left").groupBy(n).agg(F.count("*").alias("total"), F.count("hit").alias("covered"))
     return found.select("n", "total", "covered", (F.col("covered") / F.col("total")).alias("ratio"))

@@ -447,7 +447,7 @@ def ilp_sweep(spark, t):
     """Optima for five lengths and three shares of the concepts against students."""
     resp = C.responses(t("documents"))
     students = resp.select(*C.GROUP, "student", F.explode(T.sentences(F.col("text"))).alias("phrase")).distinct()
-    told = solver.sweep(_problems(t), C.GROUP, [20, 25, 30, 35, 40], [0.25, 0.5, 0.75], students)
+    told = solver.sweep(_problems(t), C.GROUP, [20, 25, 30, 35, 40], [0.5, 0.7, 0.9], students)
     return groups(told.select(*C.GROUP, "budget", "share", F.round("value", 6).alias("value"), F.round("bound", 6).alias("bound"), F.size("phrases").alias("phrases")))
 
 

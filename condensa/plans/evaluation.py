@@ -356,7 +356,7 @@ def _ranked(t) -> tuple[DataFrame, DataFrame]:
     by = ["source", "lang"]
     weights = kept(centrality.term_weights(units, by), "weights")
     pairs = kept(centrality.similar(weights, by, 0.2), "pairs")
-    return centrality.lexrank(units, pairs, by), pairs
+    return centrality.lexrank(units, pairs, by, tol=1e-4), pairs
 
 
 @query()
