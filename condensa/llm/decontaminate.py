@@ -1,11 +1,13 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-The benchmark goes through in blocks of bounded size.  A block's word n-grams
-are counted over all documents first; an item's seeds are those of its n-grams
-that few documents hold (RARE_SHARE of them or RARE_DOCS at most, or no more
-than the item's median n-gram).  A second pass joins passages to items through seeds in
-the tasks that read the documents, so no text is shuffled, and aligns every
-passage around a seed with its item word by word.
+The benchmark goes through in blocks of bounded size.  A block's word n-grams,
+and pairs of words next to each other or with one between, are counted over all
+documents first; an item's seeds are those that few documents hold (RARE_SHARE
+of them or RARE_DOCS at most; of n-grams also those no commoner than the item's
+median one).  A second pass joins passages to items through seeds in the tasks
+that read the documents, so no text is shuffled.  A passage with one n-gram of
+an item or two different pairs is aligned with it word by word: the pairs find
+copies that an edit every few words leaves no n-gram of.
 """
 
 from __future__ import annotations
@@ -40,16 +42,45 @@ class Items(NamedTuple):
     seeds: np.ndarray  # uint64, sorted, distinct
     first: np.ndarray  # offsets into item and place by seed
     item: np.ndarray
-    place: np.ndarray
+    place: np.ndarray  # times the number of shapes, plus the seed's shape
     table: np.ndarray  # whether a seed has these leading bits
 
 
+#: Shapes of seeds: 0 is a run of n words, or all of an item that is shorter; the others are pairs so many words apart.
+APART = (1, 2)
+SHAPES = 1 + len(APART)
+
+
+def shaped(w: blocks.Words, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hash, first word) of the seeds of each shape, all texts together."""
+    grams, _, first = blocks.shingles(w.hash, w.rows, n)
+    yield grams, first
+    end = np.repeat(w.rows[1:], np.diff(w.rows))
+    for apart in APART:
+        first = np.flatnonzero(np.arange(len(w.hash)) + apart < end)
+        yield blocks.mix(w.hash[first] * U64(2 * apart + 1) + blocks.mix(w.hash[first + apart] + U64(apart))), first
+
+
+def part_seeds(w: blocks.Words, lengths: set[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hash, first word) of runs as long as the items that are too short for an n-gram."""
+    for size in sorted(lengths):
+        grams, _, first = blocks.shingles(w.hash, w.rows, size)
+        yield blocks.mix(grams + U64(size)), first
+
+
 def build_items(rows: list[Row], n: int) -> Items:
     w = blocks.words(pa.array([r["text"] for r in rows], pa.string()))
-    grams, at, first = blocks.shingles(w.hash, w.rows, n)
-    long = np.repeat(np.diff(w.rows) >= n, np.diff(at))
-    item = np.repeat(np.arange(len(rows)), np.diff(at))[long]
-    grams, place = grams[long], (first - np.repeat(w.rows[:-1], np.diff(at)))[long]
+    sizes = np.diff(w.rows)
+    found = []
+    for shape, (grams, first) in enumerate(shaped(w, n)):
+        item = np.searchsorted(w.rows, first, "right") - 1
+        long = sizes[item] >= n
+        found.append((grams[long], item[long], (first - w.rows[item])[long] * SHAPES + shape))
+    for i in np.flatnonzero((sizes > 0) & (sizes < n)):  # all of a short item is its only seed
+        own = w._replace(hash=w.hash[w.rows[i] : w.rows[i + 1]], rows=np.array([0, sizes[i]]))
+        grams, _ = next(part_seeds(own, {int(sizes[i])}))
+        found.append((grams, np.array([i]), np.array([0])))
+    grams, item, place = (np.concatenate(x) for x in zip(*found))
     return _index([r["item_id"] for r in rows], [w.hash[a:b] for a, b in zip(w.rows[:-1], w.rows[1:])], grams, item, place)
 
 
@@ -66,24 +97,32 @@ def rare_only(items: Items, df: np.ndarray, n_docs: int) -> Items:
     """The items with only their rare seeds."""
     by_use = np.repeat(df, np.diff(items.first))
     limit = np.zeros(len(items.ids))
-    order = np.lexsort((by_use, items.item))
-    sizes = np.bincount(items.item, minlength=len(items.ids))
+    runs = np.flatnonzero(items.place % SHAPES == 0)
+    order = runs[np.lexsort((by_use[runs], items.item[runs]))]
+    sizes = np.bincount(items.item[runs], minlength=len(items.ids))
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    some = sizes > 0
+    # the only seed of a short item has to be rare
+    some = (sizes > 0) & (np.array([len(x) for x in items.words]) > 2)
     limit[some] = by_use[order][(starts + (sizes - 1) // 2)[some]]
-    keep = by_use <= np.maximum(limit, max(RARE_SHARE * n_docs, RARE_DOCS))[items.item]
+    limit = np.where(items.place % SHAPES == 0, limit[items.item], 0)
+    keep = by_use <= np.maximum(limit, max(RARE_SHARE * n_docs, RARE_DOCS))
     return _index(items.ids, items.words, np.repeat(items.seeds, np.diff(items.first))[keep], items.item[keep], items.place[keep])
 
 
 def seed_hits(items: Items, w: blocks.Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, first word, seed) of every seed in the texts."""
-    grams, at, first = blocks.shingles(w.hash, w.rows, n)
-    maybe = np.flatnonzero(items.table[(grams >> U64(64 - _TABLE_BITS)).astype(np.int64)])
-    if not len(maybe) or not len(items.seeds):
+    found = []
+    short = {len(x) for x in items.words if 0 < len(x) < n}
+    for grams, first in itertools.chain(shaped(w, n), part_seeds(w, short)):
+        maybe = np.flatnonzero(items.table[(grams >> U64(64 - _TABLE_BITS)).astype(np.int64)])
+        if len(maybe) and len(items.seeds):
+            spot = np.minimum(np.searchsorted(items.seeds, grams[maybe]), len(items.seeds) - 1)
+            hit = items.seeds[spot] == grams[maybe]
+            found.append((first[maybe[hit]], spot[hit]))
+    if not found:
         return (np.zeros(0, np.int64),) * 3
-    spot = np.minimum(np.searchsorted(items.seeds, grams[maybe]), len(items.seeds) - 1)
-    found = items.seeds[spot] == grams[maybe]
-    return np.searchsorted(at, maybe[found], "right") - 1, first[maybe[found]], spot[found]
+    first, spot = (np.concatenate(x) for x in zip(*found))
+    return np.searchsorted(w.rows, first, "right") - 1, first, spot
 
 
 def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
@@ -118,9 +157,10 @@ def leaks(items: Items, texts: pa.Array, n: int, threshold: float) -> Iterator[t
     uses = np.diff(items.first)[seed]
     text, at = np.repeat(text, uses), np.repeat(at, uses)
     entry = np.repeat(items.first[seed], uses) + np.arange(uses.sum()) - np.repeat(np.cumsum(uses) - uses, uses)
-    item, start = items.item[entry], at - items.place[entry]
+    item, place = items.item[entry], items.place[entry]
+    start = at - place // SHAPES
     order = np.lexsort((start, item, text))
-    text, item, start = text[order], item[order], start[order]
+    text, item, start, place = text[order], item[order], start[order], place[order]
     size = np.array([len(x) for x in items.words])
     slack = size // 2 + 2
     lo = np.maximum(start - slack[item], w.rows[text])
@@ -129,6 +169,11 @@ def leaks(items: Items, texts: pa.Array, n: int, threshold: float) -> Iterator[t
     new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (lo[1:] > hi[:-1])
     begins = np.flatnonzero(new)
     ends = np.append(begins[1:], len(text)) - 1
+    # one run of words, or two different pairs
+    passage = np.cumsum(new) - 1
+    pairs = np.unique(passage[place % SHAPES > 0] * (1 << 32) + place[place % SHAPES > 0]) >> 32
+    enough = (np.bincount(pairs, minlength=len(begins)) > 1) | (np.bincount(passage[place % SHAPES == 0], minlength=len(begins)) > 0)
+    begins, ends = begins[enough], ends[enough]
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     for a, b in zip(begins, ends):
         score, x, y = aligned_span(items.words[item[a]], w.hash[lo[a] : hi[b]])
@@ -185,8 +230,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: flo
 
     score: the best alignment's share of what the whole item would score; at
     least the threshold.  The span counts words of the document, the passage is
-    its lower-cased text.  Items of fewer than n words carry no seed and match
-    nothing; so do null and empty texts.  Of passages of one document that score
+    its lower-cased text.  An item of fewer than n words is found where all of it
+    stands, if that is rare; items without a word match nothing, and so do null
+    and empty texts.  Of passages of one document that score
     alike for an item the first is told.  Each repeated document or item row
     gives rows of its own; null ids stay null; other columns are ignored.  Texts
     of any length are searched whole.  Of a benchmark of several blocks only one

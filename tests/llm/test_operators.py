@@ -55,7 +55,30 @@ def test_decontamination_against_every_window(spark):
     got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     shared = {(d, i) for d, t in docs for i, q in items if set(zip(t.split(), t.split()[1:], t.split()[2:])) & set(zip(q.split(), q.split()[1:], q.split()[2:]))}
     print(f"recall {len(got) / len(want):.3f} of {len(want)}")
-    assert got == want & shared and len(got) >= 0.85 * len(want) and len(want) > 40
+    assert want & shared <= got <= want and len(got) >= 0.9 * len(want) and len(want) > 40
+
+
+def test_decontamination_where_seeds_are_common(spark):
+    """Of 1,600 documents more than RARE_DOCS hold a phrase that items have too: its seeds are dropped, and copies edited to the limit are found by the others."""
+    rng = np.random.default_rng(13)
+    common = [prose(400 + i, 6, 2000) for i in range(4)]
+    items = [(i, f"{prose(500 + i, 12, 2000)} {common[i % 4]} {prose(600 + i, 14, 2000)}") for i in range(20)] + [(100, "zebra quagga"), (101, "okapi"), (102, common[0].split()[0])]
+    docs = [(d, f"{prose(5000 + d, 40, 2000)} {common[d % 4]} {prose(9000 + d, 40, 2000)}") for d in range(1000)]
+    for d in range(1000, 1600):
+        words = items[d % 20][1].split()
+        for _ in range(int(rng.integers(4, 16))):
+            at, how = int(rng.integers(len(words))), rng.integers(3)
+            words[at : at + 1] = [[], [f"w{rng.integers(2000)}"], [words[at], f"w{rng.integers(2000)}"]][how]
+        docs.append((d, f"{prose(5000 + d, 60, 2000)} {' '.join(words)} {prose(9000 + d, 60, 2000)}"))
+    docs += [(2000, "a Zebra, quagga!"), (2001, "zebra or quagga"), (2002, "the okapi")]
+    hashes = {d: blocks.words(pa.array([t])).hash for d, t in docs}
+    items_of = {i: blocks.words(pa.array([t])).hash for i, t in items[:20]}
+    want = {(d, i) for d, w in hashes.items() for i, q in items_of.items() if d >= 1000 and d < 2000 and d % 20 == i and decontaminate.align(q, w)[0] >= len(q)}
+    rows = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id) for r in rows}
+    print(f"recall {len(got & want) / len(want):.3f} of {len(want)}")
+    assert got - want == {(2000, 100), (2002, 101)} and len(got & want) >= 0.9 * len(want) and len(want) > 400
+    assert all(d >= 1000 for d, _ in got)
 
 
 def test_shingles():
