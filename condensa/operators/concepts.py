@@ -260,3 +260,9 @@ def well_formed_phrases(resp: DataFrame, by: str = "lecture") -> DataFrame:
     """(lecture, phrase, freq, n_words) without malformed sentences."""
     rows = resp.select(by, F.explode(T.sentences(F.col("text"))).alias("phrase")).where(~T.is_malformed(F.col("phrase")))
     return rows.groupBy(by, "phrase").agg(F.count("*").alias("freq")).withColumn("n_words", T.word_count(F.col("phrase")).cast("long"))
+
+
+def reference_weights(references: DataFrame, by: list[str], phrase: str = "phrase", n: int = 2) -> DataFrame:
+    """(by, concept, theta): in how many reference phrases a concept comes, each counted once a phrase."""
+    held = T.gram_rows(references.select(*by, F.col(phrase).alias("text")), by, n=n, distinct=True)
+    return held.groupBy(*by, "concept").agg(F.count("*").cast("double").alias("theta"))

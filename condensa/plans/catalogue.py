@@ -723,3 +723,31 @@ def graph_select(spark, t):
 def graph_select_ten(spark, t):
     """The heaviest connected ten words of each item that has so many."""
     return graph.select_graphs(*weighted_graphs(t), 10)
+
+
+# ---- weights from references ---------------------------------------------
+_REFERENCE_PHRASES = f"p AS (SELECT 'src' || CAST(item_id % 20 AS VARCHAR) AS source, unnest({sents('text')}) AS phrase FROM benchmark)"
+
+
+def reference_phrases(t) -> DataFrame:
+    """The references' sentences by lecture."""
+    return t("benchmark").select(F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("lecture"), F.explode(T.sentences(F.col("text"))).alias("phrase"))
+
+
+@query(f"""WITH {_REFERENCE_PHRASES}, g AS (SELECT source, unnest(list_distinct({nonstop(grams(toks('phrase'), 2))})) AS concept FROM p) SELECT source, concept, CAST(count(*) AS DOUBLE) AS theta FROM g GROUP BY ALL""")
+def reference_weights(spark, t):
+    return C.reference_weights(reference_phrases(t), ["lecture"]).withColumnRenamed("lecture", "source")
+
+
+@query()
+def ilp_reference_weights(spark, t):
+    """Summaries by the weights that concepts have in the references: the best an extract can reach there."""
+    theta = C.reference_weights(reference_phrases(t), ["lecture"])
+    return groups(solver.summarize(_problems(t).drop("theta").join(theta, ["lecture", "concept"]), C.GROUP, 30))
+
+
+@query()
+def relaxed_labels(spark, t):
+    """Concepts of each source that a reference has but for some letters."""
+    concepts = T.gram_rows(t("documents").withColumnRenamed("source", "lecture"), ["lecture"], distinct=True).distinct()
+    return learn.relaxed_labels(concepts, reference_concepts(t).distinct(), "lecture").withColumnRenamed("lecture", "source")

@@ -223,6 +223,14 @@ def test_clusters_of_groups(spark):
     assert {got[x][0] for x in ("a1", "a2", "a3")} == {"a"} and {got[x][0] for x in ("b1", "b2")} == {"b"}
 
 
+def test_a_missing_similarity_is_no_distance_on_the_linear_scale(spark):
+    """As in linear_distance: null counts as the same, so the pair shares a cluster; on the other scale it doesn't."""
+    rows = [("g", "a", "b", None), ("g", "a", "c", 0.1), ("g", "b", "c", 0.1), ("g", "a", "d", 0.1), ("g", "b", "d", 0.1), ("g", "c", "d", 0.9)]
+    pairs = spark.createDataFrame(rows, "g string, a string, b string, similarity double")
+    got = {r.item: r.medoid for r in matrix.cluster_groups(pairs, ["g"], ratio=2, linear=True).collect()}
+    assert got["a"] == got["b"] != got["c"] == got["d"]
+
+
 def test_completion(spark):
     cells = pd.DataFrame([("g", f"c{i}", j, float((i + 1) * (j + 1)) / 20) for i in range(4) for j in range(5) if (i, j) != (2, 3)], columns=["g", "concept", "pos", "value"])
     got = {(r.concept, r.pos): r.value for r in matrix.completed_cells(spark.createDataFrame(cells, "g string, concept string, pos int, value double"), ["g"], 0.01, most=200, tol=1e-9).collect()}
