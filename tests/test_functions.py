@@ -47,6 +47,15 @@ def test_vectors(spark):
         one(spark, V.bin_index(F.col("v"), 0.0, 9.0, 5), v=10)
 
 
+def test_trimmed_parts_keep_digits(spark, tmp_path):
+    """A trim over an array must not take the place in it for the characters to strip."""
+    lines = [f"{i}1.2 word {i}" for i in range(25)]
+    assert one(spark, T.sentences(F.col("t")), t="\n".join(f" {x} " for x in lines)) == lines
+    (tmp_path / "p").write_text("0word0\tNN1\t2B-NP2 \tO\t-\t(S*)\n")
+    row = parse.read_parses(spark, str(tmp_path)).first()
+    assert (row.token, row.pos, row.chk) == ("0word0", "NN1", "2B-NP2")
+
+
 def test_text(spark):
     t = F.col("t")
     assert one(spark, T.ngrams(T.tokens(t), 2), t="How  to solve") == ["how to", "to solve"]
