@@ -20,11 +20,15 @@ def units(toks: Column, metric: str) -> Column:
     return F.concat(toks, T.skip_bigrams(toks, 4)) if metric == "su4" else T.gram_array(toks, int(metric))
 
 
-def unit_rows(texts: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
-    """keys, metric, unit, n: how often each text holds each unit, in one pass for all metrics."""
+def unit_rows(texts: DataFrame, keys: list[str], metrics: list[str], asked: DataFrame | None = None) -> DataFrame:
+    """keys, metric, unit, n: how often each text holds each unit, in one pass for all metrics.
+
+    asked(ref_key, metric, unit): other units are left out before they are counted.
+    """
     toks = T.tokens(F.col("text"))
     per = F.array(*(F.struct(F.lit(metric_name(m)).alias("metric"), units(toks, m).alias("units")) for m in metrics))
     rows = texts.select(*keys, F.explode(per).alias("m")).select(*keys, "m.metric", F.explode("m.units").alias("unit")).where("unit IS NOT NULL")
+    rows = rows if asked is None else rows.join(asked, ["ref_key", "metric", "unit"], "left_semi")
     return rows.groupBy(*keys, "metric", "unit").agg(F.count("*").alias("n"))
 
 
@@ -57,8 +61,9 @@ def scores(hit: Column, system: Column, reference: Column) -> tuple[Column, Colu
 
 def pair_scores(systems: DataFrame, references: DataFrame, metrics: list[str] = ["1", "2"]) -> DataFrame:
     """(system_id, ref_id, metric, r, p, f) of each system and each reference of its key, by clipped matches."""
-    sys_units = unit_rows(systems, ["system_id", "ref_key"], metrics)
     ref_units = unit_rows(references, ["ref_key", "ref_id"], metrics).withColumnRenamed("n", "rn")
+    # a unit that no reference of the key has is never a match, so it isn't shuffled
+    sys_units = unit_rows(systems, ["system_id", "ref_key"], metrics, ref_units.select("ref_key", "metric", "unit").distinct())
     hits = sys_units.join(ref_units, ["ref_key", "metric", "unit"]).groupBy("system_id", "ref_id", "metric").agg(F.sum(F.least("n", "rn")).alias("hit"))
     s, r = unit_totals(systems, ["system_id", "ref_key"], metrics, "sn"), unit_totals(references, ["ref_key", "ref_id"], metrics, "total")
     pairs = s.join(r, ["ref_key", "metric"]).join(hits, ["system_id", "ref_id", "metric"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
