@@ -242,6 +242,33 @@ def test_completion(spark):
     assert [tuple(r) for r in report.completed_incidence(asked, listed, done, ["g"], 0.2).collect()] == [("g", "x", "a", 0.5)]
 
 
+def test_k_medoids_with_empty_partitions(spark):
+    df = spark.range(12).select("id", F.array(F.sin("id"), F.cos("id")).alias("v"))
+    want = {(r.id, r.medoid) for r in matrix.k_medoids(df.coalesce(1), "id", "v", 3, restarts=5).collect()}
+    got = matrix.k_medoids(df.repartition(30), "id", "v", 3, restarts=5).collect()
+    assert len(want) == 12 and {(r.id, r.medoid) for r in got} == want
+
+
+def test_lexicon_is_joined_not_scanned(spark):
+    docs = spark.createDataFrame([(1, "The cat the DOG"), (2, ""), (3, None), (1, "xyz"), (4, "dog dog")], "doc_id long, text string")
+    lexicon = spark.createDataFrame([("the",), ("dog",), ("dog",)], "word string")
+    told = stats.lexicon_overlap(docs, lexicon)
+    got = sorted(((r.doc_id, r.text or "", r.shared, r.outside) for r in told.collect()), key=repr)
+    assert got == [(1, "The cat the DOG", 3, 0.25), (1, "xyz", 0, 1.0), (2, "", 0, None), (3, "", None, None), (4, "dog dog", 2, 0.0)]
+    assert "array_contains" not in told._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rouge_leaves_units_out_before_counting(spark):
+    """Units that no reference of the key has aren't counted or shuffled."""
+    asked = spark.createDataFrame([("k", "ROUGE-1", "b")], "ref_key string, metric string, unit string")
+    texts = spark.createDataFrame([(1, "k", "a b b c"), (2, "other", "b")], "system_id long, ref_key string, text string")
+    got = rouge.unit_rows(texts, ["system_id", "ref_key"], ["1"], asked).collect()
+    assert [(r.system_id, r.unit, r.n) for r in got] == [(1, "b", 2)]
+    refs = spark.createDataFrame([("k", 5, "b d"), ("k", 6, "c")], "ref_key string, ref_id long, text string")
+    plan = rouge.rouge(texts, refs, ["1"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+
+
 def test_rouge_against_counts(spark):
     systems = spark.createDataFrame([(1, "t", "a b c d"), (2, "t", ""), (3, "u", "a b")], "system_id long, ref_key string, text string")
     refs = spark.createDataFrame([("t", 1, "a b x d"), ("t", 2, "b c d")], "ref_key string, ref_id long, text string")
