@@ -312,3 +312,16 @@ def test_parsed_sentences(spark):
     assert sorted(r.value for r in parse.phrase_lines(t).collect()) == ["a/DT big/JJ dog/NN of/IN mine/PRP ./.", "i/PRP ./."]
     counts = spark.createDataFrame([("x", 3)], "sentence string, n int")
     assert parse.counted_sentences(spark.createDataFrame([("x",), ("y",)], "sentence string"), counts).count() == 4
+
+
+def test_phrases_by_number_give_the_summaries_by_name(spark):
+    rows = problems(np.random.default_rng(5), 4)
+    number = {p: i for i, p in enumerate(sorted({r[1] for r in rows}))}
+    schema = "g int, phrase {}, cost int, concept string, value double, theta double"
+    by_name = spark.createDataFrame([*rows, (9, "long", 99, "c", 1.0, 1.0)], schema.format("string"))
+    by_number = spark.createDataFrame([*((g, number[p], *rest) for g, p, *rest in rows), (9, 0, 99, "c", 1.0, 1.0)], schema.format("long"))
+    told = lambda got: sorted((r.g, number.get(r.phrase, r.phrase), round(r.value, 9)) for r in got.collect())
+    assert told(solver.summarize(by_number, ["g"], 8)) == told(solver.summarize(by_name, ["g"], 8)) != []
+    swept = [sorted((r.g, r.budget, round(r.value, 9), [number.get(p, p) for p in r.phrases]) for r in solver.sweep(x, ["g"], [5, 8]).collect()) for x in (by_name, by_number)]
+    assert swept[0] == swept[1]
+    assert [r[1:] for r in swept[0] if r[0] == 9] == [(5.0, 0.0, []), (8.0, 0.0, [])]  # no phrase of the group fits
