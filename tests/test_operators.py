@@ -325,3 +325,9 @@ def test_phrases_by_number_give_the_summaries_by_name(spark):
     swept = [sorted((r.g, r.budget, round(r.value, 9), [number.get(p, p) for p in r.phrases]) for r in solver.sweep(x, ["g"], [5, 8]).collect()) for x in (by_name, by_number)]
     assert swept[0] == swept[1]
     assert [r[1:] for r in swept[0] if r[0] == 9] == [(5.0, 0.0, []), (8.0, 0.0, [])]  # no phrase of the group fits
+
+
+@pytest.mark.parametrize("text", ["", "  ", "one", " One two ", "a  b\tc\n\nd a b", "x y z $1 \\2 the of", None])
+def test_bigram_pieces_are_the_pairs_and_the_last_token(spark, text):
+    got = spark.createDataFrame([(text,)], "text string").select(T.bigram_pieces(F.col("text")).alias("p"), T.tokens(F.col("text")).alias("t")).first()
+    assert got.p == (None if text is None else [f"{a} {b}" for a, b in zip(got.t, got.t[1:])] + (got.t[-1:] or [""]))
