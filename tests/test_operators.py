@@ -331,3 +331,12 @@ def test_phrases_by_number_give_the_summaries_by_name(spark):
 def test_bigram_pieces_are_the_pairs_and_the_last_token(spark, text):
     got = spark.createDataFrame([(text,)], "text string").select(T.bigram_pieces(F.col("text")).alias("p"), T.tokens(F.col("text")).alias("t")).first()
     assert got.p == (None if text is None else [f"{a} {b}" for a, b in zip(got.t, got.t[1:])] + (got.t[-1:] or [""]))
+
+
+def test_some_bigrams_score_as_among_all(spark):
+    docs = spark.createDataFrame([("s", "red car blue car red car red house"), ("u", "red car"), (None, "red car red house")], "source string, text string")
+    every = {(r.source, r.bigram): (r.n, round(r.llr, 9)) for r in stats.collocations(docs, "source").collect()}
+    assert set(every) == {("s", x) for x in ("red car", "car blue", "blue car", "car red", "red house")} | {("u", "red car")}
+    pairs = stats.bigram_counts(docs, "source")
+    some = {(r.source, r.bigram): (r.n, round(r.llr, 9)) for r in stats.likelihood_ratios(pairs.where("n >= 2"), pairs, "source").collect()}
+    assert some == {k: v for k, v in every.items() if v[0] >= 2} and ("s", "red car") in some
