@@ -168,3 +168,13 @@ def test_group_similarity_has_a_zero_vector(spark):
 def test_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, source string, lang string, text string")
     assert concepts.top(concepts.theta_distinct(concepts.responses(docs)), 3).collect() == []
+
+
+def test_a_cosine_with_known_norms_is_the_cosine(spark):
+    from pyspark.sql import functions as F
+
+    from condensa.functions.vectors import cosine, cosine_of, norm
+
+    df = spark.createDataFrame([([1.0, 2.0], [3.0, -0.1]), ([0.0, 0.0], [1.0, 1.0]), (None, [1.0, 0.0])], "a array<double>, b array<double>")
+    known = df.withColumns({"m": norm(F.col("a")), "n": norm(F.col("b"))}).select(cosine(F.col("a"), F.col("b")), cosine_of(F.col("a"), F.col("m"), F.col("b"), F.col("n")))
+    assert all(x == y for x, y in known.collect()) and known.count() == 3
