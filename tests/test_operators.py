@@ -166,6 +166,17 @@ def test_perceptrons(spark):
     assert got == want
 
 
+def test_perceptron_crosses_folds_with_few_concepts(spark, monkeypatch):
+    made, kept = {}, learn.kept
+    monkeypatch.setattr(learn, "kept", lambda df, name: made.setdefault(name, []).append(kept(df, name)) or made[name][-1])
+    feats = [(f"l{g}", f"c{i}", "good" if i % 3 else "bad", 1.0) for g in range(3) for i in range(200)]
+    f = spark.createDataFrame(feats, "lecture string, concept string, feature string, value double")
+    labels = f.where("feature = 'good'").select("lecture", "concept")
+    learn.perceptron(f, labels, "lecture", rounds=2, chosen=5).collect()
+    assert [t.count() for t in made["able"]] == [3 * 2 * 5] * 2
+    assert {r["count"] for r in made["picked"][1].groupBy("fold", "lecture").count().collect()} == {5}
+
+
 def test_subcommon_matches_are_complete(spark):
     rng = np.random.default_rng(5)
     a, b = (sorted({"".join(rng.choice(list("abcd"), int(rng.integers(1, 9)))) for _ in range(60)}) for _ in range(2))
