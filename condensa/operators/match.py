@@ -1,61 +1,11 @@
-"""Dictionary matching and subsequences: Python where no built-in exists, over distinct inputs."""
+"""Dictionary matching: Python where no built-in exists, over distinct inputs; subsequences by their old names."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql import DataFrame
 
 from condensa.operators import automaton
-
-
-def lcs_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, by bit-parallel row updates."""
-    places: dict[str, int] = {}
-    for i, x in enumerate(a):
-        places[x] = places.get(x, 0) | 1 << i
-    full, row = (1 << len(a)) - 1, (1 << len(a)) - 1
-    for x in b:
-        hit = row & places.get(x, 0)
-        row = (row + hit | row - hit) & full
-    return len(a) - row.bit_count()
-
-
-@F.pandas_udf(DoubleType())
-def lcs_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Common subsequence over the second string's length; 0 for an empty one."""
-    return pd.Series([lcs_length(x or "", y or "") / len(y) if y else 0.0 for x, y in zip(a, b)])
-
-
-def lcs_matches(left: DataFrame, right: DataFrame, by: str, threshold: float = 0.8) -> DataFrame:
-    """(by, a, b, ratio): distinct strings of a group whose ratio reaches the threshold.
-
-    A common subsequence is no longer than the letters that both have, repeats
-    counted; b needs threshold * length of them in a.  So one of b's rarest kinds
-    of letters, as many as can be missing and one more, has to be in a with its
-    full count: pairs meet on these (letter, count) keys, and letter counts
-    decide before the subsequence is computed.
-    """
-    letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
-
-    def counted(rows: DataFrame, c: str) -> DataFrame:
-        per = rows.select(by, c).distinct().select(by, c, F.explode(F.transform(F.array_distinct(letters(c)), lambda x: F.struct(x.alias("x"), F.size(F.filter(letters(c), lambda y: y == x)).alias("n")))).alias("l"))
-        return per.select(by, c, "l.x", "l.n")
-
-    a, b = counted(left, "a"), counted(right, "b")
-    often = a.groupBy(by, "x").agg(F.count("*").alias("often"))
-    spare = F.length("b") - F.ceil(threshold * F.length("b") - 1e-9)
-    place = Window.partitionBy(by, "b").orderBy(F.coalesce("often", F.lit(0)), "x").rowsBetween(Window.unboundedPreceding, -1)
-    # a letter's full count is in a unless some of the spare letters are among it
-    keys = b.join(often, [by, "x"], "left").withColumn("ahead", F.coalesce(F.sum("n").over(place), F.lit(0))).where(F.col("ahead") <= spare)
-    near = keys.alias("q").join(a.alias("p"), (F.col(f"q.{by}") == F.col(f"p.{by}")) & (F.col("q.x") == F.col("p.x"))).select(f"q.{by}", "a", "b").distinct()
-    near = near.where(F.length("a") >= threshold * F.length("b") - 1e-9)
-    kinds = F.array_distinct(letters("b"))
-    count = lambda c, x: F.length(c) - F.length(F.replace(F.col(c), x))
-    shared = F.aggregate(kinds, F.lit(0), lambda s, x: s + F.least(count("a", x), count("b", x)))
-    pairs = near.where(shared >= threshold * F.length("b") - 1e-9)
-    return pairs.withColumn("ratio", lcs_ratio("a", "b")).where(F.col("ratio") >= threshold)
+from condensa.operators.subsequence import lcs_length, lcs_matches  # noqa: F401 - the same by their old names
 
 
 def all_matches(texts: DataFrame, phrases: DataFrame, longest: int = 5, stems: bool = False) -> DataFrame:
