@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from condensa.functions import text as T
 from condensa.operators import concepts as C
 from condensa.operators import centrality, graph, learn, matrix, report, stats
-from condensa.plans.catalogue import CONCEPTS, DISTINCT, DOCS, STOP, grams, groups, query, sents, text_graphs, toks
+from condensa.plans.catalogue import CONCEPTS, DISTINCT, DOCS, LANGS, STOP, grams, groups, query, sents, text_graphs, toks
 from condensa.sources.place import fresh, kept
 from condensa.streaming.corpus import GrowingCorpus
 
@@ -64,13 +64,14 @@ def summary_sweep(spark, t):
     return groups(report.swept(ranked, grid).where("rnk <= most").select("most", *C.GROUP, "rnk", "phrase"))
 
 
-@query(f"""WITH p AS (SELECT source, lang, doc_id, doc_id % 2 AS sys, {sents('text')} AS ss FROM documents), x AS (SELECT source, lang, sys, string_agg(ss[1], ';' ORDER BY doc_id, ss[1]) AS s FROM p WHERE len(ss) > 0 AND doc_id % 10 < 2 GROUP BY ALL)
-SELECT source, coalesce(max(s) FILTER (lang = 'de' AND sys = 0), '') AS "de:0", coalesce(max(s) FILTER (lang = 'de' AND sys = 1), '') AS "de:1", coalesce(max(s) FILTER (lang = 'en' AND sys = 0), '') AS "en:0", coalesce(max(s) FILTER (lang = 'en' AND sys = 1), '') AS "en:1" FROM x GROUP BY source""")
+@query(f"""WITH p AS (SELECT source, lang, doc_id, doc_id % 2 AS sys, {sents('text')} AS ss FROM documents), e AS (SELECT source, lang, sys, doc_id, unnest(ss) AS s, unnest(range(len(ss))) AS place FROM p),
+x AS (SELECT source, lang, sys, string_agg(s, ';' ORDER BY doc_id, place, s) AS s FROM e GROUP BY ALL)
+SELECT source, {", ".join(f"coalesce(max(s) FILTER (lang = '{x}' AND sys = {k}), '') AS \"{x}:{k}\"" for x in LANGS for k in (0, 1))} FROM x GROUP BY source""")
 def side_by_side(spark, t):
-    """First sentences of two systems' documents beside each other."""
+    """Sentences of two systems' documents beside each other, in all languages."""
     n = F.col("doc_id")
-    rows = t("documents").where(n % 10 < 2).select("source", F.col("lang").alias("prompt"), (n % 2).cast("string").alias("system"), n.alias("pos"), T.sentences(F.col("text")).alias("ss")).where(F.size("ss") > 0)
-    return report.side_by_side(rows.withColumn("line", F.col("ss")[0]), "source", ["de", "en"], ["0", "1"])
+    held = t("documents").select("source", F.col("lang").alias("prompt"), (n % 2).cast("string").alias("system"), n.alias("doc"), F.posexplode(T.sentences(F.col("text"))).alias("at", "line"))
+    return report.side_by_side(held.withColumn("pos", F.struct("doc", "at")), "source", LANGS, ["0", "1"])
 
 
 @query(f"""WITH {DISTINCT}, k AS (SELECT source, lang, concept FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY theta DESC, concept) AS i FROM theta) WHERE i <= 10),
