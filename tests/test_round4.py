@@ -3,6 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
+from condensa.operators import concepts as C
 from condensa.plans import catalogue, evaluation  # noqa: F401 - registers its queries
 
 
@@ -17,3 +18,15 @@ def test_side_by_side_has_every_document_sentence_and_language(spark, tmp_path):
     told = con.execute(catalogue.ORACLES["side_by_side"])
     columns = [d[0] for d in told.description]
     assert sorted(map(repr, (tuple(r[c] for c in columns) for r in got.values()))) == sorted(map(repr, told.fetchall()))
+
+
+def test_prompt_similarity_counts_repeats_and_copies(spark):
+    rows = [("l", "p", 1, "a1 b1 a1 c1"), ("l", "p", 1, "a1 b1 a1 c1"), (None, "p", None, "a1 b1 x1"), ("l", "q", 2, "a1 b1"), ("l", "r", 3, "a1 b1")]
+    resp = spark.createDataFrame(rows, "lecture string, prompt string, student long, text string")
+    prompts = spark.createDataFrame([("p", ["a1", "c1"]), ("q", ["z1"])], "prompt string, words array<string>")
+    found = C.prompt_similarity_features(resp, prompts)
+    assert "array_contains" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.lecture, r.prompt, r.concept, r.feature) for r in found.where("feature IN ('prompt_sim=0', 'prompt_sim<=1', 'prompt_sim>2')").collect()} == {
+        ("l", "p", "a1 b1", "prompt_sim>2"), ("l", "p", "b1 a1", "prompt_sim>2"), ("l", "p", "a1 c1", "prompt_sim>2"), (None, "p", "a1 b1", "prompt_sim<=1"), (None, "p", "b1 x1", "prompt_sim<=1"),
+        ("l", "q", "a1 b1", "prompt_sim=0"), ("l", "q", "a1 b1", "prompt_sim<=1"),
+    }
