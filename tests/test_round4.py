@@ -20,6 +20,25 @@ def test_side_by_side_has_every_document_sentence_and_language(spark, tmp_path):
     assert sorted(map(repr, (tuple(r[c] for c in columns) for r in got.values()))) == sorted(map(repr, told.fetchall()))
 
 
+def _shuffled(df, column):
+    """Exchanges of the plan that carry a column."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and column in x]
+
+
+def test_stemmed_incidence_shuffles_units_only(spark):
+    rows = [("l", "p", "the cats running. the cats running"), ("l", "p", "of the"), ("l", "p", "Cat runs cat runs cat"), ("l", "q", "word"), (None, "q", "dogs barked"), ("l", "p", None)]
+    units = C.phrases(spark.createDataFrame(rows, "lecture string, prompt string, text string").withColumn("student", F.lit(1)), "sentence").select(*C.GROUP, "phrase")
+    found = C.incidence(units, stemmed=True)
+    assert not _shuffled(found, "concept") and len(_shuffled(found, "phrase")) == 1 and not _shuffled(found, "word__")
+    assert {(r.lecture, r.phrase, r.concept, r.occ) for r in found.collect()} == {
+        ("l", "the cats running.", "the cat", 1), ("l", "the cats running.", "cat running.", 1), ("l", "the cats running", "the cat", 1), ("l", "the cats running", "cat run", 1),
+        ("l", "Cat runs cat runs cat", "cat run", 2), ("l", "Cat runs cat runs cat", "run cat", 2), (None, "dogs barked", "dog bark", 1),
+    }
+    twice = C.incidence(units.unionByName(units), stemmed=True, n=1, stop=None).where("phrase = 'Cat runs cat runs cat'")
+    assert {(r.concept, r.occ) for r in twice.collect()} == {("cat", 6), ("run", 4)}
+
+
 def test_prompt_similarity_counts_repeats_and_copies(spark):
     rows = [("l", "p", 1, "a1 b1 a1 c1"), ("l", "p", 1, "a1 b1 a1 c1"), (None, "p", None, "a1 b1 x1"), ("l", "q", 2, "a1 b1"), ("l", "r", 3, "a1 b1")]
     resp = spark.createDataFrame(rows, "lecture string, prompt string, student long, text string")
