@@ -1,9 +1,11 @@
 """Queries that left rows out, and steps that were mended, on small inputs."""
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from condensa.operators import concepts as C
+from condensa.operators import lowrank
 from condensa.plans import catalogue, evaluation  # noqa: F401 - registers its queries
 
 
@@ -49,3 +51,29 @@ def test_prompt_similarity_counts_repeats_and_copies(spark):
         ("l", "p", "a1 b1", "prompt_sim>2"), ("l", "p", "b1 a1", "prompt_sim>2"), ("l", "p", "a1 c1", "prompt_sim>2"), (None, "p", "a1 b1", "prompt_sim<=1"), (None, "p", "b1 x1", "prompt_sim<=1"),
         ("l", "q", "a1 b1", "prompt_sim=0"), ("l", "q", "a1 b1", "prompt_sim<=1"),
     }
+
+
+def _cells(spark, x):
+    return spark.createDataFrame([(int(i), f"c{j:03}", float(x[i, j])) for i, j in np.argwhere(x != 0)], "r long, c string, v double")
+
+
+def test_columns_of_the_same_cells_are_worked_on_once(spark, monkeypatch):
+    sizes = []
+    rng = np.random.default_rng(5)
+    few = rng.integers(0, 3, size=(9, 6)).astype(float)
+    x = few[:, rng.integers(0, 6, 40)]
+    times = lowrank.Sparse.times
+
+    def seen(self, side, *rest):
+        sizes.append(self.size["j"])
+        return times(self, side, *rest)
+
+    monkeypatch.setattr(lowrank.Sparse, "times", seen)
+    left, s, right = lowrank.truncated_svd(_cells(spark, x), "r", "c", "v", 4)
+    assert max(sizes) <= 6
+    assert np.allclose(s, np.linalg.svd(x, compute_uv=False)[:4])
+    u = {r.r: r.factor for r in left.collect()}
+    v = {r.c: r.factor for r in right.collect()}
+    dense = lambda f, keys: np.array([f.get(k, [0.0] * 4) for k in keys])
+    u, v = dense(u, range(9)), dense(v, [f"c{j:03}" for j in range(40)])
+    assert np.allclose(u.T @ x @ v, np.diag(s)) and np.allclose(v.T @ v, np.eye(4)) and ((v**3).sum(0) > -1e-9).all()
