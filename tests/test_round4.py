@@ -77,3 +77,11 @@ def test_columns_of_the_same_cells_are_worked_on_once(spark, monkeypatch):
     dense = lambda f, keys: np.array([f.get(k, [0.0] * 4) for k in keys])
     u, v = dense(u, range(9)), dense(v, [f"c{j:03}" for j in range(40)])
     assert np.allclose(u.T @ x @ v, np.diag(s)) and np.allclose(v.T @ v, np.eye(4)) and ((v**3).sum(0) > -1e-9).all()
+
+
+def test_completion_has_the_ranks_that_its_penalty_leaves(spark, tmp_path):
+    """Texts with nothing in common: each is a direction of its own, beyond the eight of before."""
+    rows = [(i, "s", "en", " ".join(f"w{i}x{k}" for k in range(12))) for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.QUERIES["soft_impute_concepts"](spark, str(tmp_path)).collect()
+    assert len(got) == 132 and {len(r.factor) for r in got} == {12}
